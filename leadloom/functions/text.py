@@ -28,6 +28,11 @@ def html_unescape(c: Column) -> Column:
     return F.coalesce(_entities(F.when(c.contains("&"), c)), c)
 
 
+def strip(c: Column) -> Column:
+    """Trim all Unicode white space, not only blanks."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def collapse_spaces(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), "^ | $", "")
 
@@ -56,7 +61,7 @@ def percent_decode(c: Column) -> Column:
 
 def title_segments(title: Column) -> Column:
     """Parts of a page title without navigation labels."""
-    parts = F.transform(F.split(title, r"(?U)\s*[|–—·»:]\s*|\s+-\s+"), F.trim)
+    parts = F.transform(F.split(title, r"(?U)\s*[|–—·»:]\s*|\s+-\s+"), strip)
     return F.filter(parts, lambda p: (p != "") & ~F.lower(
         F.regexp_replace(p, r"^[ .]+|[ .]+$", "")).isin(*rules.NAVIGATION_LABELS))
 

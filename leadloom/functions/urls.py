@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import rules
-from .text import html_unescape
+from .text import html_unescape, strip
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 _AFTER_SCHEME = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?"
@@ -123,60 +123,58 @@ def cache_key(url: Column) -> Column:
     return F.md5(url)
 
 
-def _ipv4_number(ip: Column) -> Column:
-    part = [F.split_part(ip, F.lit("."), F.lit(i)).try_cast("bigint") for i in (1, 2, 3, 4)]
-    return part[0] * 16777216 + part[1] * 65536 + part[2] * 256 + part[3]
-
-
-def is_private_address(ip: Column) -> Column:
-    """True for addresses that are not on the public internet (IPv4, IPv6, mapped IPv4)."""
-    text = F.lower(F.translate(ip, "[]", ""))
-    v4 = F.regexp_extract(text, r"^(?:::ffff:(?:0:)?)?((?:\d{1,3}\.){3}\d{1,3})$", 1)
-    hexes = F.regexp_extract(text, r"^::ffff:([0-9a-f]{1,4}:[0-9a-f]{1,4})$", 1)
-    number = F.coalesce(
-        _ipv4_number(F.nullif(v4, F.lit(""))),
-        F.conv(F.split_part(F.nullif(hexes, F.lit("")), F.lit(":"), F.lit(1)), 16, 10)
-        .cast("bigint") * 65536
-        + F.conv(F.split_part(hexes, F.lit(":"), F.lit(-1)), 16, 10).try_cast("bigint"))
+def with_private_flag(df: DataFrame, ip: str, out: str = "is_private") -> DataFrame:
+    """Add whether an address is not on the public internet (IPv4, IPv6, mapped IPv4)."""
+    c = F.col
+    keep = list(df.columns)
+    df = df.withColumn("__ip", F.lower(F.translate(c(ip), "[]", "")))
+    df = df.withColumns({
+        "__v4": F.nullif(F.regexp_extract(
+            c("__ip"), r"^(?:::ffff:(?:0:)?)?((?:\d{1,3}\.){3}\d{1,3})$", 1), F.lit("")),
+        "__hex": F.nullif(F.regexp_extract(
+            c("__ip"), r"^::ffff:([0-9a-f]{1,4}:[0-9a-f]{1,4})$", 1), F.lit(""))})
+    part = F.split(c("__v4"), r"\.").try_cast("array<bigint>")
+    half = F.transform(F.split(c("__hex"), ":"), lambda h: F.conv(h, 16, 10).try_cast("bigint"))
+    df = df.withColumns({"__dec": part, "__two": half}).withColumn("__num", F.coalesce(
+        F.aggregate("__dec", F.lit(0).cast("bigint"), lambda n, x: n * 256 + x),
+        F.aggregate("__two", F.lit(0).cast("bigint"), lambda n, x: n * 65536 + x)))
     inside = F.lit(False)
     for block in rules.PRIVATE_IPV4:
         start, bits = block.split("/")
         low = sum(int(p) << s for p, s in zip(start.split("."), (24, 16, 8, 0)))
-        inside = inside | number.between(low, low + (1 << (32 - int(bits))) - 1)
-    inside = inside & ~v4.isin(*rules.PUBLIC_IPV4_EXCEPTIONS)
+        inside = inside | c("__num").between(low, low + (1 << (32 - int(bits))) - 1)
+    inside = inside & ~F.coalesce(c("__v4").isin(*rules.PUBLIC_IPV4_EXCEPTIONS), F.lit(False))
     # Only 2000::/3 is global, and four blocks inside it are not.
-    public_v6 = text.rlike(r"^[23][0-9a-f]{3}:") & ~text.rlike(
+    public_v6 = c("__ip").rlike(r"^[23][0-9a-f]{3}:") & ~c("__ip").rlike(
         r"^(?:2001:(?:[01]?[0-9a-f]{0,2}:|:|0?db8:)|2002:|3fff:0?[0-9a-f]{0,3}:)")
-    return F.when(number.isNotNull(), inside).otherwise(~public_v6)
+    return df.select(*keep, F.when(c("__num").isNotNull(), inside).otherwise(~public_v6).alias(out))
 
 
 def with_block_reason(df: DataFrame, url: str, out: str = "block_reason",
                       allow_private: bool = False) -> DataFrame:
     """Add why a URL must not be fetched; null when it may be."""
-    u = F.col(url)
-    parts = df.select(
-        "*", scheme_of(u).alias("__scheme"), netloc_of(u).alias("__netloc"),
-        F.regexp_replace(F.trim(host_of(u)), r"\.+$", "").alias("__host"))
-    netloc, host = F.col("__netloc"), F.col("__host")
-    port_text = F.regexp_extract(F.substring_index(netloc, "@", -1),
-                                 r"^(?:\[[^\]]*\]|[^:]*):(.+)$", 1)
-    port = F.when(port_text.rlike(r"^\d{1,9}$"), port_text).try_cast("bigint")
-    bad_port = (port_text != "") & (port.isNull() | (port > 65535))
-    unbalanced = netloc.contains("[") != netloc.contains("]")
-    local = host.isin(*rules.LOCAL_NAMES)
-    for suffix in rules.LOCAL_SUFFIXES:
-        local = local | host.endswith(suffix)
+    c, u = F.col, F.col(url)
+    keep = list(df.columns)
+    df = df.withColumns({"__scheme": scheme_of(u), "__netloc": netloc_of(u),
+                         "__host": F.regexp_replace(F.trim(host_of(u)), r"\.+$", "")})
+    port_text = F.regexp_extract(F.substring_index(c("__netloc"), "@", -1),
+                                 r"^(?:\[[^\]]*\]|[^:\[]*):(.+)$", 1)
+    df = df.withColumn("__port", port_text).withColumn(
+        "__number", F.when(c("__port").rlike(r"^\d{1,9}$"), c("__port")).try_cast("bigint"))
+    host, port = c("__host"), c("__number")
     reason = (
-        F.when(u.isNull() | unbalanced, "malformed")
-        .when(~F.col("__scheme").isin("http", "https"), "scheme")
+        F.when(u.isNull() | (c("__netloc").contains("[") != c("__netloc").contains("]")), "malformed")
+        .when(~c("__scheme").isin("http", "https"), "scheme")
         .when(host == "", "no host")
-        .when(bad_port, "invalid port")
+        .when((c("__port") != "") & (port.isNull() | (port > 65535)), "invalid port")
         .when(port.isin(*rules.BLOCKED_PORTS), "blocked port")
         .when(host.isin(*rules.METADATA_HOSTS), "metadata host"))
     if not allow_private:
-        reason = (reason.when(local, "local name")
-                  .when(is_ip_literal(host) & is_private_address(host), "private address"))
-    return parts.select(*df.columns, reason.alias(out))
+        df = with_private_flag(df, "__host", "__private")
+        suffixes = "(?:" + _alternation(rules.LOCAL_SUFFIXES) + ")$"
+        reason = (reason.when(host.isin(*rules.LOCAL_NAMES) | host.rlike(suffixes), "local name")
+                  .when(is_ip_literal(host) & c("__private"), "private address"))
+    return df.select(*keep, reason.alias(out))
 
 
 def with_normalised_url(df: DataFrame, url: str, out: str, base: str | None = None) -> DataFrame:
@@ -189,7 +187,7 @@ def with_normalised_url(df: DataFrame, url: str, out: str, base: str | None = No
     """
     c = F.col
     keep = list(df.columns)
-    df = df.withColumn("__u", _tidy(html_unescape(F.trim(c(url)))))
+    df = df.withColumn("__u", _tidy(html_unescape(strip(c(url)))))
     if base is not None:
         df = df.withColumns({
             "__bs": scheme_of(c(base)), "__bn": netloc_of(c(base)),
