@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import rules
-from .text import strip
+from .text import pin, strip
 
 #: A phone candidate with the cue word that stands directly before it, if any.
 CUED_PHONE = "(?iU)(?:" + rules.PHONE_CUE + ")?" + rules.PHONE
@@ -66,6 +66,6 @@ def with_normalised_phone(df: DataFrame, raw: str, out: str) -> DataFrame:
           & ~(c("__d").startswith("+") & (n < 10))
           & (F.size(F.array_distinct(F.split(core, ""))) > 2)
           & ~(core.rlike("^(?:19|20)") & n.isin(8, 10)))
-    return df.select(*keep, F.when(ok, F.concat(
+    return pin(df, out, F.when(ok, F.concat(
         F.when(c("__d").startswith("+"), F.lit("+")).otherwise(F.lit("")), core, c("__x"),
-    )).alias(out))
+    ))).select(*keep, out)

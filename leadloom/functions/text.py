@@ -6,7 +6,7 @@ import html
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType
 
 from .. import rules
@@ -28,6 +28,18 @@ def html_unescape(c: Column) -> Column:
     return F.coalesce(_entities(F.when(c.contains("&"), c)), c)
 
 
+def pin(df: DataFrame, name: str, expr: Column) -> DataFrame:
+    """Add a column whose expression later filters are not pushed into.
+
+    The optimiser moves a filter below a projection by substituting the
+    column's expression for every mention of it, which repeats long
+    expressions many times.  It does not do so below a generator, hence the
+    one-element explode.
+    """
+    rest = [c for c in df.columns if c != name]
+    return df.select(*rest, F.explode(F.array(expr)).alias(name))
+
+
 def strip(c: Column) -> Column:
     """Trim all Unicode white space, not only blanks."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import rules
-from .text import html_unescape, strip
+from .text import html_unescape, pin, strip
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 _AFTER_SCHEME = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?"
@@ -147,7 +147,7 @@ def with_private_flag(df: DataFrame, ip: str, out: str = "is_private") -> DataFr
     # Only 2000::/3 is global, and four blocks inside it are not.
     public_v6 = c("__ip").rlike(r"^[23][0-9a-f]{3}:") & ~c("__ip").rlike(
         r"^(?:2001:(?:[01]?[0-9a-f]{0,2}:|:|0?db8:)|2002:|3fff:0?[0-9a-f]{0,3}:)")
-    return df.select(*keep, F.when(c("__num").isNotNull(), inside).otherwise(~public_v6).alias(out))
+    return pin(df, out, F.when(c("__num").isNotNull(), inside).otherwise(~public_v6)).select(*keep, out)
 
 
 def with_block_reason(df: DataFrame, url: str, out: str = "block_reason",
@@ -174,7 +174,7 @@ def with_block_reason(df: DataFrame, url: str, out: str = "block_reason",
         suffixes = "(?:" + _alternation(rules.LOCAL_SUFFIXES) + ")$"
         reason = (reason.when(host.isin(*rules.LOCAL_NAMES) | host.rlike(suffixes), "local name")
                   .when(is_ip_literal(host) & c("__private"), "private address"))
-    return df.select(*keep, reason.alias(out))
+    return pin(df, out, reason).select(*keep, out)
 
 
 def with_normalised_url(df: DataFrame, url: str, out: str, base: str | None = None) -> DataFrame:
@@ -239,10 +239,10 @@ def with_normalised_url(df: DataFrame, url: str, out: str, base: str | None = No
         rejected = rejected | c("__u").startswith(prefix)
     usable = (~rejected & c("__s").isin("http", "https") & (c("__n") != "")
               & (c("__n").contains("[") == c("__n").contains("]")) & (c(url) != ""))
-    return df.select(*keep, F.when(usable, F.concat(
+    return pin(df, out, F.when(usable, F.concat(
         c("__s"), F.lit("://"), c("__n"), c("__p"),
         F.when(c("__q") != "", F.concat(F.lit("?"), c("__q"))).otherwise(F.lit("")),
-    )).alias(out))
+    ))).select(*keep, out)
 
 
 def with_unwrapped_redirect(df: DataFrame, href: str, out: str, engine: str) -> DataFrame:

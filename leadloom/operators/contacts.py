@@ -16,7 +16,7 @@ from ..functions.emails import (
     clean_email, decode_cfemail, email_confidence, is_role, is_valid_email)
 from ..functions.phones import (
     CUED_PHONE, has_dialing_evidence, phone_text, with_normalised_phone)
-from ..functions.text import strip
+from ..functions.text import pin, strip
 from ..functions.urls import host_of, registrable_domain
 from .pages import embedded_state, visible_text
 
@@ -129,8 +129,8 @@ def candidates(pages: DataFrame, keys: Sequence[str], want: Sequence[str] = FAMI
         for i, (kind, found) in enumerate(social_profiles(h).items()):
             arrays.append(_found(kind, found, 0.80, None, 20 + i))
     if structured:
-        from .structured import jsonld_facts
-        df = df.withColumn("__ld", jsonld_facts(h))
+        from .structured import with_jsonld
+        df = with_jsonld(df, html, "__ld")
         arrays += [_found("phone", F.array_compact(F.array(F.col("__ld.telephone"))), 0.90, "jsonld", 40),
                    _found("email", F.array_compact(F.array(F.col("__ld.email"))), 0.90, "jsonld", 41)]
     found = df.select(*keys, F.col(url).alias("source_url"),
@@ -166,9 +166,8 @@ def _judged(found: DataFrame, org: str, url: str, blocklist, local_blocklist) ->
     """Cleaned, valid candidates with confidence and meta."""
     kind, raw, tag = F.col("kind"), F.col("raw"), F.col("tag")
     mail, phone, ld = kind == "email", kind == "phone", tag == "jsonld"
-    df = found.withColumns({
-        "__mail": F.when(mail & (tag.isNull() | ~ld), clean_email(raw)).when(mail, F.lower(raw)),
-        "__tel": F.when(phone & (tag == "text"), phone_text(raw)).when(phone, raw)})
+    df = pin(found, "__mail", F.when(mail & (tag.isNull() | ~ld), clean_email(raw)).when(mail, F.lower(raw)))
+    df = df.withColumn("__tel", F.when(phone & (tag == "text"), phone_text(raw)).when(phone, raw))
     df = df.where(
         F.when(mail, is_valid_email(F.col("__mail"), blocklist, local_blocklist))
         .when(phone & (tag == "text"), has_dialing_evidence(raw))

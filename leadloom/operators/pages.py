@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import rules
-from ..functions.text import brand_from_title, clean_text, html_unescape
+from ..functions.text import brand_from_title, clean_text, html_unescape, pin
 from ..functions.urls import (
     has_skipped_extension, is_scrapeable, netloc_of, path_of, registrable_domain, scheme_of,
     with_normalised_url)
@@ -53,13 +53,12 @@ def site_name(html: Column) -> Column:
 
 def with_metadata(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """Add title, description, name and the schema.org facts, structured data first."""
-    from .structured import jsonld_facts
+    from .structured import with_jsonld
 
     h = F.col(html)
     keep = list(pages.columns)
-    df = pages.withColumns({
-        "__title": title_of(h), "__desc": meta_description(h), "__site": site_name(h),
-        "__ld": jsonld_facts(h)})
+    df = with_jsonld(pages, html, "__ld").withColumns({
+        "__title": title_of(h), "__desc": meta_description(h), "__site": site_name(h)})
     ld = F.col("__ld")
 
     def first_set(structured: str, tag: str) -> Column:
@@ -110,9 +109,8 @@ def contact_link_score(path: Column) -> Column:
 
 def contact_links(pages: DataFrame, keys: Sequence[str], limit: int = 8, **kw) -> DataFrame:
     """The ``limit`` internal links per page most likely to hold contact data."""
-    scored = (links(pages, keys, **kw).withColumn("__path", F.lower(path_of(F.col("link"))))
-              .withColumn("score", contact_link_score(F.col("__path"))).drop("__path")
-              .where("score is not null"))
+    edges = pin(links(pages, keys, **kw), "__path", F.lower(path_of(F.col("link"))))
+    scored = pin(edges, "score", contact_link_score(F.col("__path"))).drop("__path").where("score is not null")
     order = [F.desc("score"), F.length("link"), F.col("pos")]
     return (scored.withColumn("rank", F.row_number().over(
         W.partitionBy(*keys, "page_url").orderBy(*order))).where(F.col("rank") <= limit))
@@ -122,9 +120,9 @@ def outbound_orgs(pages: DataFrame, keys: Sequence[str], limit: int = rules.MAX_
                   skip_domains: Sequence[str] = rules.SKIP_DOMAINS, **kw) -> DataFrame:
     """First external link per organisation and page as a homepage, in link order."""
     domain = registrable_domain(F.col("link"))
+    edges = pin(links(pages, keys, internal_only=False, **kw), "domain", domain)
     external = (
-        links(pages, keys, internal_only=False, **kw)
-        .withColumns({"domain": domain, "__src": registrable_domain(F.col("page_url"))})
+        edges.withColumn("__src", registrable_domain(F.col("page_url")))
         .where((F.col("domain") != "") & (F.col("domain") != F.col("__src"))
                & is_scrapeable(F.col("link"), skip_domains)
                & ~F.col("domain").isin(*rules.INFRA_DOMAINS)

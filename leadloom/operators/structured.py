@@ -7,12 +7,10 @@ is a filter, not a traversal.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import rules
-from ..functions.text import clean_text, strip
-
-_NODE = "array<struct<path:array<int>,v:variant>>"
+from ..functions.text import clean_text, pin, strip
 
 
 def _get(v: Column, key: str, kind: str = "variant") -> Column:
@@ -87,41 +85,48 @@ def _facts(node: Column) -> Column:
         number(rating, "reviewCount", "ratingCount").cast("int").alias("reviews"))
 
 
-def jsonld_facts(html: Column) -> Column:
-    """STRUCT of the facts of a page's first accepted nodes.
+def with_jsonld(pages: DataFrame, html: str = "html", out: str = "jsonld") -> DataFrame:
+    """Add a STRUCT of the facts of each page's first accepted nodes.
 
     Name and description come from the very first accepted node, even when it
-    has none; every other field from the first node that has it.
+    has none; every other field from the first node that has it.  Each level of
+    the walk is a column of its own, so no level is evaluated twice.
     """
-    raw = F.filter(F.transform(
+    keep = list(pages.columns)
+    blocks = F.filter(F.transform(
         F.slice(F.regexp_extract_all(html, F.lit(rules.JSONLD), F.lit(1)), 1,
                 rules.JSONLD_MAX_BLOCKS), strip), lambda b: b != "")
-    roots = F.filter(F.transform(raw, lambda b, i: _node(
+    df = pin(pages, "__blocks", blocks)
+    roots = F.filter(F.transform("__blocks", lambda b, i: _node(
         F.array(i), F.coalesce(F.try_parse_json(b),
                                F.try_parse_json(F.regexp_replace(b, r",\s*([}\]])", "$1"))))),
         lambda n: n["v"].isNotNull())
-    level, levels = roots, [roots]
-    for _ in range(rules.JSONLD_MAX_DEPTH):
-        level = F.flatten(F.transform(level, _children))
-        levels.append(level)
-    return _fold(F.concat(*levels))
-
-
-def _fold(nodes: Column) -> Column:
-    objects = F.filter(nodes, lambda n: _is_object(n["v"]))
+    df = df.withColumn("__n0", roots)
+    levels = [F.col("__n0")]
+    for depth in range(1, rules.JSONLD_MAX_DEPTH + 1):
+        df = df.withColumn(f"__n{depth}", F.flatten(F.transform(levels[-1], _children)))
+        levels.append(F.col(f"__n{depth}"))
+    objects = F.filter(F.concat(*levels), lambda n: _is_object(n["v"]))
     accepted = F.array_sort(F.filter(
         F.transform(objects, _facts),
         lambda f: F.arrays_overlap(f["types"], F.array(*map(F.lit, rules.JSONLD_TYPES)))))
+    df = pin(df, "__nodes", accepted)
+    nodes = F.col("__nodes")
 
     def first(field: str) -> Column:
-        return F.get(F.filter(accepted, lambda f: f[field].isNotNull() & (
-            f[field] != "" if field in ("telephone", "email") else F.lit(True))), F.lit(0))[field]
-
-    head = F.get(accepted, F.lit(0))
-    return F.struct(
-        clean_text(head["name"], 120).alias("name"),
-        clean_text(head["description"], 400).alias("description"),
-        clean_text(first("telephone"), 40).alias("telephone"),
-        F.trim(F.replace(first("email"), F.lit("mailto:"), F.lit(""))).alias("email"),
-        clean_text(first("address")).alias("address"),
-        *[first(k).alias(k) for k in ("latitude", "longitude", "rating", "reviews")])
+        text = field in ("telephone", "email")
+        return F.get(F.filter(nodes, lambda f: f[field].isNotNull() & (
+            f[field] != "" if text else F.lit(True))), F.lit(0))[field]
+
+    head = F.get(nodes, F.lit(0))
+    df = df.select(*keep, head["name"].alias("__name"), head["description"].alias("__desc"),
+                   *[first(k).alias(f"__{k}") for k in (
+                       "telephone", "email", "address", "latitude", "longitude", "rating", "reviews")])
+    return pin(df, out, F.struct(
+        clean_text(F.col("__name"), 120).alias("name"),
+        clean_text(F.col("__desc"), 400).alias("description"),
+        clean_text(F.col("__telephone"), 40).alias("telephone"),
+        strip(F.replace("__email", F.lit("mailto:"), F.lit(""))).alias("email"),
+        clean_text(F.col("__address")).alias("address"),
+        *[F.col(f"__{k}").alias(k) for k in ("latitude", "longitude", "rating", "reviews")]
+    )).select(*keep, out)
