@@ -20,14 +20,14 @@ def lead_figures(leads: DataFrame) -> DataFrame:
     buffer holds at most 1,001 distinct values.
     """
     total = F.count(F.lit(1))
-    contactable = F.count_if("n_emails > 0 or n_phones > 0")
+    contactable = F.count_if(F.expr("n_emails > 0 or n_phones > 0"))
     deliverable = F.count_if("deliverable")
     s = F.col("score")
     return leads.agg(
         total.alias("total"), contactable.alias("contactable"),
         _pct(contactable, total).alias("contactable_pct"),
-        F.count_if("n_emails > 0").alias("with_email"), F.count_if("n_phones > 0").alias("with_phone"),
-        F.count_if("n_networks > 0").alias("with_social"),
+        F.count_if(F.expr("n_emails > 0")).alias("with_email"), F.count_if(F.expr("n_phones > 0")).alias("with_phone"),
+        F.count_if(F.expr("n_networks > 0")).alias("with_social"),
         deliverable.alias("deliverable_domains"), _pct(deliverable, total).alias("deliverable_pct"),
         F.round(F.avg(s), 1).alias("avg_score"),
         F.expr("percentile_disc(0.5) within group (order by score desc)").alias("median_score"),
@@ -113,12 +113,12 @@ def enrichment_counters(leads: DataFrame, phones: DataFrame, profiles: DataFrame
     ``profiles`` after the company join.
     """
     parts = [
-        leads.agg(F.count_if("deliverable is not null").alias("mx_checked"),
+        leads.agg(F.count_if(F.expr("deliverable is not null")).alias("mx_checked"),
                   F.count_if("deliverable").alias("deliverable_domains"),
-                  F.count_if("not deliverable").alias("undeliverable_domains")),
+                  F.count_if(F.expr("not deliverable")).alias("undeliverable_domains")),
         phones.agg(F.count_if("checked").alias("phones_checked"),
-                   F.count_if("checked and valid").alias("phones_valid")),
-        profiles.agg(F.count_if("wikidata_id is not null").alias("company_profiles"))]
+                   F.count_if(F.expr("checked and valid")).alias("phones_valid")),
+        profiles.agg(F.count_if(F.expr("wikidata_id is not null")).alias("company_profiles"))]
     stacked = parts[0]
     for part in parts[1:]:
         stacked = stacked.unionByName(part, allowMissingColumns=True)

@@ -25,12 +25,12 @@ def outcome(status: Column, error: Column) -> Column:
 def fetch_statistics(log: DataFrame) -> DataFrame:
     """Run counters of a fetch log: ts, failed, retry, from_cache, bytes, emails."""
     elapsed = F.greatest(F.unix_micros(F.max("ts")) / 1e6 - F.unix_micros(F.min("ts")) / 1e6, F.lit(1e-9))
-    n = F.count_if("not from_cache")
+    n = F.count_if(F.expr("not from_cache"))
     return log.agg(
         n.alias("requests"), F.count_if("from_cache").alias("cache_hits"),
         F.count_if("failed").alias("failures"), F.count_if("retry").alias("retries"),
         F.round(F.sum("bytes") / 1048576, 2).alias("mb_down"),
-        F.count_if("not failed").alias("pages_parsed"),
+        F.count_if(F.expr("not failed")).alias("pages_parsed"),
         F.sum("emails").alias("emails_found"),
         F.round(elapsed, 1).alias("elapsed_s"), F.round(n / elapsed, 2).alias("req_per_s"))
 

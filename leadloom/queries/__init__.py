@@ -5,7 +5,7 @@ payloads, robots files, contact markup).  Those inputs are derived from the
 tables by Spark, row by row, so the work grows with the tables.
 """
 
-from . import contacts, pages, urls
+from . import contacts, leads, logs, pages, urls
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "contacts", "pages", "urls"]
+__all__ = ["ORACLES", "QUERIES", "contacts", "leads", "logs", "pages", "urls"]

@@ -160,19 +160,19 @@ def _(spark, sf):
     return _host_pages(spark, sf).select("page_id", F.explode(C.tel_links(F.col("html"))).alias("raw"))
 
 
-@register("con12_phone_candidates", f"SELECT doc_id, unnest({sql_phone_runs('t')}) AS raw FROM (SELECT doc_id, regexp_replace({_PLANTED}, '(?i)\\bhttps?://\\S+|\\bwww\\.\\S+', ' ', 'g') AS t FROM documents)")
+@register("con12_phone_candidates", f"SELECT DISTINCT doc_id, unnest({sql_phone_runs('t')}) AS raw FROM (SELECT doc_id, regexp_replace({_PLANTED}, '(?i)\\bhttps?://\\S+|\\bwww\\.\\S+', ' ', 'g') AS t FROM documents)")
 def _(spark, sf):
     return _docs(spark, sf).select("doc_id", F.explode(F.transform(
-        C.phone_candidates(F.col("text")), N.phone_text)).alias("raw"))
+        C.phone_candidates(F.col("text")), N.phone_text)).alias("raw")).distinct()
 
 
 _CUED = ("CASE doc_id % 6 WHEN 0 THEN concat('id ', 4000000 + doc_id) WHEN 1 THEN concat('Tel: ', 4000000 + doc_id) WHEN 2 THEN concat('هاتف ', 4000000 + doc_id) "
          "WHEN 3 THEN concat('+4420', 79460000 + doc_id) WHEN 4 THEN concat('(020) 7946 ', 1000 + doc_id % 9000) ELSE concat('telephone ', 4000000 + doc_id) END")
 
 
-@register("con13_dialing_evidence", "SELECT doc_id, doc_id % 6 <> 0 AS evidence FROM documents WHERE doc_id % 6 <> 4 UNION ALL SELECT doc_id, TRUE FROM documents WHERE FALSE")
+@register("con13_dialing_evidence", "SELECT doc_id, doc_id % 6 <> 0 AS evidence FROM documents")
 def _(spark, sf):
-    df = table(spark, sf, "documents").where("doc_id % 6 <> 4").select("doc_id", F.explode(
+    df = table(spark, sf, "documents").select("doc_id", F.explode(
         C.phone_candidates(F.expr(_CUED))).alias("c"))
     return df.select("doc_id", N.has_dialing_evidence(F.col("c")).alias("evidence"))
 

@@ -217,9 +217,13 @@ def _(spark, sf):
     return markdown_of(_pages(spark, sf), ["page_id"]).select("page_id", F.md5(plain_text(F.col("markdown"))).alias("digest"))
 
 
-@register("jn1_frontier_join", f"""SELECT page_id, {sql_normal('url')} AS url_key, length(html) AS n_chars FROM pages WHERE page_id % 3 = 0""")
+@register("jn1_frontier_join", f"""SELECT page_id, {sql_normal('url')} AS url_key, length(html) AS n_chars FROM pages
+    QUALIFY row_number() OVER (PARTITION BY url_key ORDER BY url, html) = 1""")
 def _(spark, sf):
     from ..functions.urls import with_normalised_url
-    p = with_normalised_url(_pages(spark, sf), "url", "url_key")
-    frontier = p.where("page_id % 3 = 0").select("page_id", "url_key")
-    return frontier.join(p.select("page_id", F.length("html").alias("n_chars")), "page_id")
+    from ..plans.crawl import corpus_by_url
+    p = with_normalised_url(_pages(spark, sf).select("page_id", "url"), "url", "url_key")
+    missing = p.select((-F.col("page_id") - 1).alias("page_id"), F.concat("url_key", F.lit("/missing")).alias("url_key"))
+    corpus = corpus_by_url(_pages(spark, sf)).select(F.col("url").alias("url_key"), F.length("html").alias("n_chars"))
+    found = p.drop("url").unionByName(missing).join(corpus, "url_key")
+    return found.groupBy("url_key", "n_chars").agg(F.min("page_id").alias("page_id"))
