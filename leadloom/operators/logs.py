@@ -44,9 +44,10 @@ def retry_schedule(log: DataFrame, key: str, order: Sequence[str], max_tries: in
         F.lit(base) * F.pow(F.lit(2.0), F.col("attempt") - 1), F.lit(ceiling)), 6)))
 
 
-def strike_runs(log: DataFrame, key: str, order: Sequence[str], kind: str = "outcome") -> DataFrame:
+def strike_runs(log: DataFrame, key: str, order: Sequence[str], kind: str = "outcome",
+                partitions: int | None = None) -> DataFrame:
     """Add ``strikes``: strikes since the key's last reset, up to and including the row."""
-    parts = range_partitioned(log.where(F.col(key).isNotNull()), [key], order)
+    parts = range_partitioned(log.where(F.col(key).isNotNull()), [key], order, partitions)
     strike, reset = F.col(kind) == "strike", F.col(kind) == "reset"
     w = W.partitionBy(PART, key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     rows = parts.withColumn("__island", F.sum(F.when(reset, 1).otherwise(0)).over(w))
@@ -95,7 +96,7 @@ def next_delay(delay: float, failed, base: float) -> float:
 
 
 def delay_series(log: DataFrame, key: str, order: Sequence[str], failed: str = "failed",
-                 base: float = 0.1) -> DataFrame:
+                 base: float = 0.1, partitions: int | None = None) -> DataFrame:
     """Add ``delay``: the key's delay after each row (``failed`` null leaves it unchanged).
 
     Every step maps a delay x to min(hi, max(lo, a*x)), and such maps compose
@@ -104,7 +105,7 @@ def delay_series(log: DataFrame, key: str, order: Sequence[str], failed: str = "
     """
     if not 0 <= base <= rules.DELAY_CEILING:
         raise ValueError("base delay must lie between 0 and the ceiling")
-    parts = range_partitioned(log.where(F.col(key).isNotNull()), [key], order)
+    parts = range_partitioned(log.where(F.col(key).isNotNull()), [key], order, partitions)
     key_type = dict(parts.dtypes)[key]
 
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -56,9 +56,9 @@ def border_summaries(parts: DataFrame, keys: Sequence[str], aggregates: Sequence
 
 
 def with_group_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                    out: str = "rank") -> DataFrame:
+                    out: str = "rank", partitions: int | None = None) -> DataFrame:
     """Exact 1-based rank of each row inside its group; ``order`` must be unique per group."""
-    parts = range_partitioned(df, keys, order)
+    parts = range_partitioned(df, keys, order, partitions)
     offsets = carried(
         border_summaries(parts, keys, [F.count(F.lit(1)).alias("__n")]), keys,
         {"__offset": lambda w: F.sum("__n").over(w)})

@@ -217,8 +217,8 @@ def _(spark, sf):
     return markdown_of(_pages(spark, sf), ["page_id"]).select("page_id", F.md5(plain_text(F.col("markdown"))).alias("digest"))
 
 
-@register("jn1_frontier_join", f"""SELECT page_id, {sql_normal('url')} AS url_key, length(html) AS n_chars FROM pages
-    QUALIFY row_number() OVER (PARTITION BY url_key ORDER BY url, html) = 1""")
+@register("jn1_frontier_join", f"""SELECT min(page_id) AS page_id, {sql_normal('url')} AS url_key,
+    first(length(html) ORDER BY url, html) AS n_chars FROM pages GROUP BY 2""")
 def _(spark, sf):
     from ..functions.urls import with_normalised_url
     from ..plans.crawl import corpus_by_url
