@@ -5,7 +5,8 @@ payloads, robots files, contact markup).  Those inputs are derived from the
 tables by Spark, row by row, so the work grows with the tables.
 """
 
-from . import contacts, leads, logs, pages, payloads, urls
+from . import contacts, crawl, leads, logs, pages, payloads, sinks, streams, urls
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "contacts", "leads", "logs", "pages", "payloads", "urls"]
+__all__ = ["ORACLES", "QUERIES", "contacts", "crawl", "leads", "logs", "pages", "payloads", "sinks",
+           "streams", "urls"]

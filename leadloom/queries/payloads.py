@@ -150,7 +150,7 @@ def _provider(spark, sf):
 
 @register("src9_provider_contacts", """SELECT c_custkey, kind, value, confidence, name FROM (SELECT c_custkey, unnest(['email', 'twitter', 'linkedin']) AS kind,
     unnest(['ann' || c_custkey || '@firm' || c_custkey || '.com', 'https://twitter.com/firm_' || c_custkey, 'https://www.linkedin.com/company/f' || c_custkey]) AS value,
-    unnest([round(least(0.99, 0.5 + CASE WHEN c_custkey % 101 = 0 THEN 50 ELSE c_custkey % 101 END / 200.0 + 1e-9), 2), 0.85, 0.85])::DOUBLE AS confidence, unnest(['Ann', NULL, NULL]) AS name FROM customer)""")
+    unnest([((least(9900, 5000 + 50 * CASE WHEN c_custkey % 101 = 0 THEN 50 ELSE c_custkey % 101 END) + 50) // 100) / 100.0::DOUBLE, 0.85, 0.85])::DOUBLE AS confidence, unnest(['Ann', NULL, NULL]) AS name FROM customer)""")
 def _(spark, sf):
     c = P.provider_contacts(_provider(spark, sf), ["c_custkey"])
     return c.select("c_custkey", "kind", "value", "confidence", F.col("meta")["name"].alias("name"))

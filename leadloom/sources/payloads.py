@@ -174,8 +174,9 @@ def provider_contacts(payloads: DataFrame, keys: Sequence[str], payload: str = "
             lambda e: F.coalesce(e["value"], F.lit("")) != ""),
         lambda e: F.struct(
             F.lit("email").alias("kind"), F.lower(e["value"]).alias("value"),
-            F.round(F.least(F.lit(0.99), 0.5 + F.coalesce(
-                F.nullif(e["confidence"], F.lit(0)), F.lit(50)) / 200.0), 2).alias("confidence"),
+            # half up, in whole units of a ten-thousandth so that ties are exact
+            (F.floor((F.least(F.lit(9900), 5000 + 50 * F.coalesce(
+                F.nullif(e["confidence"], F.lit(0)), F.lit(50))) + 50) / 100) / 100.0).alias("confidence"),
             meta(_set(F.concat_ws(" ", _set(e["first_name"]), _set(e["last_name"]))), e["position"],
                  e["department"], e["verification"]["status"]).alias("meta")))
     socials = F.filter(F.array(*[
