@@ -136,13 +136,16 @@ def outbound_orgs(pages: DataFrame, keys: Sequence[str], limit: int = rules.MAX_
 
 
 def directory_pages(pages: DataFrame, keys: Sequence[str], contacts_found: DataFrame | None = None,
-                    html: str = "html", url: str = "url", **kw) -> DataFrame:
+                    html: str = "html", url: str = "url", orgs: DataFrame | None = None,
+                    **kw) -> DataFrame:
     """Per page: number of outbound organisations and whether it lists other organisations.
 
-    ``contacts_found`` has the keys and ``n_contacts``; pages it lacks count as zero.
+    ``contacts_found`` has the keys and ``n_contacts``; pages it lacks count as
+    zero.  ``orgs`` may pass the pages' outbound organisations if at hand.
     """
-    orgs = (outbound_orgs(pages, keys, html=html, url=url, **kw)
-            .groupBy(*keys).agg(F.count(F.lit(1)).alias("n_orgs")))
+    if orgs is None:
+        orgs = outbound_orgs(pages, keys, html=html, url=url, **kw)
+    orgs = (orgs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_orgs")))
     heads = pages.select(*keys, F.col(url).alias("page_url"),
                          F.coalesce(_first(F.col(html), rules.TITLE), F.lit("")).alias("__title"))
     df = heads.join(orgs, list(keys), "left").withColumn("n_orgs", F.coalesce("n_orgs", F.lit(0)))

@@ -32,8 +32,8 @@ class CrawlOptions:
 
 @dataclass
 class CrawlResult:
-    visited: DataFrame      # domain, url, depth, rank, fetched
-    contacts: DataFrame     # domain, kind, value, source_url, confidence, meta, depth, rank, place
+    visited: DataFrame      # domain, url, depth, page_rank, fetched
+    contacts: DataFrame     # domain, kind, value, source_url, confidence, meta, depth, page_rank, place
     directories: DataFrame  # domain, page_url, listed_orgs
     found: DataFrame        # domain, url, seq: organisations to crawl next
 
@@ -64,14 +64,14 @@ def expand(seeds: DataFrame, corpus: DataFrame, options: CrawlOptions = CrawlOpt
     frontier = frontier.groupBy("domain", "url").agg(F.min("prio").alias("prio"))
     visited, contacts, directories, found = None, None, None, None
     for depth in range(deepest + 1):
-        tried = cut(_within_budget(frontier, visited, contacts, options, depth))
-        fetched = tried.join(corpus, "url")
-        now = tried.join(fetched.select("url").distinct().withColumn("fetched", F.lit(True)), "url", "left") \
-            .withColumn("fetched", F.coalesce("fetched", F.lit(False)))
-        pages = fetched.withColumn("__org", F.col("domain"))
-        new = contacts_of(pages, ["depth", "rank"], blocklist=options.blocklist, org_key="__org")
-        visited = cut(now if visited is None else visited.unionByName(now))
-        contacts = cut(new if contacts is None else contacts.unionByName(new))
+        # the only join that moves HTML: its result is stored once and read by every later step
+        pages = cut(_within_budget(frontier, visited, contacts, options, depth).join(corpus, "url", "left"))
+        now = pages.select("domain", "url", "depth", "page_rank", F.col("html").isNotNull().alias("fetched"))
+        pages = pages.where("html is not null").withColumn("__org", F.col("domain"))
+        new = contacts_of(pages, ["depth", "page_rank"], blocklist=options.blocklist, org_key="__org")
+        visited = now if visited is None else visited.unionByName(now)
+        new = cut(new)
+        contacts = new if contacts is None else contacts.unionByName(new)
         if depth == 0:
             directories, found = _directories(pages, new, seeds, options)
         if depth < deepest:
@@ -84,22 +84,22 @@ def _within_budget(frontier: DataFrame, visited: DataFrame | None, contacts: Dat
     budget = options.max_pages
     # the constant bound applies before the shuffle, so a domain with many links stays cheap
     r = F.row_number().over(W.partitionBy("domain").orderBy("prio", "url"))
-    first = frontier.withColumn("rank", r).where(F.col("rank") <= budget)
+    first = frontier.withColumn("page_rank", r).where(F.col("page_rank") <= budget)
     if visited is None:
-        return first.select("domain", "url", F.lit(depth).alias("depth"), "rank")
+        return first.select("domain", "url", F.lit(depth).alias("depth"), "page_rank")
     used = visited.groupBy("domain").agg(F.count(F.lit(1)).alias("__used"))
     settled = (contacts.where((F.col("kind") == "email") & (F.col("confidence") >= 0.9)
                               & F.endswith(F.col("value"), F.concat(F.lit("@"), F.col("domain"))))
                .select("domain").distinct().withColumn("__one", F.lit(1)))
     left = F.least(F.lit(budget) - F.coalesce("__used", F.lit(0)), F.coalesce("__one", F.lit(budget)))
     return (first.join(used, "domain", "left").join(settled, "domain", "left")
-            .where(F.col("rank") <= left).select("domain", "url", F.lit(depth).alias("depth"), "rank"))
+            .where(F.col("page_rank") <= left)
+            .select("domain", "url", F.lit(depth).alias("depth"), "page_rank"))
 
 
 def _next_links(pages: DataFrame, contacts: DataFrame, visited: DataFrame,
                 options: CrawlOptions) -> DataFrame:
     keys = ["domain", "page_rank"]
-    pages = pages.withColumnRenamed("rank", "page_rank")
     ranked = contact_links(pages, keys, options.max_pages).select(
         "domain", "page_rank", F.col("rank").alias("link_rank"), "page_url", "link", "pos")
     nxt = ranked.select("domain", F.col("link").alias("url"),
@@ -121,14 +121,15 @@ def _next_links(pages: DataFrame, contacts: DataFrame, visited: DataFrame,
 
 def _directories(pages: DataFrame, contacts: DataFrame, seeds: DataFrame,
                  options: CrawlOptions) -> tuple[DataFrame, DataFrame]:
-    n = contacts.groupBy("domain", "depth", "rank").agg(F.count(F.lit(1)).alias("n_contacts"))
-    site = [F.col("domain").alias("site"), "depth", "rank", "n_contacts"]
-    listing = directory_pages(pages.withColumnRenamed("domain", "site"), ["site", "depth", "rank"],
-                              n.select(*site), skip_domains=options.skip_domains).where("is_directory")
-    orgs = outbound_orgs(pages.withColumnRenamed("domain", "site"), ["site", "depth"],
-                         options.max_directory_links, options.skip_domains)
-    orgs = orgs.select(F.col("site"), "page_url", F.col("domain").alias("org"), "homepage", "pos")
-    orgs = orgs.join(listing.select("site", "page_url"), ["site", "page_url"])
+    keys = ["site", "page_rank"]
+    sites = pages.withColumnRenamed("domain", "site")
+    n = contacts.groupBy(F.col("domain").alias("site"), "page_rank").agg(F.count(F.lit(1)).alias("n_contacts"))
+    # links are extracted once; the classifier counts the same organisations
+    all_orgs = cut(outbound_orgs(sites, keys, rules.MAX_OUTBOUND_ORGS, options.skip_domains))
+    listing = directory_pages(sites, keys, n, orgs=all_orgs).where("is_directory")
+    orgs = (all_orgs.where(F.col("rank") <= options.max_directory_links)
+            .select("site", "page_url", F.col("domain").alias("org"), "homepage", "pos")
+            .join(listing.select("site", "page_url"), ["site", "page_url"]))
     listed = orgs.groupBy("site", "page_url").agg(F.count(F.lit(1)).alias("listed_orgs"))
     known = seeds.select(F.col("domain").alias("org")).distinct()
     fresh = orgs.join(known, "org", "left_anti")

@@ -14,12 +14,21 @@ from .base import register, scratch, sql_host, table
 from .contacts import PAGE_EMAILS_SQL
 
 
-def _stream(df: DataFrame, name: str, order: str, files: int = 3) -> DataFrame:
-    """A stream of a derived table: written as range-ordered files, read one file per batch."""
+def _stream(df: DataFrame, name: str, order: str, batches: int = 3) -> DataFrame:
+    """A stream of a derived table, arriving in batches that follow ``order``.
+
+    The file source reads files by age, so the batches are written one after
+    the other.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.repartitionByRange(files, order).sortWithinPartitions(order).write.parquet(path)
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    numbered = df.withColumn("__o", F.col(order).cast("timestamp").cast("double")
+                             if dict(df.dtypes)[order].startswith("timestamp") else F.col(order).cast("double"))
+    cuts = [float("-inf"), *numbered.approxQuantile("__o", [i / batches for i in range(1, batches)], 0.01), float("inf")]
+    for low, high in zip(cuts, cuts[1:]):
+        part = numbered.where((F.col("__o") > low) & (F.col("__o") <= high)).drop("__o")
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 @register("st1_contact_updates", f"""SELECT domain, value, max(confidence) AS confidence FROM (SELECT {sql_host('url')} AS domain, email AS value, confidence
