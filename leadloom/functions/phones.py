@@ -7,22 +7,35 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import rules
 from .text import pin, strip
 
-#: A phone candidate with the cue word that stands directly before it, if any.
-CUED_PHONE = "(?iU)(?:" + rules.PHONE_CUE + ")?" + rules.PHONE
-_BEFORE = r"(?sU)^[^\d+]*"
+PHONE = "(?iU)" + rules.PHONE
 
 
-def has_dialing_evidence(candidate: Column) -> Column:
-    """True for a cued candidate with a prefix, several digit groups or a near cue word."""
-    raw = F.regexp_replace(candidate, _BEFORE, "")
-    before = F.regexp_extract(candidate, r"(?sU)^([^\d+]*)", 1)
-    return (raw.rlike(r"^(?:\+|00)") | raw.rlike(r"(?U)\d[^\d]+\d") | raw.contains("(")
-            | F.right(before, F.lit(40)).rlike("(?iU)" + rules.PHONE_CUE + "$"))
+def _cue_before() -> str:
+    """Look-behind for a cue word and separators within the cue window."""
+    return "(?<=" + "|".join(
+        f"{cue}{rules.PHONE_CUE_SEPARATOR}{{0,{rules.PHONE_CUE_WINDOW - len(cue.replace(chr(92), ''))}}}"
+        for cue in rules.PHONE_CUES) + ")"
 
 
-def phone_text(candidate: Column) -> Column:
-    """The number of a cued candidate, without the cue."""
-    return F.regexp_replace(candidate, _BEFORE, "")
+#: A phone right after a cue word.  The cheap look-ahead comes first, so the
+#: look-behind is only tried where a number may start.
+CUED_PHONE = r"(?iU)(?=[+\d])" + _cue_before() + rules.PHONE
+
+
+def phone_runs(text: Column) -> Column:
+    """Digit runs shaped like phone numbers."""
+    return F.regexp_extract_all(text, F.lit(PHONE), F.lit(0))
+
+
+def has_own_evidence(raw: Column) -> Column:
+    """True for a number with an international prefix or several digit groups."""
+    return raw.rlike(r"^\s*(?:\+|00)") | raw.rlike(r"(?U)\d[^\d]+\d") | raw.contains("(")
+
+
+def dialable_runs(text: Column) -> Column:
+    """Digit runs with a sign of being a phone number: their own shape or a cue word before them."""
+    cued = F.regexp_extract_all(text, F.lit(CUED_PHONE), F.lit(0))
+    return F.filter(phone_runs(text), lambda r: has_own_evidence(r) | F.array_contains(cued, r))
 
 
 def looks_like_number_list(raw: Column) -> Column:

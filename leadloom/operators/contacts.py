@@ -14,8 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import rules
 from ..functions.emails import (
     clean_email, decode_cfemail, email_confidence, is_role, is_valid_email)
-from ..functions.phones import (
-    CUED_PHONE, has_dialing_evidence, phone_text, with_normalised_phone)
+from ..functions.phones import dialable_runs, with_normalised_phone
 from ..functions.text import pin, strip
 from ..functions.urls import host_of, registrable_domain
 from .pages import embedded_state, visible_text
@@ -25,7 +24,16 @@ FAMILIES = ("email", "phone", "social")
 #: The look-behind pins the third form to the first word of a blank-free run,
 #: where it would match anyway, which keeps the search linear.
 URL_IN_TEXT = (r"(?iU)\bhttps?://\S+|\bwww\.\S+|"
-               r"(?<=(?:^|\s)[^\w\s]{0,32})(?=\w)\S+\.(?:com|org|net|io)/\S*")
+               r"\b(?=\w)(?<=(?:^|\s)[^\w\s]{0,32})\S+\.(?:com|org|net|io)/\S*")
+#: What any match of the pattern above contains.
+URL_SIGN = r"(?iU)://|www\.|\.(?:com|org|net|io)/"
+#: What any spelled-out address contains, per pattern.
+MARK_SIGN = r"(?iU)@|[(\[{]\s*at\s*[)\]}]"
+WORD_SIGN = r"(?iU)[\s(\[{](?:dot|punkt|nokta|punto)[\s)\]}]"
+NONE = "array<string>"
+SOCIAL_HOSTS = {kind: (f"{kind}.com/",) for kind in rules.SOCIAL_PATTERNS} | {
+    "twitter": ("twitter.com/", "x.com/"), "telegram": ("t.me/", "telegram.me/"),
+    "whatsapp": ("api.whatsapp.com/", "wa.me/")}
 
 _CANDIDATE = "array<struct<kind:string,raw:string,base:double,tag:string,place:int>>"
 
@@ -50,17 +58,22 @@ def mailto_emails(html: Column) -> Column:
     return F.transform(_all(html, rules.MAILTO, 1), lambda m: F.substring_index(m, ",", 1))
 
 
+def _where(sign: Column, found: Column) -> Column:
+    """Run a search only on texts that hold what every match must contain."""
+    return F.when(sign, found).otherwise(F.array().cast(NONE))
+
+
 def plain_emails(text: Column) -> Column:
-    return _all(text, rules.EMAIL)
+    return _where(text.contains("@"), _all(text, rules.EMAIL))
 
 
 def obfuscated_emails(visible: Column) -> Column:
     """Addresses written as ``name (at) domain (dot) tld``."""
     found = []
-    for pattern in (rules.OBFUSCATED_MARK, rules.OBFUSCATED_WORD):
+    for pattern, sign in ((rules.OBFUSCATED_MARK, MARK_SIGN), (rules.OBFUSCATED_WORD, WORD_SIGN)):
         pairs = F.arrays_zip(_all(visible, pattern, 1).alias("l"), _all(visible, pattern, 2).alias("d"))
-        found.append(F.filter(F.transform(pairs, lambda p: _spelled_out(p["l"], p["d"])),
-                              lambda e: e.isNotNull()))
+        found.append(_where(visible.rlike(sign), F.filter(
+            F.transform(pairs, lambda p: _spelled_out(p["l"], p["d"])), lambda e: e.isNotNull())))
     return F.concat(*found)
 
 
@@ -75,20 +88,21 @@ def concatenated_emails(html: Column) -> Column:
     """Addresses joined in script code: ``'name' + '@' + 'domain.tld'``."""
     pairs = F.arrays_zip(_all(html, rules.JS_CONCAT, 1).alias("l"),
                          _all(html, rules.JS_CONCAT, 2).alias("d"))
-    return F.transform(pairs, lambda p: F.concat(p["l"], F.lit("@"), p["d"]))
+    return _where(html.contains("+"), F.transform(pairs, lambda p: F.concat(p["l"], F.lit("@"), p["d"])))
 
 
 def tel_links(html: Column) -> Column:
     return _all(html, rules.TEL, 1)
 
 
-def phone_candidates(visible: Column) -> Column:
-    """Digit runs of the text, each with the cue word right before it."""
-    return _all(F.regexp_replace(visible, URL_IN_TEXT, " "), CUED_PHONE)
+def without_urls(visible: Column) -> Column:
+    return F.when(visible.rlike(URL_SIGN), F.regexp_replace(visible, URL_IN_TEXT, " ")).otherwise(visible)
 
 
 def social_profiles(html: Column) -> dict[str, Column]:
-    return {kind: _all(html, pattern, 1) for kind, pattern in rules.SOCIAL_PATTERNS.items()}
+    low = F.lower(html)
+    return {kind: _where(F.greatest(*[low.contains(host) for host in SOCIAL_HOSTS[kind]], F.lit(False)),
+                         _all(html, pattern, 1)) for kind, pattern in rules.SOCIAL_PATTERNS.items()}
 
 
 def social_url(kind: Column, handle: Column) -> Column:
@@ -123,8 +137,9 @@ def candidates(pages: DataFrame, keys: Sequence[str], want: Sequence[str] = FAMI
             arrays += [_found("email", obfuscated_emails(v), 0.65, "deobfuscated", 5),
                        _found("email", concatenated_emails(h), 0.70, "js_concat", 6)]
     if "phone" in want:
+        df = df.withColumn("__spoken", without_urls(v))
         arrays += [_found("phone", tel_links(h), 0.95, "tel", 10),
-                   _found("phone", phone_candidates(v), 0.60, "text", 11)]
+                   _found("phone", dialable_runs(F.col("__spoken")), 0.60, "text", 11)]
     if "social" in want:
         for i, (kind, found) in enumerate(social_profiles(h).items()):
             arrays.append(_found(kind, found, 0.80, None, 20 + i))
@@ -167,10 +182,9 @@ def _judged(found: DataFrame, org: str, url: str, blocklist, local_blocklist) ->
     kind, raw, tag = F.col("kind"), F.col("raw"), F.col("tag")
     mail, phone, ld = kind == "email", kind == "phone", tag == "jsonld"
     df = pin(found, "__mail", F.when(mail & (tag.isNull() | ~ld), clean_email(raw)).when(mail, F.lower(raw)))
-    df = df.withColumn("__tel", F.when(phone & (tag == "text"), phone_text(raw)).when(phone, raw))
+    df = df.withColumn("__tel", F.when(phone, raw))
     df = df.where(
         F.when(mail, is_valid_email(F.col("__mail"), blocklist, local_blocklist))
-        .when(phone & (tag == "text"), has_dialing_evidence(raw))
         .when(phone, F.lit(True))
         .otherwise(~F.lower(raw).isin(*rules.SOCIAL_RESERVED)))
     df = with_normalised_phone(df, "__tel", "__phone")

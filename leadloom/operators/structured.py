@@ -29,16 +29,17 @@ def _node(path: Column, v: Column) -> Column:
     return F.struct(path.alias("path"), v.alias("v"))
 
 
-def _children(node: Column) -> Column:
-    path, v = node["path"], node["v"]
-    nested = F.array(*[
-        _node(F.concat(path, F.array(F.lit(i))), _get(v, key))
-        for i, key in enumerate(rules.JSONLD_CHILD_KEYS)])
-    items = F.transform(
-        F.slice(F.try_variant_get(v, "$", "array<variant>"), 1, rules.JSONLD_MAX_ITEMS),
-        lambda item, i: _node(F.concat(path, F.array(i)), item))
-    found = F.when(_is_array(v), items).when(_is_object(v), nested)
-    return F.filter(found, lambda n: n["v"].isNotNull())
+def _children(level: str) -> Column:
+    """Nodes one step below a level: list items, or the values of the followed keys."""
+    keyed = ", ".join(
+        f"named_struct('path', concat(n.path, array({i})), 'v', try_variant_get(n.v, \"$['{key}']\", 'variant'))"
+        for i, key in enumerate(rules.JSONLD_CHILD_KEYS))
+    return F.expr(f"""flatten(transform({level}, n -> filter(
+        CASE WHEN schema_of_variant(n.v) LIKE 'ARRAY%' THEN transform(
+                 slice(try_variant_get(n.v, '$', 'array<variant>'), 1, {rules.JSONLD_MAX_ITEMS}),
+                 (item, i) -> named_struct('path', concat(n.path, array(i)), 'v', item))
+             WHEN schema_of_variant(n.v) LIKE 'OBJECT%' THEN array({keyed}) END,
+        c -> c.v IS NOT NULL)))""")
 
 
 def _text(v: Column) -> Column:
@@ -104,7 +105,7 @@ def with_jsonld(pages: DataFrame, html: str = "html", out: str = "jsonld") -> Da
     df = df.withColumn("__n0", roots)
     levels = [F.col("__n0")]
     for depth in range(1, rules.JSONLD_MAX_DEPTH + 1):
-        df = df.withColumn(f"__n{depth}", F.flatten(F.transform(levels[-1], _children)))
+        df = df.withColumn(f"__n{depth}", _children(f"__n{depth - 1}"))
         levels.append(F.col(f"__n{depth}"))
     objects = F.filter(F.concat(*levels), lambda n: _is_object(n["v"]))
     accepted = F.array_sort(F.filter(

@@ -162,8 +162,8 @@ def _(spark, sf):
 
 @register("con12_phone_candidates", f"SELECT DISTINCT doc_id, unnest({sql_phone_runs('t')}) AS raw FROM (SELECT doc_id, regexp_replace({_PLANTED}, '(?i)\\bhttps?://\\S+|\\bwww\\.\\S+', ' ', 'g') AS t FROM documents)")
 def _(spark, sf):
-    return _docs(spark, sf).select("doc_id", F.explode(F.transform(
-        C.phone_candidates(F.col("text")), N.phone_text)).alias("raw")).distinct()
+    return _docs(spark, sf).select("doc_id", F.explode(
+        N.phone_runs(C.without_urls(F.col("text")))).alias("raw")).distinct()
 
 
 _CUED = ("CASE doc_id % 6 WHEN 0 THEN concat('id ', 4000000 + doc_id) WHEN 1 THEN concat('Tel: ', 4000000 + doc_id) WHEN 2 THEN concat('هاتف ', 4000000 + doc_id) "
@@ -172,9 +172,8 @@ _CUED = ("CASE doc_id % 6 WHEN 0 THEN concat('id ', 4000000 + doc_id) WHEN 1 THE
 
 @register("con13_dialing_evidence", "SELECT doc_id, doc_id % 6 <> 0 AS evidence FROM documents")
 def _(spark, sf):
-    df = table(spark, sf, "documents").select("doc_id", F.explode(
-        C.phone_candidates(F.expr(_CUED))).alias("c"))
-    return df.select("doc_id", N.has_dialing_evidence(F.col("c")).alias("evidence"))
+    df = table(spark, sf, "documents").select("doc_id", F.expr(_CUED).alias("t"))
+    return df.select("doc_id", (F.size(N.dialable_runs(F.col("t"))) > 0).alias("evidence"))
 
 
 _NUMBER = ("CASE doc_id % 14 WHEN 0 THEN concat('2026-', 10000 + doc_id % 80000) WHEN 1 THEN concat('09-0', 1 + doc_id % 9, '-2025') WHEN 2 THEN concat('10.0.', doc_id % 250, '.7') "

@@ -253,8 +253,10 @@ MAILTO = r"(?iU)(?:href|content)\s*=\s*[\"']\s*mailto:([^\"'?>]+)"
 TEL = r"(?iU)href\s*=\s*[\"']\s*tel:([+0-9().\-\s]{6,})[\"']"
 PHONE = (r"(?<![\w.])(?:\+|00)?\d{1,3}[\s.\-]?(?:\(\d{1,4}\)[\s.\-]?)?"
          r"\d{2,4}(?:[\s.\-]?\d{2,4}){1,4}(?:\s*(?:ext|x|extn|poste)\.?\s*\d{1,5})?(?![\w.])")
-PHONE_CUE = (r"(?:tel|phone|call|mobile|cell|fax|whats\s?app|contact|hotline|"
-             r"telefon|téléphone|teléfono|telefono|هاتف|جوال|اتصل)[\s.:\-–—]*")
+PHONE_CUES = ("tel", "phone", "call", "mobile", "cell", "fax", "whatsapp", r"whats\sapp", "contact", "hotline",
+              "telefon", "téléphone", "teléfono", "telefono", "هاتف", "جوال", "اتصل")
+PHONE_CUE_SEPARATOR = r"[\s.:\-–—]"
+PHONE_CUE_WINDOW = 40
 SOCIAL_PATTERNS = {
     "linkedin": r"(?iU)https?://(?:[a-z0-9-]+\.)?linkedin\.com/((?:in|company|school|pub)/[A-Za-z0-9_%\-.]{2,100})",
     "twitter": r"(?iU)https?://(?:www\.|mobile\.)?(?:twitter|x)\.com/(?!(?:share|intent|home|search|hashtag|i/)\b)([A-Za-z0-9_]{1,15})",

@@ -59,3 +59,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to reliable storage and drop its lineage."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Distribute a table that arrives in fewer pieces than half the task slots.
+
+    A file with a single row group is read by one task, however large its rows
+    are.  Tables of many files are left alone, so nothing large is shuffled.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots, *keys) if df.rdd.getNumPartitions() * 2 <= slots else df
