@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,9 +20,31 @@ def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings the operators need to an existing session."""
     for key, value in REQUIRED.items():
         spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the executors' Python, once per context.
+
+    Spark's own file server carries it, so the package need not be installed
+    on the executors nor lie in the folder a job is started from.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_leadloom_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="leadloom-package-"), "leadloom.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    sc.addPyFile(archive)
+    sc._leadloom_shipped = True
+
+
 def build_session(app: str = "leadloom", **conf: str) -> SparkSession:
     """A session with adaptive execution on; cluster settings come from spark-submit."""
     builder = SparkSession.builder.appName(app)
@@ -60,12 +84,3 @@ def cut(df: DataFrame) -> DataFrame:
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Distribute a table that arrives in fewer pieces than half the task slots.
-
-    A file with a single row group is read by one task, however large its rows
-    are.  Tables of many files are left alone, so nothing large is shuffled.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots, *keys) if df.rdd.getNumPartitions() * 2 <= slots else df
