@@ -120,3 +120,15 @@ def components(spark: SparkSession, edges: DataFrame, stage: Stage) -> DataFrame
         if not changed:
             stage.drop(both)
             return labels.select("id", F.col("label").alias("component"))
+
+
+def broadcast_small(df: DataFrame, most_rows: int) -> DataFrame:
+    """``df`` (a staged table) marked for broadcast if it has at most ``most_rows`` rows, else unchanged."""
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
+def row_key(doc_id="doc_id", text="text") -> dict:
+    """Columns that name a document row, also one whose id is null or repeated."""
+    doc_id = F.col(doc_id).cast("long")
+    return {"__id": F.coalesce(doc_id, F.lit(0)), "__no_id": doc_id.isNull(),
+            "__text": F.xxhash64(F.col(text).cast("string"))}

@@ -106,3 +106,56 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     from .op8_superminhash import near_duplicates
 
     return near_duplicates(table(spark, sf, "documents").select("doc_id", "text"), shingle=3, percent=85)
+
+
+_OP2_SQL = f"""
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id < y.vec_id
+          AND len(x.e) = len(y.e) WHERE list_cosine_similarity(x.e, y.e) >= 0.93),
+nodes AS (SELECT vec_id AS id FROM embeddings)
+{_REACH}, degree AS (SELECT a, count(*) AS n FROM both_ways GROUP BY a)
+SELECT id AS vec_id, coalesce(n, 0) AS n_links, component_id, id = component_id AS kept
+FROM comp LEFT JOIN degree ON a = id
+"""
+
+
+@register("op2_embedding_dedup", _OP2_SQL)
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of one label whose cosine is 0.93 or more, over all embeddings."""
+    from .op2_rotation_codes import near_vectors
+
+    return near_vectors(table(spark, sf, "embeddings"))
+
+
+_OP9_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, hex,
+             CAST(CAST(unhex(hex) AS BIT) AS VARCHAR) AS bits, min(page_id) OVER (PARTITION BY hex) AS first FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + list_sum(list_transform(range(5), lambda j: CAST(substr(bits, CAST(i * 5 + j + 1 AS BIGINT), 1) AS BIGINT)
+                                       * CAST(pow(2, 4 - j) AS BIGINT)))::BIGINT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+"""
+
+
+@register("op9_warc", _OP9_SQL)
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    """All pages as WARC records in ZIP packages, read back by byte range."""
+    from .common import shared_folder
+    from .op9_zip_warc import read_packages, write_packages
+
+    packages = write_packages(table(spark, sf, "pages"), shared_folder(spark, "warc"))
+    out = read_packages(spark, packages, with_payload=False)
+
+    def number(c: str):
+        return F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1).try_cast("long")
+
+    return out.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                      number("refers_to").alias("refers_to"))
