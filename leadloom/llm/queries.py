@@ -159,3 +159,80 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 
     return out.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
                       number("refers_to").alias("refers_to"))
+
+
+@register("op1_decontamination")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark items found in whole documents, verbatim or with other numbers, units and names."""
+    from .op1_templates import find_leaks
+
+    out = find_leaks(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"))
+    return out.select("doc_id", "item_id", "kind", "coverage", "matched_words", "slots")
+
+
+@register("op4_sentencepiece")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole documents encoded to pieces and decoded again."""
+    from .op4_piece_lattice import decode, default_model, encode
+
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    out = decode(encode(docs, default_model(spark)), default_model(spark))
+    return out.select("doc_id", "ids", F.size("ids").alias("n_pieces"),
+                      F.coalesce(F.col("decoded") == F.col("text"), F.col("text").isNull()).alias("round_trip"))
+
+
+@register("op7_html_text")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    """Visible text of all pages, laid out with block spacing, lists and aligned table cells."""
+    from .op7_layout_text import visible_text
+
+    out = visible_text(table(spark, sf, "pages").select("page_id", "html"))
+    return out.select("page_id", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def quoted_mail(conversations: DataFrame) -> DataFrame:
+    """The conversations as mail: each message quotes the turn before it, which quotes the one before that.
+
+    The given table has no quotes; these follow from all of its rows.
+    """
+    base = conversations.select("conv_id", "turn", "role", "text")
+    past = base.where("text is not null").groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("p"))
+    one = past.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("p.role").alias("r1"), F.col("p.text").alias("t1"))
+    two = past.select("conv_id", (F.col("turn") + 2).alias("turn"), F.col("p.role").alias("r2"), F.col("p.text").alias("t2"))
+    quote = F.concat_ws("\n", F.concat(F.coalesce("r1", F.lit("someone")), F.lit(" wrote:")),
+                        F.when(F.col("t2").isNotNull(), F.concat(F.lit("> "), F.coalesce("r2", F.lit("someone")), F.lit(" wrote:\n> > "),
+                                                                 F.replace(F.col("t2"), F.lit("\n"), F.lit("\n> > ")))),
+                        F.concat(F.lit("> "), F.replace(F.col("t1"), F.lit("\n"), F.lit("\n> "))))
+    return (base.join(one, ["conv_id", "turn"], "left").join(two, ["conv_id", "turn"], "left")
+            .select("conv_id", "turn", "role", F.when(F.col("t1").isNull() | F.col("text").isNull(), F.col("text"))
+                    .otherwise(F.concat(quote, F.lit("\n\n"), F.col("text"))).alias("text")))
+
+
+_OP10_SQL = """
+WITH RECURSIVE b AS (
+    SELECT conv_id, turn, role, text, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS whole FROM conversations),
+up AS (SELECT x.conv_id, x.turn, max(y.turn) AS parent_turn
+       FROM b x JOIN b p ON p.conv_id = x.conv_id AND p.turn = x.turn - 1
+       JOIN b y ON y.conv_id = x.conv_id AND y.turn < x.turn AND y.whole = p.whole GROUP BY ALL),
+chain(conv_id, turn, cur, depth) AS (
+    SELECT conv_id, turn, turn, 0 FROM b
+    UNION ALL SELECT c.conv_id, c.turn, u.parent_turn, depth + 1
+    FROM chain c JOIN up u ON u.conv_id = c.conv_id AND u.turn = c.cur),
+root AS (SELECT conv_id, turn, arg_max(cur, depth) AS root_turn, max(depth) AS depth FROM chain GROUP BY ALL)
+SELECT b.conv_id, b.turn, b.role, b.text AS body,
+       (p1.turn IS NOT NULL)::INT + (p1.turn IS NOT NULL AND p2.turn IS NOT NULL)::INT AS n_quotes,
+       (p1.turn IS NOT NULL)::BIGINT + (p1.turn IS NOT NULL AND p2.turn IS NOT NULL)::BIGINT AS n_linked,
+       parent_turn, NULL::BIGINT AS source_conv_id, NULL::BIGINT AS source_turn, root_turn, depth,
+       row_number() OVER (PARTITION BY b.conv_id ORDER BY root_turn, b.turn) AS position
+FROM b LEFT JOIN up USING (conv_id, turn) JOIN root USING (conv_id, turn)
+LEFT JOIN b p1 ON p1.conv_id = b.conv_id AND p1.turn = b.turn - 1
+LEFT JOIN b p2 ON p2.conv_id = b.conv_id AND p2.turn = b.turn - 2
+"""
+
+
+@register("op10_quote_threads", _OP10_SQL)
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    """Quotes of all conversations, as mail, linked to their messages; conversations in reply order without them."""
+    from .op10_quote_threads import link_quotes
+
+    return link_quotes(quoted_mail(table(spark, sf, "conversations")))
