@@ -11,9 +11,10 @@ Groups of copies never become all pairs:
     128-bit set hash); only class representatives go on.
 2.  In every band bucket the class with most copies is the pivot.  Members
     are compared with the pivot only, on their full shingle sets.
-3.  Members of one pivot that union-find has not yet joined are compared with
-    each other if their sizes and a 1,024-bit signature sketch allow the
-    similarity; those few pairs are confirmed on full sets too.
+3.  Members of linked pivots that union-find has not yet joined are compared
+    with each other if their sizes, what each exactly shares with a
+    reference pivot and a 1,024-bit signature sketch allow the similarity; those few
+    pairs are confirmed on full sets too.
 """
 
 from __future__ import annotations
@@ -28,6 +29,9 @@ from pyspark.sql import DataFrame, functions as F
 from .common import U64, Stage, WordHashes, components, mix, slices
 
 SLOTS = 512
+#: Deviation of a SuperMinHash comparison over that of independent slots, for sets with fewer members than slots
+#: (measured at most 0.82 for sets of 60 to 400 members and 512 slots).
+SMALL_SETS = 0.85
 _EMPTY = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -151,7 +155,8 @@ def _mismatches(a: str, b: str, words: int):
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, slots: int = SLOTS,
-                    bands: int = 32, rows: int = 6) -> DataFrame:
+                    bands: int = 32, rows: int = 6, broadcast_ids: int = 4_000_000,
+                    slack: float = 4.0) -> DataFrame:
     """Near-duplicate groups of ``docs(doc_id, text)`` by Jaccard similarity of word shingles.
 
     Two documents are linked when 100 * |A and B| >= ``percent`` * |A or B| for
@@ -166,7 +171,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, slots:
 
     With the defaults a pair at the threshold of 0.85 shares no band with
     probability 3e-7, one at 0.8 with 6e-5 (raise ``bands`` to lower it);
-    the sketch filter lets 5 standard deviations of slack pass.
+    the sketch filter lets ``slack`` standard deviations pass of a comparison pass.  Ids of the
+    documents whose sets are needed are broadcast up to ``broadcast_ids`` of
+    them (8 bytes each); beyond that their texts are found by a shuffled join.
     """
     spark = docs.sparkSession
     stage = Stage(spark, "near")
@@ -196,44 +203,66 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, slots:
              .where(F.lit(100) * F.least("n", "pivot_n") >= F.lit(percent) * F.greatest("n", "pivot_n")))
     pairs = stage.put(sized.select(F.col("pivot").alias("a"), F.col("id").alias("b")), "pairs")
     # all that any comparison can need: the members of a pivot
-    wanted = members.select("id").distinct()
-    sets = stage.put(src.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+    wanted = stage.put(members.select(F.col("id").alias("doc_id")).distinct(), "wanted")
+    if wanted.count() <= broadcast_ids:
+        wanted = F.broadcast(wanted)
+    sets = stage.put(src.join(wanted, "doc_id", "left_semi")
                      .mapInArrow(partial(_shingles, size=shingle), "doc_id long, set_a long, shingles array<long>")
                      .join(heads.select(F.col("id").alias("doc_id"), "n", "set_a"), ["doc_id", "set_a"])
                      .dropDuplicates(["doc_id"])
                      .select(F.col("doc_id").alias("id"), "n", "shingles"), "sets")
 
-    def confirmed(found: DataFrame) -> DataFrame:
+    def measured(found: DataFrame) -> DataFrame:
+        """Exact similarity of each pair, from full sets."""
         left = sets.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a"))
         right = sets.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b"))
         both = found.join(left, "a").join(right, "b").select(
             "a", "b", "n_a", "n_b", F.size(F.array_intersect("s_a", "s_b")).cast("long").alias("common"))
-        return both.where(F.lit(100) * F.col("common")
-                          >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
+        union = F.col("n_a") + F.col("n_b") - F.col("common")
+        return both.select("a", "b", (F.lit(100) * F.col("common") >= F.lit(percent) * union).alias("linked"),
+                           "common")
 
-    links = stage.put(confirmed(pairs), "links")
+    seen = stage.put(measured(pairs), "measured")
+    links = seen.where("linked").select("a", "b")
     groups = components(spark, links, stage)
 
     def grouped(df: DataFrame, column: str, out: str) -> DataFrame:
         return (df.join(groups.select(F.col("id").alias(column), F.col("component").alias("__c")), column, "left")
                 .withColumn(out, F.coalesce("__c", column)).drop("__c"))
 
-    placed = grouped(members, "id", "group")
-    mixed = placed.groupBy("pivot").agg(F.min("group").alias("lo"), F.max("group").alias("hi")) \
-        .where("lo < hi").select("pivot")
-    rest = stage.put(placed.where("pivot <> id").join(mixed, "pivot", "left_semi")
+    # pivots that are linked count as one, so a pair meets once; the pivot with most members is the reference
+    placed = grouped(grouped(members, "id", "group"), "pivot", "meeting")
+    counted = stage.put(placed.groupBy("meeting", "pivot").agg(F.count(F.lit(1)).alias("size"),
+                                                              F.min("group").alias("lo"), F.max("group").alias("hi")),
+                        "pivots")
+    mixed = counted.groupBy("meeting").agg(F.max(F.struct("size", "pivot")).alias("top"), F.min("lo").alias("lo"),
+                                           F.max("hi").alias("hi")) \
+        .where("lo < hi").select("meeting", F.col("top.pivot").alias("reference"))
+    rest = stage.put(placed.select("meeting", "id", "group").distinct().join(mixed, "meeting")
+                     .join(seen.select(F.col("a").alias("reference"), F.col("b").alias("id"), "common"),
+                           ["reference", "id"], "left")
                      .join(heads.select("id", "n", "sketch"), "id"), "rest")
-    # expected mismatches at the threshold plus five standard deviations
+    # expected mismatches at the threshold plus ``slack`` standard deviations
     p = (1 - percent / 100) * 0.75
-    most = int(slots * p + 5 * (slots * p * (1 - p)) ** 0.5)
-    x = rest.select("pivot", *[F.col(c).alias(f"{c}_a") for c in ("id", "group", "n", "sketch")])
-    y = rest.select("pivot", *[F.col(c).alias(f"{c}_b") for c in ("id", "group", "n", "sketch")])
-    left_over = (x.join(y, (x["pivot"] == y["pivot"]) & (F.col("id_a") < F.col("id_b"))
+    deviation = (slots * p * (1 - p)) ** 0.5
+    most = F.when(F.col("n_a") + F.col("n_b") <= 2 * slots, int(slots * p + slack * SMALL_SETS * deviation)) \
+        .otherwise(int(slots * p + slack * deviation))
+    fields = ("id", "group", "n", "sketch", "common")
+    x = rest.select("meeting", *[F.col(c).alias(f"{c}_a") for c in fields])
+    y = rest.select("meeting", *[F.col(c).alias(f"{c}_b") for c in fields])
+    # what two documents share lies in the reference, in both, or outside it, in both
+    shared = (F.least("common_a", "common_b")
+              + F.least(F.col("n_a") - F.col("common_a"), F.col("n_b") - F.col("common_b")))
+    apart = F.lit(100) * shared < F.lit(percent) * (F.col("n_a") + F.col("n_b") - shared)
+    left_over = (x.join(y, (x["meeting"] == y["meeting"]) & (F.col("id_a") < F.col("id_b"))
                         & (F.col("group_a") != F.col("group_b"))
                         & (F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b"))
-                        & (_mismatches("sketch_a", "sketch_b", slots // 32) <= F.lit(most)))
-                 .select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
-    more = stage.put(confirmed(left_over), "more")
+                        & ~F.coalesce(apart, F.lit(False))
+                        & (_mismatches("sketch_a", "sketch_b", slots // 32) <= most))
+                 .select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+    known = seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    left_over = stage.put(left_over.join(known, ["a", "b"], "left_anti"), "left_over")
+    more = stage.put(measured(left_over).where("linked").select("a", "b"), "more")
     if more.limit(1).count():
         groups = components(spark, links.unionByName(more), stage)
     out = (one.join(classes.select(*key, "class_id"), key, "left")
