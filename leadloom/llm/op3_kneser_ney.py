@@ -15,6 +15,7 @@ calibration on training rows allows for its length.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,6 +31,7 @@ ORDER = 5
 #: Probability of a character that no language has seen: one of so many.
 ALPHABET = 100_000
 UNKNOWN = "und"
+_RUNS = re.compile(r"[^\W\d_]+")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -45,8 +47,8 @@ def _code_points(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
     pad = " " * (ORDER - 1)
     texts, owner = [], []
     for i, token in enumerate(tokens):
-        letters = "".join(c if c.isalpha() else " " for c in token.lower())
-        for run in letters.split():
+        low = token.lower()
+        for run in (low,) if low.isalpha() else _RUNS.findall(low):
             texts.append(f"{pad}{run} ")
             owner.append(i)
     if not texts:
@@ -111,12 +113,15 @@ class Model:
     log_p: list[np.ndarray]         # per order, gram x language
     log_back: list[np.ndarray]      # per order, gram (as a context) x language
     log_back_root: np.ndarray | None = None  # back-off weight of the empty context
-    usual: np.ndarray | None = None      # mean cross-entropy of training rows per language
-    spread: np.ndarray | None = None     # its deviation times the square root of the length
 
     def log_probs(self, points: np.ndarray, start: np.ndarray) -> np.ndarray:
         """Log probability of the last character of each window, a column per language."""
         grams = np.lib.stride_tricks.sliding_window_view(points, ORDER)[start]
+        # texts repeat their grams: each distinct one is looked up once
+        _, first, where = np.unique(_hashes(grams)[-1], return_index=True, return_inverse=True)
+        return self._distinct(grams[first])[where]
+
+    def _distinct(self, grams: np.ndarray) -> np.ndarray:
         out = np.full((len(grams), len(self.langs)), -np.log(ALPHABET), np.float64)
         whole = _hashes(grams)
         context = _hashes(np.concatenate([grams[:, :1], grams[:, :-1]], axis=1))
@@ -203,7 +208,7 @@ def build(rows: list[tuple[str, str, int]]) -> Model:
 class _Scorer:
     """Scores of whole texts; the sums of each distinct token are computed once and kept while room lasts."""
 
-    def __init__(self, model: Model, most: int = 200_000):
+    def __init__(self, model: Model, most: int = 400_000):
         self.model, self.most = model, most
         self.at: dict[str, int] = {}
         self.sums = np.zeros((0, len(model.langs) + 2))
@@ -243,7 +248,8 @@ class _Scorer:
         return out
 
 
-def _score(batches: Iterator[pa.RecordBatch], model, z: float) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], model, usual: np.ndarray, spread: np.ndarray, z: float,
+           ) -> Iterator[pa.RecordBatch]:
     m: Model = model.value
     scorer = _Scorer(m)
     names = pa.array([*m.langs, UNKNOWN])
@@ -260,7 +266,7 @@ def _score(batches: Iterator[pa.RecordBatch], model, z: float) -> Iterator[pa.Re
                 # posterior of a text of at most 20 characters of evidence, so that it stays below 1
                 weight = np.exp((low[:, None] - cross) * np.minimum(chars, 20)[:, None])
                 share = 1 / weight.sum(axis=1)
-                far = low > m.usual[best] * 1.25 + z * m.spread[best] / np.sqrt(np.maximum(chars, 1))
+                far = low > usual[best] * 1.25 + z * spread[best] / np.sqrt(np.maximum(chars, 1))
             else:
                 best, low, share, far = np.zeros(len(t), int), np.zeros(len(t)), np.zeros(len(t)), np.zeros(len(t), bool)
             pick = np.where(known, best, len(m.langs))
@@ -271,43 +277,70 @@ def _score(batches: Iterator[pa.RecordBatch], model, z: float) -> Iterator[pa.Re
                 names=[*batch.schema.names, "lang_pred", "score", "cross_entropy", "rejected"])
 
 
-def fit(train: DataFrame, most_grams: int = 200_000, calibration_rows: int = 2_000) -> Model:
-    """Learn from all rows of ``train(doc_id, text, lang)``; rows with a null text or lang are left out.
+def fit(train: DataFrame, most_grams: int = 200_000) -> Model:
+    """Learn from all rows of ``train(text, lang)``; rows with a null text or lang are left out.
 
-    The model that goes to the executors is bounded: per language the
-    ``most_grams`` most frequent grams of the top order are kept (ties by the
-    gram); dropped grams back off.  Rejection is calibrated on a bounded sample
-    of ``calibration_rows`` training rows (smallest id hashes).
+    The model that goes to the executors is bounded: per language at most
+    ``most_grams`` grams of the top order, the most frequent; dropped grams
+    back off.
     """
     train = train.where("text is not null and lang is not null")
     counts = Stage(train.sparkSession, "grams").put(
         train.select("lang", "text").mapInArrow(partial(_gram_counts, flush=400_000),
                                                 "lang string, gram string, n long")
         .groupBy("lang", "gram").agg(F.sum("n").alias("n")), "counts")
-    langs = [r[0] for r in counts.select("lang").distinct().collect()]
-    rows = []
-    for lang in langs:
-        rows += [(r[0], r[1], r[2]) for r in counts.where(F.col("lang") == lang)
-                 .orderBy(F.desc("n"), "gram").limit(most_grams).collect()]
-    model = build(rows)
-    sample = (train.orderBy(F.xxhash64("doc_id"), "text").select("text", "lang").limit(calibration_rows).collect())
-    usual, spread = np.zeros(len(langs)), np.ones(len(langs))
-    if sample and langs:
-        totals = _Scorer(model).totals([r[0] for r in sample])
-        chars = np.maximum(totals[:, -2], 1)
-        for j, lang in enumerate(model.langs):
-            own = np.array([r[1] == lang for r in sample]) & (totals[:, -1] > 0)
-            every = -totals[:, j] / chars
-            if own.any():
-                usual[j] = np.average(every[own], weights=chars[own])
-                spread[j] = max(0.5, np.sqrt(np.median((every[own] - usual[j]) ** 2 * chars[own])) * 1.4826)
-            else:
-                usual[j], spread[j] = 4.0, 2.0
-    model.usual, model.spread = usual, spread
-    return model
+    # the smallest count whose grams, with all more frequent ones, stay within the bound
+    sizes = counts.groupBy("lang", F.least("n", F.lit(10_000)).alias("n")).agg(F.count(F.lit(1)).alias("w")).collect()
+    keep = F.lit(False)
+    for lang in {r["lang"] for r in sizes}:
+        total, least = 0, None
+        for r in sorted((r for r in sizes if r["lang"] == lang), key=lambda r: -r["n"]):
+            total += r["w"]
+            if total > most_grams:
+                break
+            least = r["n"]
+        if least is not None:
+            keep = keep | ((F.col("lang") == lang) & (F.col("n") >= least))
+    rows = counts.where(keep).toArrow()
+    return build(list(zip(*(rows.column(c).to_pylist() for c in ("lang", "gram", "n")))))
+
+
+def _entropies(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    """Cross-entropy under the row's own language, and the number of scored characters."""
+    scorer = _Scorer(model.value)
+    for batch in batches:
+        texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
+        for i, j in slices(texts):
+            t = scorer.totals(texts[i:j])
+            own = [(lang, float(-row[model.value.langs.index(lang)] / row[-2]), int(row[-2]))
+                   for lang, row in zip(langs[i:j], t) if row[-1] > 0 and lang in model.value.langs]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(list(zip(*own)) or [()] * 3,
+                                                                  (pa.string(), pa.float64(), pa.int64()))],
+                                  names=["lang", "entropy", "chars"])
 
 
-def identify(docs: DataFrame, train: DataFrame | None = None, z: float = 6.0, **options) -> DataFrame:
+def calibrate(train: DataFrame, model, langs: list[str], rows: int = 2_000) -> tuple[np.ndarray, np.ndarray]:
+    """Per language the usual cross-entropy, and its deviation times the square root of the length.
+
+    Measured on the executors over a bounded sample: the rows with the ``rows`` smallest id hashes.
+    """
+    train = train.where("text is not null and lang is not null").withColumn("h", F.xxhash64("doc_id"))
+    top = train.select("h").orderBy("h").limit(rows).agg(F.max("h")).head()[0]
+    usual, spread = np.full(len(langs), 4.0), np.full(len(langs), 2.0)
+    if top is None or not langs:
+        return usual, spread
+    found = train.where(F.col("h") <= top).select("text", "lang").mapInArrow(
+        partial(_entropies, model=model), "lang string, entropy double, chars long").limit(4 * rows).toPandas()
+    for j, lang in enumerate(langs):
+        own = found[found.lang == lang]
+        if len(own):
+            usual[j] = np.average(own.entropy, weights=own.chars)
+            spread[j] = max(0.5, np.sqrt(np.median((own.entropy - usual[j]) ** 2 * own.chars)) * 1.4826)
+    return usual, spread
+
+
+def identify(docs: DataFrame, train: DataFrame | None = None, z: float = 6.0, calibration_rows: int = 2_000,
+             **options) -> DataFrame:
     """``docs`` with lang_pred, score (0 to 1), cross_entropy and rejected.
 
     ``train`` has doc_id, text and lang; without it the rows of ``docs`` that
@@ -321,8 +354,9 @@ def identify(docs: DataFrame, train: DataFrame | None = None, z: float = 6.0, **
     spark = docs.sparkSession
     if train is None:
         train = docs.where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
-    model = spark.sparkContext.broadcast(fit(train.select("doc_id", "text", "lang"), **options))
+    model = spark.sparkContext.broadcast(fit(train.select("text", "lang"), **options))
+    usual, spread = calibrate(train.select("doc_id", "text", "lang"), model, model.value.langs, calibration_rows)
     base = docs.drop("lang_pred", "score", "cross_entropy", "rejected")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return base.mapInArrow(partial(_score, model=model, z=z), (fields + ", " if fields else "")
+    return base.mapInArrow(partial(_score, model=model, usual=usual, spread=spread, z=z), (fields + ", " if fields else "")
                            + "lang_pred string, score double, cross_entropy double, rejected boolean")
