@@ -141,15 +141,17 @@ def link_quotes(messages: DataFrame, least_chars: int = 12, least_elsewhere: int
                       .join(best.groupBy("conv_id", "turn").agg(F.max("parent_turn").alias("up")), ["conv_id", "turn"], "left")
                       .select("conv_id", "turn", F.coalesce("up", "turn").alias("up"),
                               F.col("up").isNotNull().cast("int").alias("depth")), "nodes")
-    while True:
-        above = nodes.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        new = stage.put(nodes.join(above, ["conv_id", "up"])
+    settled, moving = nodes.where("up = turn"), nodes.where("up <> turn")
+    while moving.limit(1).count():
+        # only nodes whose pointer did not yet rest on a root are joined again
+        above = settled.unionByName(moving).select("conv_id", F.col("turn").alias("up"), F.col("up").alias("next"),
+                                                   F.col("depth").alias("more"))
+        new = stage.put(moving.join(above, ["conv_id", "up"])
                         .select("conv_id", "turn", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"),
                                 (F.col("next") != F.col("up")).alias("moved")), "nodes")
-        stage.drop(nodes)
-        nodes = new
-        if not new.where("moved").limit(1).count():
-            break
+        settled = settled.unionByName(new.where("not moved").drop("moved"))
+        moving = new.where("moved").drop("moved")
+    nodes = settled
     out = (m.select(*row, "role", "body", F.size("quotes").alias("n_quotes"))
            .join(best, row, "left").join(counts, row, "left").join(outside, row, "left")
            .join(nodes.select("conv_id", "turn", F.col("up").alias("root_turn"), "depth"), ["conv_id", "turn"], "left")
