@@ -1,10 +1,9 @@
 """Exact line deduplication over levelled sorted runs of line hashes.
 
-A run is a bucketed, sorted table of line keys: hash, number of documents and,
+A run is a sorted table of line keys: hash, number of documents and,
 where the key was new to the index when the run was added, the document that
-keeps the line.  ``LineRuns.add`` merge-anti-joins a batch with all runs (the
-runs lie bucketed and sorted, so only the batch moves) and adds the batch's own
-run at level 0.  When a level holds ``fanout`` runs they are merged into one
+keeps the line.  ``LineRuns.add`` merge-joins a batch with all runs, so that
+only keys that no run holds are new, and adds the batch's own run at level 0.  When a level holds ``fanout`` runs they are merged into one
 run of the next level, so an index over n batches has O(log n) runs.
 
 Batches come in descending order of doc_id: a key that no run holds is kept by
@@ -13,9 +12,7 @@ the largest doc_id of the batch at hand.
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import Stage
 
@@ -43,41 +40,38 @@ def _hashed(lines: DataFrame, least_chars: int) -> DataFrame:
 
 
 class LineRuns:
-    """The levelled index.  Runs are bucketed tables under the shared folder."""
+    """The levelled index.  Runs are tables under the shared folder, dealt by hash and sorted in each file."""
 
-    def __init__(self, spark: SparkSession, stage: Stage, fanout: int = 2, buckets: int | None = None):
-        self.spark, self.stage, self.fanout = spark, stage, fanout
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.levels: list[list[str]] = []
+    def __init__(self, stage: Stage, fanout: int = 2):
+        self.stage, self.fanout = stage, fanout
+        self.levels: list[list[DataFrame]] = []
 
-    def _write(self, run: DataFrame) -> str:
-        name = f"line_run_{uuid.uuid4().hex}"
-        (run.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet")
-         .option("path", f"{self.stage.root}/{name}").saveAsTable(name))
-        return name
+    def _write(self, run: DataFrame) -> DataFrame:
+        return self.stage.put(run.sortWithinPartitions("h1", "h2"), "run")
 
     def runs(self) -> list[DataFrame]:
-        return [self.spark.table(name) for level in self.levels for name in level]
+        return [run for level in self.levels for run in level]
 
     def add(self, batch: DataFrame) -> None:
         """Add a batch (h1, h2, doc_id: one row per line) as a run of its own."""
         own = (batch.distinct().groupBy("h1", "h2")
                .agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("keeper")))
         for run in self.runs():
-            seen = run.where("keeper is not null").select("h1", "h2", F.lit(True).alias("seen"))
+            # a sort-merge join finds the keys that a run holds; only keys new to the index get a keeper
+            seen = run.where("keeper is not null").select("h1", "h2", F.col("keeper").alias("seen"))
             own = (own.join(seen, ["h1", "h2"], "left")
                    .withColumn("keeper", F.when(F.col("seen").isNull(), F.col("keeper"))).drop("seen"))
         self._push(0, self._write(own.select("h1", "h2", "docs", "keeper")))
 
-    def _push(self, level: int, name: str) -> None:
+    def _push(self, level: int, run: DataFrame) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(name)
+        self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
             old, self.levels[level] = self.levels[level], []
-            merged = self._write(self._merged([self.spark.table(n) for n in old]))
-            for n in old:
-                self.drop(n)
+            merged = self._write(self._merged(old))
+            for table in old:
+                self.stage.drop(table)
             self._push(level + 1, merged)
 
     @staticmethod
@@ -92,16 +86,9 @@ class LineRuns:
         """Keys found in at least ``least_docs`` documents, with the keeping document."""
         return self._merged(self.runs()).where(F.col("docs") >= least_docs).select("h1", "h2", "keeper")
 
-    def drop(self, name: str) -> None:
-        from .common import delete
-
-        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        delete(self.spark, f"{self.stage.root}/{name}")
-
     def close(self) -> None:
-        for level in self.levels:
-            for name in level:
-                self.drop(name)
+        for run in self.runs():
+            self.stage.drop(run)
         self.levels = []
 
 
@@ -129,7 +116,7 @@ def dedup_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, bat
     cuts = keyed.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)
                      .alias("c")).head()["c"] or [] if batches > 1 else []
     edges = [None, *sorted(set(cuts)), None]
-    index = LineRuns(spark, stage, fanout)
+    index = LineRuns(stage, fanout)
     for low, high in reversed(list(zip(edges[:-1], edges[1:]))):
         batch = keyed.where("doc_id is not null").select("h1", "h2", "doc_id")
         if low is not None:
