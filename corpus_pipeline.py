@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from leadloom.llm.common import Stage, broadcast_small
 from leadloom.llm.op1_templates import decontaminate
 from leadloom.llm.op3_kneser_ney import identify
-from leadloom.llm.op4_piece_lattice import decode, default_model, encode
+from leadloom.llm.op4_piece_lattice import default_model, encode
 from leadloom.llm.op5_line_runs import dedup_lines
 from leadloom.llm.op8_superminhash import near_duplicates
 from leadloom.session import configure
@@ -66,9 +66,8 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text."""
     configure(spark)
     model = default_model(spark)
-    out = decode(encode(docs.select("doc_id", "lang", "source", "text"), model), model)
-    return out.select("doc_id", "lang", "source", "ids", F.size("ids").alias("n_pieces"),
-                      F.coalesce(F.col("decoded") == F.col("text"), F.col("text").isNull()).alias("round_trip"))
+    out = encode(docs.select("doc_id", "lang", "source", "text"), model, verify=True)
+    return out.select("doc_id", "lang", "source", "ids", F.size("ids").alias("n_pieces"), "round_trip")
 
 
 STAGES = [("language", language), ("lines", lines), ("near", near), ("clean", clean), ("pieces", pieces)]

@@ -37,7 +37,7 @@ UNITS = frozenset(
     "usd eur percent degree degrees watt watts volt volts meter meters metre metres kph mph kmh hz".split())
 
 WORD, NUMBER, UNIT, NAME = 0, 1, 2, 3
-#: A window needs so many plain words, so that tables of numbers do not match each other.
+#: A templated window needs so many different plain words, so that tables of numbers do not match each other.
 LEAST_PLAIN = 4
 SIEVE_BITS = 22
 
@@ -136,6 +136,9 @@ def _windows(text: str, vocabulary: _Vocabulary, arrays: tuple | None, tokens: n
                 ok &= sieve[(h >> U64(64 - SIEVE_BITS)).astype(np.int64)]
             for i in np.flatnonzero(ok).tolist():
                 own = piece[i:i + width]
+                if templated and len({vocabulary.text[p] for p, k in zip(own, kind[i:i + width]) if k == WORD}) \
+                        < min(LEAST_PLAIN, width - 1):
+                    continue
                 yield (i, width, templated, int(h[i].view(np.int64)), kind[i:i + width].tolist(),
                        [vocabulary.text[p] for p in own] if templated else None)
 

@@ -116,6 +116,8 @@ class Model:
 
     def log_probs(self, points: np.ndarray, start: np.ndarray) -> np.ndarray:
         """Log probability of the last character of each window, a column per language."""
+        if not self.langs:
+            return np.zeros((len(start), 0))
         grams = np.lib.stride_tricks.sliding_window_view(points, ORDER)[start]
         # texts repeat their grams: each distinct one is looked up once
         _, first, where = np.unique(_hashes(grams)[-1], return_index=True, return_inverse=True)
@@ -150,7 +152,7 @@ def build(rows: list[tuple[str, str, int]]) -> Model:
     langs = sorted({r[0] for r in rows})
     if not langs:
         return Model([], [], [], [])
-    grams = sorted({r[1] for r in rows})
+    grams = sorted({r[1] for r in rows} | {" " * ORDER})    # borders alone are a context, never counted
     at = {g: i for i, g in enumerate(grams)}
     points = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, ORDER)
     top = np.zeros((len(grams), len(langs)))

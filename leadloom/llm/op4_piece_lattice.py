@@ -20,6 +20,7 @@ the lowest score less 10.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -42,6 +43,8 @@ class Pieces:
     scores: dict[str, tuple[float, int]]     # ordinary pieces: score and id
     byte_ids: list[int]                      # ids of the 256 byte pieces, or none
     unknown: int
+    joined: frozenset[str]                   # pairs of characters that some piece holds side by side
+    reach: dict[str, int]                    # longest piece that begins with a pair
     texts: list[bytes]                       # what each id decodes to; control pieces to nothing
     longest: int
 
@@ -75,11 +78,18 @@ def load_pieces(model_file: str) -> Pieces:
             texts.append(piece.replace(SPACE, " ").encode("utf-8", "surrogatepass"))
             if re.search(f"[^{SPACE}]{SPACE}", piece):
                 raise ValueError(f"piece {piece!r} spans words; words could not be segmented one by one")
-    return Pieces(scores, byte_ids, model.unk_id(), texts, max(map(len, scores)))
+    joined, reach = set(), {}
+    for piece in scores:
+        joined.update(piece[i:i + 2] for i in range(len(piece) - 1))
+        if len(piece) > 1:
+            reach[piece[:2]] = max(reach.get(piece[:2], 0), len(piece))
+    return Pieces(scores, byte_ids, model.unk_id(), frozenset(joined), reach, texts, max(map(len, scores)))
 
 
 def words_of(text: str) -> list[str]:
     """The words of a text: runs of word marks with what follows them."""
+    if "  " not in text and SPACE not in text and text[:1] != " " and text[-1:] != " ":
+        return [SPACE + part for part in text.split(" ")]
     parts = (SPACE + text.replace(" ", SPACE)).split(SPACE)[1:]
     out, marks = [], ""
     for part in parts:
@@ -92,6 +102,12 @@ def words_of(text: str) -> list[str]:
     return out
 
 
+def parts_of(word: str, joined: frozenset[str]) -> list[str]:
+    """The word cut wherever no piece holds the two characters side by side: no piece can cross there."""
+    cuts = [i for i in range(1, len(word)) if word[i - 1:i + 1] not in joined]
+    return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])] if cuts else [word]
+
+
 def segment(word: str, pieces: Pieces, unknown: float) -> tuple[int, ...]:
     """Viterbi over one word; linear in its length."""
     n, longest, scores = len(word), pieces.longest, pieces.scores
@@ -123,10 +139,10 @@ def merge(word: str, pieces: Pieces) -> tuple[int, ...]:
     A piece ranks after the two it was merged from, so when an edge comes up all
     merges that could make its parts are done.
     """
-    n, longest, scores = len(word), pieces.longest, pieces.scores
+    n, reach, scores = len(word), pieces.reach, pieces.scores
     edges = []
     for start in range(n - 1):
-        for end in range(start + 2, min(n, start + longest) + 1):
+        for end in range(start + 2, min(n, start + reach.get(word[start:start + 2], 0)) + 1):
             hit = scores.get(word[start:end])
             if hit is not None:
                 edges.append((-hit[0], start, end))
@@ -214,7 +230,7 @@ def with_bytes(ids: list[int], pieces: Pieces) -> tuple[int, ...]:
     return tuple(chain.from_iterable([i] if i >= 0 else pieces.fallback(chr(-1 - i)) for i in ids))
 
 
-def lexicon(docs: DataFrame, pieces: Pieces, most_words: int, most_chars: int, kind: str) -> dict[str, tuple[int, ...]]:
+def lexicon(docs: DataFrame, pieces: Pieces, most_words: int, most_chars: int, kind: str) -> dict[str, array]:
     """Segmentations of the most frequent words: at most ``most_words``, of at most ``most_chars`` characters."""
     words = docs.select(F.explode(F.split(F.col("text").cast("string"), " ", -1)).alias("part")).where("part <> ''")
     stage = Stage(docs.sparkSession, "lexicon")
@@ -233,66 +249,85 @@ def lexicon(docs: DataFrame, pieces: Pieces, most_words: int, most_chars: int, k
         return {}
     chosen = counted.where(F.col("n") >= least).select(F.concat(F.lit(SPACE), "part").alias("word"))
     rows = segment_words(chosen, pieces, kind).toArrow()
-    return {w: with_bytes(ids, pieces) for w, ids in zip(rows.column("word").to_pylist(), rows.column("ids").to_pylist())}
+    return {w: array("i", with_bytes(ids, pieces)) for w, ids in zip(rows.column("word").to_pylist(), rows.column("ids").to_pylist())}
+
 
+def _text(ids: list[int], texts: list[bytes]) -> str:
+    raw = b"".join(map(texts.__getitem__, ids))
+    return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
-def _encode(batches: Iterator[pa.RecordBatch], shared, keep: int, kind: str) -> Iterator[pa.RecordBatch]:
+
+def _encode(batches: Iterator[pa.RecordBatch], shared, keep: int, kind: str, verify: bool) -> Iterator[pa.RecordBatch]:
     pieces, known = shared.value
     unknown = pieces.unknown_score
-    memory: dict[str, tuple[int, ...]] = {}
+    memory: dict[str, array] = {}
     known_get, memory_get = known.get, memory.get
+
+    def remember(text: str, found: array) -> array:
+        if len(text) <= 64:
+            if len(memory) >= keep:
+                memory.clear()
+            memory[text] = found
+        return found
+
+    def path(word: str) -> array:
+        out = array("i")
+        parts = parts_of(word, pieces.joined)
+        for part in parts:
+            found = memory_get(part)
+            if found is None:
+                found = array("i", merge(part, pieces) if kind == "bpe" else segment(part, pieces, unknown))
+                if len(parts) > 1:
+                    remember(part, found)
+            out.extend(found)
+        return remember(word, out)
+
     for batch in batches:
         texts = batch.column("text").to_pylist()
         for i, j in slices(texts, 1_000_000):
-            flat, sizes = [], []
+            flat, ends, same = array("i"), [0], []
             for text in texts[i:j]:
-                before = len(flat)
                 for word in words_of(text) if text else ():
-                    ids = known_get(word) or memory_get(word)
-                    if ids is None:
-                        ids = merge(word, pieces) if kind == "bpe" else segment(word, pieces, unknown)
-                        if len(word) <= 64:
-                            if len(memory) >= keep:
-                                memory.clear()
-                            memory[word] = ids
-                    flat.extend(ids)
-                sizes.append(len(flat) - before)
-            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.array(flat, np.int32)))
-            yield pa.record_batch([*[c.slice(i, j - i) for c in batch.columns], ids],
-                                  names=[*batch.schema.names, "ids"])
-
-
-def encode(docs: DataFrame, model_file: str, kind: str = "bpe", lexicon_words: int = 100_000, lexicon_chars: int = 48,
-           keep: int = 150_000) -> DataFrame:
+                    flat.extend(known_get(word) or memory_get(word) or path(word))
+                if verify:
+                    same.append(_text(flat[ends[-1]:].tolist(), pieces.texts) == (text or ""))
+                ends.append(len(flat))
+            ids = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.frombuffer(flat, np.int32)))
+            checked = [pa.array(same, pa.bool_())] if verify else []
+            yield pa.record_batch([*[c.slice(i, j - i) for c in batch.columns], ids, *checked],
+                                  names=[*batch.schema.names, "ids", *["round_trip"] * verify])
+
+
+def encode(docs: DataFrame, model_file: str, kind: str = "bpe", lexicon_words: int = 150_000, lexicon_chars: int = 48,
+           keep: int = 400_000, verify: bool = False) -> DataFrame:
     """``docs`` with the column ids: the pieces of each whole text.  ``kind`` is ``bpe`` or ``unigram``.
 
     As the library does for models without normalisation, a space is put in
     front of the text and spaces become word marks; a null or empty text has
     no pieces.  ``lexicon_words`` bounds the table sent to the tasks, ``keep``
-    the words a task remembers besides.  All columns stay; a column of the name
-    ids is replaced.  Rows are independent: null or repeated ids do no harm.
+    the words and parts of words a task remembers besides.  With ``verify`` the ids are
+    decoded again in the task, and round_trip says whether that gives the text
+    (null counts as empty).  All columns stay; ids, and with ``verify``
+    round_trip, replace columns of these names.  Rows are independent: null or repeated ids do no harm.
     """
     spark = docs.sparkSession
     pieces = load_pieces(model_file)
-    base = docs.drop("ids")
+    base = docs.drop("ids", *["round_trip"] * verify)
     shared = spark.sparkContext.broadcast((pieces, lexicon(base, pieces, lexicon_words, lexicon_chars, kind)))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in base.schema.fields)
-    return base.mapInArrow(partial(_encode, shared=shared, keep=keep, kind=kind), fields + "ids array<int>")
+    return base.mapInArrow(partial(_encode, shared=shared, keep=keep, kind=kind, verify=verify),
+                           fields + "ids array<int>" + ", round_trip boolean" * verify)
 
 
 def _decode(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     texts = shared.value
-    of = texts.__getitem__
     for batch in batches:
         place = batch.schema.get_field_index("ids")
         lists = batch.column(place)
         out = []
         for i in range(len(lists)):
             row = lists[i].values
-            raw = b"".join(map(of, row.to_numpy().tolist())) if row is not None and len(row) else b""
-            raw = raw[1:] if raw[:1] == b" " else raw
-            out.append(raw.decode("utf-8", "replace") if lists[i].is_valid else None)
+            out.append(_text(row.to_pylist(), texts) if row is not None else None)
         yield pa.record_batch([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "decoded"])
 
 

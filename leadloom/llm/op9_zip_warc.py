@@ -263,7 +263,8 @@ def _batch(rows: list[tuple], with_payload: bool) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
 
-def read_packages(spark: SparkSession, packages: DataFrame, with_payload: bool = True) -> DataFrame:
+def read_packages(spark: SparkSession, packages: DataFrame, with_payload: bool = True,
+                  task_bytes: int = 16_000_000) -> DataFrame:
     """Records of the packages named in ``packages(path)``: one row per index entry.
 
     Columns: record_type, record_id, target_uri, warc_date, refers_to,
@@ -271,11 +272,12 @@ def read_packages(spark: SparkSession, packages: DataFrame, with_payload: bool =
     and, unless ``with_payload`` is false, payload (null for a revisit).  A
     response whose payload does not have its digest, a deflated archive member
     and a damaged directory raise an error; a package without an index has no
-    rows.  Null paths are left out.
+    rows.  Null paths are left out.  A task reads about ``task_bytes``.
     """
     where = Stage(spark, "ranges").put(
         packages.where("path is not null").select("path").repartition("path").mapInArrow(
             _locate, "path string, start long, length long"), "ranges")
-    ordered = where.repartitionByRange("path", "start").sortWithinPartitions("path", "start")
+    total = where.agg(F.sum("length")).head()[0] or 0
+    ordered = where.repartitionByRange(total // task_bytes + 1, "path", "start").sortWithinPartitions("path", "start")
     return ordered.mapInArrow(partial(_read, with_payload=with_payload),
                               _RECORD + (", payload binary" if with_payload else ""))
