@@ -2,8 +2,8 @@
 
 A domain may hold any share of the contacts, so nothing here gathers a whole
 domain in one place unless its size is bounded: merges and scores are partial
-aggregates, caps are top-k windows whose limit is applied before the shuffle,
-and lead documents are cut into parts of bounded size.
+aggregates, caps are top-k windows whose limit is applied before the shuffle.
+Lead documents list all contacts unless the caller bounds them.
 """
 
 from __future__ import annotations
@@ -13,8 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import rules
-
-DOCUMENT_PART = 10_000
+from ..functions.emails import is_role
 
 
 def at_least(contacts: DataFrame, confidence: float) -> DataFrame:
@@ -66,13 +65,14 @@ def best_contacts(contacts: DataFrame, order: Sequence[str], org: str = "domain"
 
 def cap_emails(contacts: DataFrame, cap: int = rules.MAX_EMAILS_PER_LEAD,
                org: str = "domain") -> DataFrame:
-    """Keep an organisation's ``cap`` best e-mails (0: all) and every other contact."""
+    """Keep an organisation's ``cap`` best e-mails (0: all) and every other contact.
+
+    Of equally confident e-mails role mailboxes come first, then the order of values.
+    """
     if not cap:
         return contacts
     mail = contacts.where("kind = 'email'")
-    role = (F.coalesce(F.col("meta")["role"], F.lit("false")) == "true"
-            if "meta" in contacts.columns else F.lit(False))
-    order = [F.desc("confidence"), F.desc(role), F.col("value")]
+    order = [F.desc("confidence"), F.desc(is_role(F.col("value"))), F.col("value")]
     kept = (mail.withColumn("__r", F.row_number().over(W.partitionBy(org).orderBy(*order)))
             .where(F.col("__r") <= cap).drop("__r"))
     return kept.unionByName(contacts.where("kind <> 'email'"))
@@ -179,21 +179,26 @@ def first_page(leads: DataFrame, n: int = 500, org: str = "domain") -> DataFrame
     return ordered(leads, org).limit(n)
 
 
-def lead_documents(contacts: DataFrame, org: str = "domain",
-                   part_size: int = DOCUMENT_PART) -> DataFrame:
-    """Contacts per organisation as arrays: ordered contacts, e-mails, phones, socials.
+def lead_documents(contacts: DataFrame, org: str = "domain", top: int | None = None) -> DataFrame:
+    """One row per organisation: ordered contacts, e-mails, phones, socials as arrays.
 
-    An organisation with more than ``part_size`` contacts becomes several rows
-    numbered by ``part``; a contact's part follows from a hash of its key.
-    Ordinary organisations have the single part 0.
+    With ``top`` each kind keeps its first ``top`` contacts, a window limit that
+    is applied before rows move; ``n_listed`` and ``n_known`` tell what the
+    row lists and what there is.  Without it a row lists every contact; where
+    organisations have millions, read the contacts table itself or pass ``top``.
     """
-    sizes = contacts.groupBy(org).agg(F.count(F.lit(1)).alias("__n"))
-    parts = F.ceil(F.col("__n") / part_size)
-    tagged = (contacts.join(sizes, org)
-              .withColumn("part", F.pmod(F.xxhash64("kind", "value"), parts).cast("int")))
+    sizes = contacts.groupBy(org).agg(F.count(F.lit(1)).alias("n_known"))
+    listed = contacts
+    if top is not None:
+        place = F.row_number().over(W.partitionBy(org, "kind").orderBy(F.desc("confidence"), "value"))
+        listed = contacts.withColumn("__r", place).where(F.col("__r") <= top).drop("__r")
     entry = F.struct("kind", (-F.col("confidence")).alias("__c"), "value", "source_url")
-    # each (organisation, part) group holds about part_size contacts
-    grouped = tagged.groupBy(org, "part").agg(F.array_sort(F.collect_list(entry)).alias("__a"))
+    grouped = listed.groupBy(org).agg(F.array_sort(F.collect_list(entry)).alias("__a"),
+                                      F.count(F.lit(1)).alias("n_listed"))
+    if top is not None:
+        grouped = grouped.join(sizes, org)
+    else:
+        grouped = grouped.withColumn("n_known", F.col("n_listed"))
     a = F.col("__a")
 
     def of(kind: str) -> Column:
@@ -205,12 +210,13 @@ def lead_documents(contacts: DataFrame, org: str = "domain",
     socials = F.map_filter(F.map_from_arrays(
         F.array(*map(F.lit, rules.SOCIAL_KINDS)), F.array(*[of(k) for k in rules.SOCIAL_KINDS])),
         lambda k, v: F.size(v) > 0)
-    return grouped.select(org, "part", contact.alias("contacts"), of("email").alias("emails"),
-                          of("phone").alias("phones"), socials.alias("socials"))
+    return grouped.select(org, contact.alias("contacts"), of("email").alias("emails"),
+                          of("phone").alias("phones"), socials.alias("socials"),
+                          "n_listed", "n_known")
 
 
 def export_rows(leads: DataFrame, documents: DataFrame, org: str = "domain") -> DataFrame:
-    """The 27-column flat form of each lead; a split lead gives one row per part."""
+    """The 27-column flat form, one row per lead."""
     d = leads.join(documents, org, "left")
 
     def joined(values: Column) -> Column:

@@ -209,27 +209,50 @@ def declared_assets(pages: DataFrame, keys: Sequence[str], html: str = "html",
             .agg(F.min("pos").alias("pos")))
 
 
+#: Names that are attributes of the cookie before them, and those that need no value.
+COOKIE_ATTRIBUTES = ("expires", "path", "comment", "domain", "max-age", "secure", "httponly", "version", "samesite",
+                     "partitioned")
+COOKIE_FLAGS = ("secure", "httponly", "partitioned")
+
+
 def cookies(responses: DataFrame, keys: Sequence[str], headers: str = "headers") -> DataFrame:
-    """One row per ``set-cookie`` header: name, value and attributes."""
+    """One row per cookie of a ``set-cookie`` header: name, value and the attributes up to the next cookie.
+
+    A header with an attribute before its first cookie, or with a bare word
+    that is no flag, is invalid and gives no rows.  Of a name given twice the
+    last cookie counts.
+    """
     header = F.element_at(F.col(headers), F.lit("set-cookie"))
-    parts = F.transform(F.split(header, ";"), F.trim)
-    first = F.get(parts, F.lit(0))
-    attrs = F.transform(F.slice(parts, 2, 1000), lambda p: F.struct(
-        F.lower(F.trim(F.substring_index(p, "=", 1))).alias("k"),
-        F.when(p.contains("="), F.trim(F.regexp_replace(p, r"^[^=]*=", ""))).alias("v")))
+    pieces = F.filter(F.transform(F.split(header, ";"), lambda p: F.trim(p)), lambda p: p != "")
+    parts = F.transform(pieces, lambda p: F.struct(
+        F.trim(F.substring_index(p, "=", 1)).alias("name"),
+        F.when(p.contains("="), F.trim(F.regexp_replace(
+            F.regexp_replace(p, r"^[^=]*=", ""), '^\\s*"(.*)"\\s*$', "$1"))).alias("v")))
+    known = F.transform(parts, lambda p: F.struct(
+        p["name"].alias("name"), p["v"].alias("v"), F.lower(p["name"]).alias("k"),
+        F.lower(p["name"]).isin(*COOKIE_ATTRIBUTES).alias("attribute")))
+    bare = F.exists("parts", lambda p: p["v"].isNull() & ~p["k"].isin(*COOKIE_FLAGS))
+    starts = (responses.select(*keys, known.alias("parts"))
+              .where(~bare & ~F.get("parts", F.lit(0))["attribute"])
+              .select(*keys, "parts", F.posexplode("parts").alias("i", "c")).where("not c.attribute"))
+    later = F.slice("parts", F.col("i") + 2, F.size("parts"))
+    again = F.exists(later, lambda p: ~p["attribute"] & (p["name"] == F.col("c.name")))
+    # attributes after this cookie and before the next one
+    n_next = F.array_position(F.transform(later, lambda p: ~p["attribute"]), True)
+    attrs = F.when(n_next > 0, F.slice(later, F.lit(1), n_next - 1)).otherwise(later)
 
     def value(name: str) -> Column:
-        return F.nullif(F.get(F.filter(attrs, lambda a: a["k"] == name), F.lit(0))["v"], F.lit(""))
+        found = F.filter("attrs", lambda a: a["k"] == name)
+        return F.nullif(F.get(found, F.size(found) - 1)["v"], F.lit(""))
 
     def flag(name: str) -> Column:
-        return F.exists(attrs, lambda a: a["k"] == name)
+        return F.exists("attrs", lambda a: a["k"] == name)
 
-    unquoted = F.regexp_replace(F.regexp_replace(first, r"^[^=]*=", ""), '^\\s*"(.*)"\\s*$', "$1")
-    return responses.where(first.contains("=")).select(
-        *keys, F.trim(F.substring_index(first, "=", 1)).alias("name"), F.trim(unquoted).alias("value"),
+    return (starts.where(~again).withColumn("attrs", attrs).select(
+        *keys, F.col("c.name").alias("name"), F.col("c.v").alias("value"),
         value("domain").alias("domain"), value("path").alias("path"),
         flag("secure").alias("secure"), flag("httponly").alias("httponly"),
-        value("expires").alias("expires"), value("samesite").alias("samesite"))
+        value("expires").alias("expires"), value("samesite").alias("samesite")))
 
 
 def admission_error(body: Column, content_type: Column, limit: int = rules.MAX_BODY_BYTES) -> Column:

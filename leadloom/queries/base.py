@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .. import rules
 from ..session import checkpoint_dir, configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,7 +116,8 @@ MERGED_SQL = (f"(SELECT domain, kind, first(value ORDER BY seq) AS value, max(co
               f"GROUP BY domain, kind, lower(value))")
 
 CAPPED_SQL = (f"(SELECT domain, kind, value, confidence, source_url FROM (SELECT *, row_number() OVER "
-              f"(PARTITION BY domain, kind = 'email' ORDER BY confidence DESC, value) AS rn FROM {MERGED_SQL}) "
+              f"(PARTITION BY domain, kind = 'email' ORDER BY confidence DESC, "
+              f"lower(split_part(value, '@', 1)) IN {sql_list(rules.ROLE_LOCALS)} DESC, value) AS rn FROM {MERGED_SQL}) "
               f"WHERE kind <> 'email' OR rn <= 25)")
 
 STATS_SQL = ("(SELECT domain, count(*) AS n_contacts, count(*) FILTER (kind = 'email') AS n_emails, "

@@ -196,6 +196,38 @@ def _(spark, sf):
     return P.cookies(df, ["page_id"])
 
 
+@register("htm15_two_cookies", """SELECT page_id, name, value, CAST(NULL AS VARCHAR) AS domain, CASE WHEN name = 'b' THEN '/p' END AS path, name = 'b' AS secure,
+    FALSE AS httponly, CAST(NULL AS VARCHAR) AS expires, CASE WHEN name = 'a' THEN 'Lax' END AS samesite
+    FROM (SELECT page_id, unnest(['a', 'b']) AS name, unnest(['1', 'v' || page_id]) AS value FROM pages WHERE page_id % 4 > 1)""")
+def _(spark, sf):
+    k = F.col("page_id")
+    header = F.concat(F.when(k % 4 == 0, "Path=/; a=1").when(k % 4 == 1, "a=1; word").otherwise("a=1; SameSite=Lax"),
+                      F.lit("; b=v"), k.cast("string"), F.lit("; Path=/p; Secure;"))
+    return P.cookies(_pages(spark, sf).select("page_id", F.create_map(F.lit("set-cookie"), header).alias("headers")), ["page_id"])
+
+
+def _stated_pages(spark, sf):
+    """Pages made of every page's number, whose rendering can be written down."""
+    k = F.col("page_id").cast("string")
+    html = F.concat(F.lit("<html><head><title>T</title></head><body><h1>Page &amp; "), k, F.lit("</h1><p>See <b>no "), k,
+                    F.lit('</b>, or <a href="/p'), k, F.lit('">here</a>.</p><script>x</script><ol><li>one<li>two</ol><pre>x  =  '), k,
+                    F.lit('</pre><img alt="A" src="i.png"></body></html>'))
+    return _pages(spark, sf).select("page_id", F.concat(F.lit("https://h"), k, F.lit(".net/a/")).alias("url"), html.alias("html"))
+
+
+@register("htm11_markdown_stated", """SELECT page_id, concat('# Page & ', page_id, chr(10), 'See **no ', page_id, '**, or [here](https://h', page_id, '.net/p', page_id, ').', chr(10), '1. one', chr(10), '2. two', chr(10),
+    '```', chr(10), 'x  =  ', page_id, chr(10), '```', chr(10), '![A](https://h', page_id, '.net/a/i.png)', chr(10)) AS markdown FROM pages""")
+def _(spark, sf):
+    from ..operators.rendering import markdown_of
+    return markdown_of(_stated_pages(spark, sf), ["page_id"], url="url")
+
+
+@register("htm12_text_stated", """SELECT page_id, concat('Page & ', page_id, chr(10), 'See no ', page_id, ', or here.', chr(10), '- one', chr(10), '- two', chr(10), 'x  =  ', page_id, chr(10), 'A', chr(10)) AS text FROM pages""")
+def _(spark, sf):
+    from ..operators.rendering import markdown_of, plain_text
+    return markdown_of(_stated_pages(spark, sf), ["page_id"], url="url").select("page_id", plain_text(F.col("markdown")).alias("text"))
+
+
 @register("htm11_markdown")
 def _(spark, sf):
     """Markdown of every page; the other engine has no HTML parser."""

@@ -350,6 +350,25 @@ def _(spark, sf):
     return S.with_robots_gate(urls, parsed, "u", "Leadloom/1.0").select("page_id", "path", "allowed")
 
 
+#: Files where a delay or a rate ends the agent list and keeps a group alive, and one whose first group has no rule.
+_ROBOTS_GROUPS = ["User-agent: leadloom\nCrawl-delay: 5\nUser-agent: other\nDisallow: /\n",
+                  "User-agent: leadloom\nRequest-rate: 1/5\n\nUser-agent: *\nDisallow: /\n",
+                  "User-agent: leadloom\n\nUser-agent: *\nDisallow: /x\n"]
+
+
+@register("jn10_robots_groups", """SELECT page_id, agent, path, CASE WHEN page_id % 3 = 2 THEN path <> '/x/1' WHEN agent = 'leadloom' THEN TRUE ELSE page_id % 3 = 0 AND agent = 'third' END AS allowed
+    FROM (SELECT page_id, unnest(['/x/1', '/y']) AS path FROM pages), (SELECT unnest(['leadloom', 'other', 'third']) AS agent)""")
+def _(spark, sf):
+    body = F.when(K % 3 == 0, _ROBOTS_GROUPS[0]).when(K % 3 == 1, _ROBOTS_GROUPS[1]).otherwise(_ROBOTS_GROUPS[2])
+    d = _domain(spark, sf)
+    parsed = S.robots_rules(d.select(text("https://", F.col("domain")).alias("origin"), F.lit(True).alias("ok"), body.alias("body")))
+    urls = d.select("page_id", F.explode(F.array(F.lit("/x/1"), F.lit("/y"))).alias("path"), "domain")
+    urls = urls.withColumn("u", text("https://", F.col("domain"), F.col("path")))
+    out = [S.with_robots_gate(urls, parsed, "u", agent).select("page_id", F.lit(agent).alias("agent"), "path", "allowed")
+           for agent in ("leadloom", "other", "third")]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 @register("set2_site_queue", """SELECT domain, url, source::INT AS source FROM (SELECT 'site' || page_id || '.net' AS domain, unnest(['https://site' || page_id || '.net/contact', 'https://site' || page_id || '.net/about', 'https://site' || page_id || '.net/']) AS url,
     unnest([0, 1, 2]) AS source FROM pages) WHERE NOT (source = 2 AND replace(replace(domain, 'site', ''), '.net', '')::INT % 4 = 0)""")
 def _(spark, sf):

@@ -135,13 +135,20 @@ def cdx_contact_urls(payloads: DataFrame, limit: int = rules.CDX_LIMIT) -> DataF
             .where(F.col("rank") <= limit).select("domain", "url", "rank"))
 
 
-def robots_rules(robots: DataFrame) -> DataFrame:
-    """Parsed rules, one row per origin (origin, ok, body): an array bounded by the size limit.
-
-    Each entry: agents of its group, allow flag, path, in file order.  Origins
-    whose file is missing or too large are absent, which lets everything pass.
+def robots_rules(robots: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Parsed rules, one row per origin (origin, ok, body).
+
+    Each entry: agents of its group, allow flag, path, group number, in file
+    order.  A crawl-delay or request-rate line ends the list of agents and
+    keeps its group alive like a rule does, so it gives an entry without a
+    path, which matches no URL.  Origins whose file is missing or has more than
+    ``max_chars`` characters are absent, which lets everything pass; of several
+    files of an origin the smallest text counts.
     """
-    usable = robots.where(F.col("ok") & (F.length("body") <= rules.MAX_ROBOTS_CHARS)).dropDuplicates(["origin"])
+    usable = robots.where("ok")
+    if max_chars is not None:
+        usable = usable.where(F.length("body") <= max_chars)
+    usable = usable.groupBy("origin").agg(F.min("body").alias("body")).where("body is not null")
     lines = F.transform(F.split("body", r"\r\n|\n|\r"), lambda l: F.struct(
         l.alias("raw"), strip(F.regexp_replace(l, "#.*$", "")).alias("text")))
     field = F.transform(lines, lambda l: F.struct(
@@ -149,7 +156,7 @@ def robots_rules(robots: DataFrame) -> DataFrame:
         percent_decode(strip(F.regexp_replace(l["text"], "^[^:]*:", ""))).alias("v"),
         l["text"].contains(":").alias("pair")))
     known = F.filter(field, lambda x: (x["k"] == "blank") | (
-        x["pair"] & x["k"].isin("user-agent", "allow", "disallow")))
+        x["pair"] & x["k"].isin("user-agent", "allow", "disallow", "crawl-delay", "request-rate")))
     zero = F.struct(
         F.array().cast("array<string>").alias("agents"), F.lit(0).alias("state"), F.lit(0).alias("grp"),
         F.array().cast("array<struct<agents:array<string>,allow:boolean,path:string,grp:int>>").alias("rules"))
@@ -162,15 +169,16 @@ def robots_rules(robots: DataFrame) -> DataFrame:
                   .when(opening, F.concat(acc["agents"], F.array(F.lower(x["v"]))))
                   .when((x["k"] == "blank") & (acc["state"] == 2), F.array().cast("array<string>"))
                   .otherwise(acc["agents"]))
-        rule = x["k"].isin("allow", "disallow") & (acc["state"] != 0)
-        state = (F.when(opening, 1).when(x["k"] == "blank", 0).when(rule, 2)
+        ruling = x["k"].isin("allow", "disallow")
+        inside = ~opening & (x["k"] != "blank") & (acc["state"] != 0)
+        state = (F.when(opening, 1).when(x["k"] == "blank", 0).when(inside, 2)
                  .otherwise(acc["state"]))
         added = F.struct(acc["agents"].alias("agents"),
-                         ((x["k"] == "allow") | (x["v"] == "")).alias("allow"),
-                         x["v"].alias("path"), acc["grp"].alias("grp"))
+                         (~ruling | (x["k"] == "allow") | (x["v"] == "")).alias("allow"),
+                         F.when(ruling, x["v"]).alias("path"), acc["grp"].alias("grp"))
         return F.struct(agents.alias("agents"), state.alias("state"),
                         F.when(fresh, acc["grp"] + 1).otherwise(acc["grp"]).alias("grp"),
-                        F.when(rule, F.concat(acc["rules"], F.array(added))).otherwise(acc["rules"]).alias("rules"))
+                        F.when(inside, F.concat(acc["rules"], F.array(added))).otherwise(acc["rules"]).alias("rules"))
 
     folded = F.aggregate(known, zero, step)
     return usable.select("origin", folded["rules"].alias("rules"))
@@ -180,14 +188,14 @@ def with_robots_gate(urls: DataFrame, parsed: DataFrame, url: str, agent: str =
                      out: str = "allowed") -> DataFrame:
     """Add whether robots rules let ``agent`` fetch a URL; true where no rules are known.
 
-    One row of rules per origin is joined to each URL, so no URL/rule pairs arise.
+    Rules are reduced to the agent's group before the join, and one row of them
+    per origin is joined to each URL, so no URL/rule pairs arise.
     """
     token = agent.split("/")[0].lower()
     keep = list(urls.columns)
     df = urls.withColumns({"origin": origin_of(F.col(url)), "__path": F.concat(
         F.when(path_of(F.col(url)) == "", F.lit("/")).otherwise(path_of(F.col(url))),
         F.when(query_of(F.col(url)) != "", F.concat(F.lit("?"), query_of(F.col(url)))).otherwise(F.lit("")))}).withColumn("__path", percent_decode(F.col("__path")))
-    df = df.join(parsed, "origin", "left")
     r, path = F.col("rules"), F.col("__path")
     named = F.filter(r, lambda x: ~F.array_contains(x["agents"], "*")
                      & F.exists(x["agents"], lambda a: F.contains(F.lit(token), a)))
@@ -196,6 +204,7 @@ def with_robots_gate(urls: DataFrame, parsed: DataFrame, url: str, agent: str =
     first_star = F.get(star, F.lit(0))["grp"]
     chosen = F.when(F.size(named) > 0, F.filter(named, lambda x: x["grp"] == group)).otherwise(
         F.filter(star, lambda x: x["grp"] == first_star))
-    match = F.get(F.filter(chosen, lambda x: (x["path"] == "*") | (x["path"] == "")
+    df = df.join(parsed.select("origin", chosen.alias("__rules")), "origin", "left")
+    match = F.get(F.filter("__rules", lambda x: (x["path"] == "*") | (x["path"] == "")
                            | F.startswith(path, x["path"])), F.lit(0))
     return df.select(*keep, F.coalesce(match["allow"], F.lit(True)).alias(out))
