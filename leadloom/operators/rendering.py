@@ -140,7 +140,7 @@ def _line(runs: list[Run]) -> str:
         same = len(list(takewhile(lambda pair: pair[0][0] == pair[1][0], zip(marks, run.place.marks))))
         out.extend(closing for _, _, closing in reversed(marks[same:]))
         opened = run.place.marks[same:]
-        if gap and run.text and (opened or run.text[0] not in CLOSING):
+        if gap and run.text and (opened or run.glued or run.text[0] not in CLOSING):
             out.append(" ")
         out.extend(opening for _, opening, _ in opened)
         out.append(run.text)

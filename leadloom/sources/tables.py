@@ -5,7 +5,7 @@ from __future__ import annotations
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from .. import rules
 from ..functions.text import percent_decode, strip
@@ -63,7 +63,11 @@ def listed_sitemaps(robots: DataFrame, limit: int = rules.MAX_SITEMAPS) -> DataF
     return listed.unionByName(usual)
 
 
-@F.pandas_udf("array<struct<is_index:boolean,loc:string>>")
+#: As objects, so that the module can be imported before a session exists.
+_ENTRIES = T.ArrayType(T.StructType([T.StructField("is_index", T.BooleanType()), T.StructField("loc", T.StringType())]))
+
+
+@F.pandas_udf(_ENTRIES)
 def _sitemap_entries(bodies: pd.Series) -> pd.Series:
     """``loc`` texts of a sitemap or sitemap index; null for malformed XML."""
     def entries(body):
