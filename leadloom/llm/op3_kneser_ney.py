@@ -4,9 +4,10 @@ One character model per language over lower-cased words, each padded with word
 borders.  Training counts padded n-grams of the top order over all training
 rows; counts of the lower orders are continuation counts (how many distinct
 characters stand before the gram), which follow from the distinct top grams.
-Every order is a sorted array of 64-bit gram hashes with a matrix of
-interpolated log probabilities and one of log back-off weights, a column per
-language, so one binary search serves all languages.
+Spark aggregates derive them from all grams.  Every order is a sorted array of
+64-bit gram hashes with the languages that have the gram and its interpolated
+log probability in each, and one of contexts with log back-off weights, so one
+binary search serves all languages.
 
 A text gets the language of the lowest cross-entropy per character.  It is
 rejected when even that is further above the language's usual value than
@@ -106,13 +107,34 @@ def _gram_counts(batches: Iterator[pa.RecordBatch], flush: int) -> Iterator[pa.R
     yield from counted()
 
 
+class Table:
+    """Values of (gram hash, language), sorted by both; one binary search finds a gram's languages."""
+
+    def __init__(self, hashes: np.ndarray, lang: np.ndarray, value: np.ndarray):
+        order = np.lexsort((lang, hashes))
+        self.keys, first = np.unique(hashes[order], return_index=True)
+        self.ptr = np.append(first, len(hashes))
+        self.lang, self.value = lang[order].astype(np.int32), value[order].astype(np.float32)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Position in ``hashes``, language and value of all entries of the given grams."""
+        if not len(self.keys):
+            return np.empty(0, np.int64), self.lang, self.value
+        i = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        row = np.flatnonzero(self.keys[i] == hashes)
+        start = self.ptr[i[row]]
+        n = self.ptr[i[row] + 1] - start
+        flat = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.repeat(row, n), self.lang[flat], self.value[flat]
+
+
 @dataclass
 class Model:
     langs: list[str]
-    keys: list[np.ndarray]          # per order, sorted
-    log_p: list[np.ndarray]         # per order, gram x language
-    log_back: list[np.ndarray]      # per order, gram (as a context) x language
-    log_back_root: np.ndarray | None = None  # back-off weight of the empty context
+    log_p: list[Table]              # per order, grams seen
+    log_back: list[Table]           # per length from 1, contexts seen
+    log_back_root: np.ndarray | None = None  # back-off weight of the empty context, per language
+    usual: np.ndarray | None = None          # cross-entropy of all training rows together, per language
 
     def log_probs(self, points: np.ndarray, start: np.ndarray) -> np.ndarray:
         """Log probability of the last character of each window, a column per language."""
@@ -124,87 +146,135 @@ class Model:
         return self._distinct(grams[first])[where]
 
     def _distinct(self, grams: np.ndarray) -> np.ndarray:
-        out = np.full((len(grams), len(self.langs)), -np.log(ALPHABET), np.float64)
+        out = np.full((len(grams), len(self.langs)), -np.log(ALPHABET), np.float64) + self.log_back_root
         whole = _hashes(grams)
         context = _hashes(np.concatenate([grams[:, :1], grams[:, :-1]], axis=1))
         for k in range(ORDER):
-            keys = self.keys[k]
             if k:  # weight of leaving the context of length k
-                i = np.minimum(np.searchsorted(self.keys[k - 1], context[k - 1]), len(self.keys[k - 1]) - 1)
-                hit = self.keys[k - 1][i] == context[k - 1]
-                back = np.where(hit[:, None], self.log_back[k - 1][i], 0.0)
-            else:
-                back = self.log_back_root[None, :]
-            i = np.minimum(np.searchsorted(keys, whole[k]), len(keys) - 1)
-            hit = keys[i] == whole[k]
-            out = np.where(hit[:, None], self.log_p[k][i], out + back)
+                row, lang, value = self.log_back[k - 1].find(context[k - 1])
+                out[row, lang] += value
+            row, lang, value = self.log_p[k].find(whole[k])
+            out[row, lang] = value
         return out
 
 
-def _discount(counts: np.ndarray) -> float:
+def _discount(n1: int, n2: int) -> float:
     """Absolute discount from the numbers of grams seen once and twice."""
-    n1, n2 = int((counts == 1).sum()), int((counts == 2).sum())
     return min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
 
 
+def _hashed(batches: Iterator[pa.RecordBatch], at: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    """Grams of any length up to ORDER as hashes, languages as numbers."""
+    for batch in batches:
+        grams = [g.rjust(ORDER) for g in batch.column("gram").to_pylist()]
+        k = batch.column("k").to_numpy()
+        points = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, ORDER)
+        h = np.stack(_hashes(points))[k - 1, np.arange(len(grams))] if grams else np.empty(0, U64)
+        lang = pa.array([at[x] for x in batch.column("lang").to_pylist()], pa.int32())
+        yield pa.record_batch([batch.column("k"), lang, pa.array(h.view(np.int64)), batch.column("value")],
+                              names=["k", "lang", "h", "value"])
+
+
+def _tables(df: DataFrame, langs: list[str], most: int) -> list[Table]:
+    """``df(k, lang, gram, value)`` as sorted arrays, one table for each k up to ``most``."""
+    at = {x: i for i, x in enumerate(langs)}
+    got = df.mapInArrow(partial(_hashed, at=at), "k int, lang int, h long, value float").toArrow()
+    k, lang, h, value = (got.column(c).to_numpy() for c in ("k", "lang", "h", "value"))
+    return [Table(h[k == i].view(U64), lang[k == i], value[k == i]) for i in range(1, most + 1)]
+
+
+def model_of(counts: DataFrame, stage: Stage) -> Model:
+    """Models from ``counts(lang, gram, n)`` of all grams of the top order; one row per language and gram.
+
+    Continuation counts, discounts, back-off weights and probabilities are
+    joins and aggregates over all grams; the driver gets hashes and values.
+    """
+    levels = {ORDER: counts.select("lang", "gram", F.col("n").alias("c"))}
+    for k in range(ORDER - 1, 0, -1):
+        # distinct left neighbours
+        levels[k] = stage.put(levels[k + 1].groupBy("lang", F.substring("gram", -k, k).alias("gram"))
+                              .agg(F.count(F.lit(1)).alias("c")), f"order{k}")
+    union = None
+    for k, level in levels.items():
+        level = level.withColumn("k", F.lit(k))
+        union = level if union is None else union.unionByName(level)
+    stats = union.groupBy("k", "lang").agg(
+        F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("c") == 1).alias("n1"),
+        F.count_if(F.col("c") == 2).alias("n2")).collect()
+    langs = sorted({r["lang"] for r in stats})
+    if not langs:
+        return Model([], [], [])
+    root = {r["lang"]: _discount(r["n1"], r["n2"]) * r["kinds"] / r["total"] for r in stats if r["k"] == 1}
+    # a few numbers per order and language
+    known = F.broadcast(counts.sparkSession.createDataFrame(
+        [(r["k"], r["lang"], _discount(r["n1"], r["n2"]), r["total"], root[r["lang"]]) for r in stats],
+        "k int, lang string, d double, total long, root double"))
+    held = F.greatest(F.col("c") - F.col("d"), F.lit(0.0)) / F.col("total")
+    p = stage.put(levels[1].join(known.where("k = 1"), "lang")
+                  .select("lang", "gram", "c", (held + F.col("root") / ALPHABET).alias("p")), "p1")
+    found, contexts = [p], []
+    for k in range(2, ORDER + 1):
+        grams = levels[k].withColumn("ctx", F.substring("gram", 1, k - 1))
+        left = stage.put(grams.groupBy("lang", "ctx").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds"))
+                         .join(known.where(F.col("k") == k).select("lang", "d"), "lang")
+                         .select("lang", "ctx", "d", "total", (F.col("d") * F.col("kinds") / F.col("total")).alias("back")),
+                         f"contexts{k}")
+        low = p.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("low"))
+        p = stage.put(grams.withColumn("suffix", F.substring("gram", 2, k - 1)).join(left, ["lang", "ctx"])
+                      .join(low, ["lang", "suffix"])
+                      .select("lang", "gram", "c", (held + F.col("back") * F.col("low")).alias("p")), f"p{k}")
+        found.append(p)
+        contexts.append(left)
+    usual = {r["lang"]: r["u"] for r in p.groupBy("lang").agg(
+        (-F.sum(F.col("c") * F.log("p")) / F.sum("c")).alias("u")).collect()}
+    log_p = log_back = None
+    for k, df in enumerate(found, 1):
+        df = df.select(F.lit(k).alias("k"), "lang", "gram", F.log("p").alias("value"))
+        log_p = df if log_p is None else log_p.unionByName(df)
+    for k, df in enumerate(contexts, 1):
+        df = df.select(F.lit(k).alias("k"), "lang", F.col("ctx").alias("gram"), F.log("back").alias("value"))
+        log_back = df if log_back is None else log_back.unionByName(df)
+    return Model(langs, _tables(log_p.withColumn("value", F.col("value").cast("float")), langs, ORDER),
+                 _tables(log_back.withColumn("value", F.col("value").cast("float")), langs, ORDER - 1),
+                 np.log([root[x] for x in langs]), np.array([usual[x] for x in langs]))
+
+
 def build(rows: list[tuple[str, str, int]]) -> Model:
-    """Models from (language, gram of the top order, count)."""
+    """The model of ``model_of`` from (language, gram of the top order, count) in plain Python, for small lists."""
     langs = sorted({r[0] for r in rows})
     if not langs:
-        return Model([], [], [], [])
-    grams = sorted({r[1] for r in rows} | {" " * ORDER})    # borders alone are a context, never counted
-    at = {g: i for i, g in enumerate(grams)}
-    points = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, ORDER)
-    top = np.zeros((len(grams), len(langs)))
-    for lang, gram, n in rows:
-        top[at[gram], langs.index(lang)] = n
-    suffix = _hashes(points)
-    # counts per order: raw at the top, distinct left neighbours below
-    keys, context_of, inverse = [], [], []
-    for k in range(ORDER):
-        key, first, where = np.unique(suffix[k], return_index=True, return_inverse=True)
-        keys.append(key)
-        inverse.append(where)
-        own = points[first]
-        context_of.append(_hashes(np.concatenate([own[:, :1], own[:, :-1]], axis=1))[k - 1] if k else None)
-    counts = [np.zeros((len(k), len(langs))) for k in keys]
-    counts[-1][inverse[-1]] = top
-    for k in range(ORDER - 1):
-        # the grams of order k + 2 that occur in a language, each once
-        wide, first = np.unique(inverse[k + 1], return_index=True)
-        seen = counts[k + 1] > 0 if k == ORDER - 2 else None
-        if seen is None:
-            seen = np.zeros((len(keys[k + 1]), len(langs)), bool)
-            np.logical_or.at(seen, inverse[k + 1], top > 0)
-        np.add.at(counts[k], inverse[k][first], seen[wide])
-    model = Model(langs, keys, [], [np.zeros((len(k), len(langs))) for k in keys])
-    lower = None
-    for k in range(ORDER):
-        c = counts[k]
-        d = np.array([_discount(c[c[:, j] > 0, j]) for j in range(len(langs))])
-        if k == 0:
-            total = c.sum(axis=0)
-            kinds = (c > 0).sum(axis=0)
-            back = d * kinds / np.maximum(total, 1)
-            p = np.maximum(c - d, 0) / np.maximum(total, 1) + back / ALPHABET
-            model.log_back_root = np.log(np.maximum(back, 1e-12))
-        else:
-            ctx, of = np.unique(context_of[k], return_inverse=True)
-            total = np.zeros((len(ctx), len(langs)))
-            kinds = np.zeros((len(ctx), len(langs)))
-            np.add.at(total, of, c)
-            np.add.at(kinds, of, c > 0)
-            back = np.where(total > 0, d * kinds / np.maximum(total, 1), 1.0)
-            # probability of the same gram one order lower
-            _, first = np.unique(inverse[k], return_index=True)
-            p_low = lower[inverse[k - 1][first]]
-            p = np.maximum(c - d, 0) / np.maximum(total, 1)[of] + back[of] * p_low
-            i = np.minimum(np.searchsorted(keys[k - 1], ctx), len(keys[k - 1]) - 1)
-            ok = keys[k - 1][i] == ctx
-            model.log_back[k - 1][i[ok]] = np.log(np.maximum(back[ok], 1e-12))
-        lower = np.maximum(p, 1e-300)
-        model.log_p.append(np.log(lower))
-    return model
+        return Model([], [], [])
+    out, back_out = [([], [], []) for _ in range(ORDER)], [([], [], []) for _ in range(ORDER - 1)]
+    roots, usual = [], []
+
+    def put(table, grams, j, values):
+        points = np.frombuffer("".join(g.rjust(ORDER) for g in grams).encode("utf-32-le"), np.uint32)
+        table[0].append(_hashes(points.reshape(-1, ORDER))[len(grams[0]) - 1])
+        table[1].append(np.full(len(grams), j))
+        table[2].append(np.log(values))
+
+    for j, lang in enumerate(langs):
+        levels = {ORDER: Counter({g: n for x, g, n in rows if x == lang})}
+        for k in range(ORDER - 1, 0, -1):
+            levels[k] = Counter(g[1:] for g in levels[k + 1])
+        low: dict[str, float] = {}
+        for k in range(1, ORDER + 1):
+            c = levels[k]
+            d = _discount(sum(n == 1 for n in c.values()), sum(n == 2 for n in c.values()))
+            total, kinds = Counter(), Counter(g[:-1] for g in c)
+            for g, n in c.items():
+                total[g[:-1]] += n
+            back = {x: d * kinds[x] / total[x] for x in kinds}
+            low = {g: max(n - d, 0) / total[g[:-1]] + back[g[:-1]] * (low[g[1:]] if k > 1 else 1 / ALPHABET)
+                   for g, n in c.items()}
+            put(out[k - 1], list(low), j, list(low.values()))
+            if k > 1:
+                put(back_out[k - 2], list(back), j, list(back.values()))
+            else:
+                roots.append(np.log(back[""]))
+        usual.append(-sum(n * np.log(low[g]) for g, n in c.items()) / sum(c.values()))
+    return Model(langs, *([Table(*map(np.concatenate, t)) for t in tables] for tables in (out, back_out)),
+                 np.array(roots), np.array(usual))
 
 
 class _Scorer:
@@ -279,32 +349,18 @@ def _score(batches: Iterator[pa.RecordBatch], model, usual: np.ndarray, spread:
                 names=[*batch.schema.names, "lang_pred", "score", "cross_entropy", "rejected"])
 
 
-def fit(train: DataFrame, most_grams: int = 200_000) -> Model:
-    """Learn from all rows of ``train(text, lang)``; rows with a null text or lang are left out.
+def fit(train: DataFrame) -> Model:
+    """Learn from all rows and all grams of ``train(text, lang)``; rows with a null text or lang are left out.
 
-    The model that goes to the executors is bounded: per language at most
-    ``most_grams`` grams of the top order, the most frequent; dropped grams
-    back off.
+    The whole model goes to the executors: about 16 bytes for each distinct
+    gram of each order and language.
     """
     train = train.where("text is not null and lang is not null")
-    counts = Stage(train.sparkSession, "grams").put(
-        train.select("lang", "text").mapInArrow(partial(_gram_counts, flush=400_000),
-                                                "lang string, gram string, n long")
-        .groupBy("lang", "gram").agg(F.sum("n").alias("n")), "counts")
-    # the smallest count whose grams, with all more frequent ones, stay within the bound
-    sizes = counts.groupBy("lang", F.least("n", F.lit(10_000)).alias("n")).agg(F.count(F.lit(1)).alias("w")).collect()
-    keep = F.lit(False)
-    for lang in {r["lang"] for r in sizes}:
-        total, least = 0, None
-        for r in sorted((r for r in sizes if r["lang"] == lang), key=lambda r: -r["n"]):
-            total += r["w"]
-            if total > most_grams:
-                break
-            least = r["n"]
-        if least is not None:
-            keep = keep | ((F.col("lang") == lang) & (F.col("n") >= least))
-    rows = counts.where(keep).toArrow()
-    return build(list(zip(*(rows.column(c).to_pylist() for c in ("lang", "gram", "n")))))
+    stage = Stage(train.sparkSession, "grams")
+    counts = stage.put(train.select("lang", "text").mapInArrow(partial(_gram_counts, flush=400_000),
+                                                               "lang string, gram string, n long")
+                       .groupBy("lang", "gram").agg(F.sum("n").alias("n")), "counts")
+    return model_of(counts, stage)
 
 
 def _entropies(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:

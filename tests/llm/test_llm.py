@@ -158,6 +158,37 @@ def test_kneser_ney_probabilities_sum_to_less_than_one():
     assert 0.3 < total <= 1.0001
 
 
+def test_kneser_ney_keeps_rare_grams_and_frequent_classes(spark):
+    from itertools import product
+
+    from leadloom.llm.op3_kneser_ney import fit, build
+
+    # 248,832 grams of "aa", more than 200,000, and each of them frequent in "bb"
+    grams = ["".join(g) for g in product("abcdefghijkl", repeat=5)]
+    texts = [("aa", " ".join(grams[i::8])) for i in range(8)]
+    texts += [("aa", "kept kept"), ("bb", "mnop " * 12_000), ("bb", "mnoq mnoq mnor")]
+    model = fit(spark.createDataFrame(texts, "lang string, text string"))
+    assert model.langs == ["aa", "bb"]
+    points = lambda *gs: np.array([[ord(c) for c in g] for g in gs], np.uint32)
+    _, lang, _ = model.log_p[-1].find(model_hashes(points(*grams)))
+    assert (lang == 0).sum() == len(grams)
+    # against plain Python over the same counts
+    counted = collections.Counter()
+    for lang, text in texts:
+        for w in text.split():
+            s = "    " + w + " "
+            counted.update((lang, s[i:i + 5]) for i in range(len(s) - 4))
+    want = build([(x, g, n) for (x, g), n in counted.items()])
+    at = points("abcde", "lllll", "kept ", "xkept", "    m", "mnoq ", "mnopq", "zzzzz", "   zz")
+    assert np.allclose(model._distinct(at), want._distinct(at), atol=1e-4)
+    assert np.allclose(model.usual, want.usual, atol=1e-4)
+
+
+def model_hashes(points):
+    from leadloom.llm.op3_kneser_ney import _hashes
+    return _hashes(points)[-1]
+
+
 def test_quality_scores(spark):
     from leadloom.llm.op6_histogram_trees import grow, score_quality
 
