@@ -184,6 +184,25 @@ def test_kneser_ney_keeps_rare_grams_and_frequent_classes(spark):
     assert np.allclose(model.usual, want.usual, atol=1e-4)
 
 
+def test_language_thresholds_cover_all_rows(spark):
+    from leadloom.llm.op3_kneser_ney import _Scorer, calibrate, fit
+
+    # 12,000 rows of one language; three of another that no sample of 2,000 rows must miss
+    rng = np.random.default_rng(3)
+    texts = [("aa", " ".join(rng.choice(["abba", "acab", "baca", "caba", "bcb"], 3 + i % 9))) for i in range(12_000)]
+    texts += [("zz", t) for t in ("xyzzy xyz", "yzx yzx zyx", "zzyx xyzzy zyx xyz")]
+    train = spark.createDataFrame([(i, *r) for i, r in enumerate(texts)], "doc_id long, lang string, text string")
+    model = spark.sparkContext.broadcast(fit(train.select("lang", "text")))
+    usual, spread = calibrate(train, model)
+    t = _Scorer(model.value).totals([x for _, x in texts])
+    for j, lang in enumerate(["aa", "zz"]):
+        own = t[[x == lang for x, _ in texts]]
+        want = -own[:, j].sum() / own[:, -2].sum()
+        dev = np.sort((-own[:, j] / own[:, -2] - want) ** 2 * own[:, -2])
+        assert abs(usual[j] - want) < 1e-4
+        assert abs(spread[j] - max(0.5, dev[(len(dev) - 1) // 2] ** 0.5 * 1.4826)) < 0.01
+
+
 def model_hashes(points):
     from leadloom.llm.op3_kneser_ney import _hashes
     return _hashes(points)[-1]
