@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from math import exp, lgamma, log
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,6 @@ from pyspark.sql import DataFrame, functions as F
 from .common import U64, Stage, WordHashes, components, mix, slices
 
 SLOTS = 512
-#: Deviation of a SuperMinHash comparison over that of independent slots, for sets with fewer members than slots
-#: (measured at most 0.82 for sets of 60 to 400 members and 512 slots).
-SMALL_SETS = 0.85
 _EMPTY = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -154,9 +152,26 @@ def _mismatches(a: str, b: str, words: int):
                F.lit(0))
 
 
+def most_mismatches(slots: int, percent: int, miss: float) -> int:
+    """Sketch mismatches that a pair at the threshold passes with a probability of at most ``miss``.
+
+    A slot differs with probability 1 - percent / 100 and shows it in one of
+    its two bits with 3/4; the exact binomial tail, whatever the sets' sizes.
+    """
+    p = (1 - percent / 100) * 0.75
+    if p <= 0:
+        return 0
+    tail = 0.0
+    for k in range(slots, -1, -1):
+        tail += exp(lgamma(slots + 1) - lgamma(k + 1) - lgamma(slots - k + 1) + k * log(p) + (slots - k) * log(1 - p))
+        if tail > miss:
+            return k
+    return 0
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, slots: int = SLOTS,
                     bands: int = 32, rows: int = 6, broadcast_ids: int = 4_000_000,
-                    slack: float = 4.0) -> DataFrame:
+                    miss: float = 1e-7) -> DataFrame:
     """Near-duplicate groups of ``docs(doc_id, text)`` by Jaccard similarity of word shingles.
 
     Two documents are linked when 100 * |A and B| >= ``percent`` * |A or B| for
@@ -171,7 +186,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, slots:
 
     With the defaults a pair at the threshold of 0.85 shares no band with
     probability 3e-7, one at 0.8 with 6e-5 (raise ``bands`` to lower it);
-    the sketch filter lets ``slack`` standard deviations pass of a comparison pass.  Ids of the
+    the sketch filter before a comparison of step 3 misses one at the
+    threshold with a probability of at most ``miss``.  Ids of the
     documents whose sets are needed are broadcast up to ``broadcast_ids`` of
     them (8 bytes each); beyond that their texts are found by a shuffled join.
     """
@@ -242,11 +258,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, slots:
                      .join(seen.select(F.col("a").alias("reference"), F.col("b").alias("id"), "common"),
                            ["reference", "id"], "left")
                      .join(heads.select("id", "n", "sketch"), "id"), "rest")
-    # expected mismatches at the threshold plus ``slack`` standard deviations
-    p = (1 - percent / 100) * 0.75
-    deviation = (slots * p * (1 - p)) ** 0.5
-    most = F.when(F.col("n_a") + F.col("n_b") <= 2 * slots, int(slots * p + slack * SMALL_SETS * deviation)) \
-        .otherwise(int(slots * p + slack * deviation))
+    most = most_mismatches(slots, percent, miss)
     fields = ("id", "group", "n", "sketch", "common")
     x = rest.select("meeting", *[F.col(c).alias(f"{c}_a") for c in fields])
     y = rest.select("meeting", *[F.col(c).alias(f"{c}_b") for c in fields])

@@ -90,6 +90,17 @@ def test_near_duplicates_match_all_pairs(spark):
     assert sorted(map(tuple, repeated)) == [(1, 2, 1, True), (2, 2, 1, False)]
 
 
+def test_near_duplicates_find_pairs_with_unlike_sketches(spark):
+    from leadloom.llm.op8_superminhash import near_duplicates
+
+    # 460 of 540 words in common, 82 of 512 slots with unlike bits (57 expected); they meet at a pivot unlike both
+    w = [f"s3308x{i}" for i in range(540)]
+    pivot = " ".join(w[:230] + [f"p0x{i}" for i in range(270)])
+    rows = [(1, pivot), (2, pivot), (3, pivot), (4, " ".join(w[:500])), (5, " ".join(w[:460] + w[500:]))]
+    got = near_duplicates(docs_of(spark, rows), 1, 85, bands=1, rows=1).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)}
+
+
 def test_superminhash_estimates_similarity():
     from leadloom.llm.op8_superminhash import U64, signatures
 
