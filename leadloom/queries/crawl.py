@@ -10,26 +10,26 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..plans.crawl import CrawlOptions, corpus_by_url, crawl, expand
 from .base import register, table
-from .payloads import K, text
+from .payloads import key, text
 
 
 def _corpus(spark, sf) -> DataFrame:
     p = table(spark, sf, "pages").select("page_id", "html")
-    site = text("https://www.site", K, ".net")
+    site = text("https://www.site", key(), ".net")
     listing = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda j: text(
-        '<a href="https://www.listed', K, "x", j, '.org/about">o</a>')), "")
+        '<a href="https://www.listed', key(), "x", j, '.org/about">o</a>')), "")
     home = F.concat(
         F.regexp_replace("html", "<nav>.*?</nav>", ""),
-        F.when(K % 3 == 0, text('<a href="/contact">c</a><a href="/impressum.html">i</a>')).otherwise('<a href="/shop">s</a>'),
-        F.when(K % 4 == 0, text('<a href="mailto:hello@site', K, '.net">m</a>')).otherwise(""),
-        F.when(K % 10 == 0, listing).otherwise(""))
+        F.when(key() % 3 == 0, text('<a href="/contact">c</a><a href="/impressum.html">i</a>')).otherwise('<a href="/shop">s</a>'),
+        F.when(key() % 4 == 0, text('<a href="mailto:hello@site', key(), '.net">m</a>')).otherwise(""),
+        F.when(key() % 10 == 0, listing).otherwise(""))
     pages = F.array(
         F.struct(F.concat(site, F.lit("/")).alias("url"), home.alias("html")),
-        F.struct(F.concat(site, F.lit("/contact")).alias("url"), text("<p>write to box", K, "@site", K, '.net</p><a href="/team">t</a>').alias("html")),
-        F.struct(F.concat(site, F.lit("/shop")).alias("url"), text("<p>shop", K, '@mail.com</p><a href="/cart">c</a>').alias("html")))
-    listed = F.when(K % 10 == 0, F.transform(F.sequence(F.lit(1), F.lit(5)), lambda j: F.struct(
-        text("https://www.listed", K, "x", j, ".org/").alias("url"),
-        text("<title>Listed</title><p>office", K, "x", j, "@listed", K, "x", j, ".org</p>").alias("html")))).otherwise(
+        F.struct(F.concat(site, F.lit("/contact")).alias("url"), text("<p>write to box", key(), "@site", key(), '.net</p><a href="/team">t</a>').alias("html")),
+        F.struct(F.concat(site, F.lit("/shop")).alias("url"), text("<p>shop", key(), '@mail.com</p><a href="/cart">c</a>').alias("html")))
+    listed = F.when(key() % 10 == 0, F.transform(F.sequence(F.lit(1), F.lit(5)), lambda j: F.struct(
+        text("https://www.listed", key(), "x", j, ".org/").alias("url"),
+        text("<title>Listed</title><p>office", key(), "x", j, "@listed", key(), "x", j, ".org</p>").alias("html")))).otherwise(
         F.array().cast("array<struct<url:string,html:string>>"))
     rows = p.select(F.explode(F.concat(pages, listed)).alias("r")).select("r.url", "r.html")
     return corpus_by_url(rows)
@@ -37,7 +37,7 @@ def _corpus(spark, sf) -> DataFrame:
 
 def _seeds(spark, sf) -> DataFrame:
     return table(spark, sf, "pages").select(
-        text("site", K, ".net").alias("domain"), text("https://www.site", K, ".net/").alias("url"), F.lit(0).alias("seq"))
+        text("site", key(), ".net").alias("domain"), text("https://www.site", key(), ".net/").alias("url"), F.lit(0).alias("seq"))
 
 
 _SITE = "'https://www.site' || page_id || '.net"

@@ -15,7 +15,11 @@ from ..sources import tables as S
 from .base import CAPPED_SQL, LEADS_SQL, capped, lead_table, register, sql_host, sql_normal, table
 
 HOST, NORMAL = sql_host("url"), sql_normal("url")
-K = F.col("page_id")
+
+
+def key() -> Column:
+    """The number a page's payloads follow from (a function: a Column needs a session)."""
+    return F.col("page_id")
 
 
 def _s(c) -> Column:
@@ -35,7 +39,7 @@ def _pages(spark, sf) -> DataFrame:
 def _(spark, sf):
     from .base import scratch
     path = scratch(spark, "lines")
-    line = F.when(K % 5 == 0, text("  ", F.col("url"), "\t")).when(K % 5 == 1, text("#", F.col("url"))).otherwise(F.col("url"))
+    line = F.when(key() % 5 == 0, text("  ", F.col("url"), "\t")).when(key() % 5 == 1, text("#", F.col("url"))).otherwise(F.col("url"))
     lines = _pages(spark, sf).select(line.alias("v")).unionByName(_pages(spark, sf).select(F.lit("   ").alias("v")))
     lines.write.text(path)
     return S.read_url_list(spark, path)
@@ -45,25 +49,25 @@ def _(spark, sf):
     SELECT page_id, 1, 'https://cached.example.net/' || page_id FROM pages UNION ALL SELECT page_id, 2, 'https://' || {HOST} || '/home' FROM pages WHERE page_id % 3 <> 0)""")
 def _(spark, sf):
     payload = text('{"search_metadata":{"status":"Success"},"organic_results":[{"position":1,"link":"', F.col("url"),
-                   '"},{"link":"","cached_page_link":"https://cached.example.net/', K, '"},{"title":"none"}],"local_results":',
-                   F.when(K % 3 == 0, F.lit("[]")).otherwise(text('{"places":[{"title":"x"},{"website":"HTTPS://', F.col("host"), '//home/"}]}')), "}")
+                   '"},{"link":"","cached_page_link":"https://cached.example.net/', key(), '"},{"title":"none"}],"local_results":',
+                   F.when(key() % 3 == 0, F.lit("[]")).otherwise(text('{"places":[{"title":"x"},{"website":"HTTPS://', F.col("host"), '//home/"}]}')), "}")
     return P.serp_urls(_pages(spark, sf).select("page_id", payload.alias("payload")), ["page_id"])
 
 
 @register("src5_duckduckgo", f"SELECT page_id, 0 AS seq, {NORMAL} AS url FROM pages UNION ALL SELECT page_id, 1, 'https://second.example.net/' || page_id FROM pages WHERE page_id % 2 = 0")
 def _(spark, sf):
     redirect = text("//duckduckgo.com/l/?uddg=", F.url_encode("url"), "&amp;rut=9")
-    marked = text('<a rel="nofollow" class="result__a" href="', redirect, '">a</a><a class="x result__a b" href="https://second.example.net/', K,
+    marked = text('<a rel="nofollow" class="result__a" href="', redirect, '">a</a><a class="x result__a b" href="https://second.example.net/', key(),
                   '">b</a><a href="/l/?uddg=https%3A%2F%2Fignored.net">c</a>')
     plain = text('<a class="other" href="/l/?uddg=', F.url_encode("url"), '">a</a>')
-    html = F.when(K % 2 == 0, marked).otherwise(plain)
+    html = F.when(key() % 2 == 0, marked).otherwise(plain)
     return P.duckduckgo_urls(_pages(spark, sf).select("page_id", html.alias("html")), ["page_id"])
 
 
 @register("src6_bing", f"SELECT page_id, 0 AS seq, {NORMAL} AS url FROM pages UNION ALL SELECT page_id, 2, 'https://direct.example.net/' || page_id FROM pages")
 def _(spark, sf):
     html = text('<h2 class="t"><a h="1" href="https://www.bing.com/ck/a?!&amp;&amp;p=9&amp;u=a1', F.regexp_replace(F.base64(F.col("url").cast("binary")), "=+$", ""),
-                '&amp;ntb=1">x</a></h2><h2><a href="https://www.bing.com/images">i</a></h2><h2>\n<a href="https://direct.example.net/', K, '/">d</a></h2>')
+                '&amp;ntb=1">x</a></h2><h2><a href="https://www.bing.com/images">i</a></h2><h2>\n<a href="https://direct.example.net/', key(), '/">d</a></h2>')
     return P.bing_urls(_pages(spark, sf).select("page_id", html.alias("html")), ["page_id"])
 
 
@@ -76,9 +80,9 @@ def _(spark, sf):
 
 # ------------------------------------------------------------------ places
 def _place_payload() -> Column:
-    return text('{"status":"OK","results":[{"place_id":"p', K, '","name":"Shop  &amp; Co ', K, '","formatted_address":"', K,
-                ' High Street","geometry":{"location":{"lat":', (K % 90).cast("double"), ',"lng":', (K % 180).cast("double"),
-                '}},"rating":4.5,"user_ratings_total":', K % 500, ',"types":["dentist","health","point","extra"],"business_status":"OPERATIONAL"}]}')
+    return text('{"status":"OK","results":[{"place_id":"p', key(), '","name":"Shop  &amp; Co ', key(), '","formatted_address":"', key(),
+                ' High Street","geometry":{"location":{"lat":', (key() % 90).cast("double"), ',"lng":', (key() % 180).cast("double"),
+                '}},"rating":4.5,"user_ratings_total":', key() % 500, ',"types":["dentist","health","point","extra"],"business_status":"OPERATIONAL"}]}')
 
 
 @register("src7_places", """SELECT page_id, 'p' || page_id AS place_id, 'Shop & Co ' || page_id AS name, page_id || ' High Street' AS address, (page_id % 90)::DOUBLE AS latitude,
@@ -94,16 +98,16 @@ def _(spark, sf):
     pages = _pages(spark, sf)
     places = P.place_rows(pages.select("page_id", _place_payload().alias("payload")), ["page_id"])
     details = pages.where("page_id % 3 <> 2").select(
-        text("p", K).alias("place_id"), F.when(K % 3 == 0, text("https://WWW.shop", K, ".co.uk/?utm_source=maps")).alias("website"),
-        text("(020) 7946 1", 100 + K % 900).alias("formatted_phone_number"),
-        F.when(K % 2 == 0, text("+44 20 7946 ", 1000 + K % 9000)).otherwise("").alias("international_phone_number"))
+        text("p", key()).alias("place_id"), F.when(key() % 3 == 0, text("https://WWW.shop", key(), ".co.uk/?utm_source=maps")).alias("website"),
+        text("(020) 7946 1", 100 + key() % 900).alias("formatted_phone_number"),
+        F.when(key() % 2 == 0, text("+44 20 7946 ", 1000 + key() % 9000)).otherwise("").alias("international_phone_number"))
     return P.place_leads(places, details, ["page_id"]).select("page_id", "domain", "url", "phone")
 
 
 def _map_payload() -> Column:
-    return text('{"type":"node","id":', K, ',"lat":', F.when(K % 2 == 0, text((K % 80).cast("double"))).otherwise("null"), ',"center":{"lat":1.5,"lon":2.5},"tags":{',
-                F.when(K % 4 != 3, text('"name":"Cafe ', K, '",')).otherwise(""), F.when(K % 3 == 0, text('"contact:website":"cafe', K, '.com/",')).otherwise(""),
-                '"addr:street":"Road","addr:housenumber":"', K, '","shop":"bakery","phone":"+44 20 7946 ', 1000 + K % 9000, ';020 7946 ', 1000 + K % 9000, '","email":"Info@cafe', K, '.com,bad"}}')
+    return text('{"type":"node","id":', key(), ',"lat":', F.when(key() % 2 == 0, text((key() % 80).cast("double"))).otherwise("null"), ',"center":{"lat":1.5,"lon":2.5},"tags":{',
+                F.when(key() % 4 != 3, text('"name":"Cafe ', key(), '",')).otherwise(""), F.when(key() % 3 == 0, text('"contact:website":"cafe', key(), '.com/",')).otherwise(""),
+                '"addr:street":"Road","addr:housenumber":"', key(), '","shop":"bakery","phone":"+44 20 7946 ', 1000 + key() % 9000, ';020 7946 ', 1000 + key() % 9000, '","email":"Info@cafe', key(), '.com,bad"}}')
 
 
 @register("src8_map_leads", """SELECT page_id, CASE WHEN page_id % 4 <> 3 THEN 'Cafe ' || page_id END AS name, CASE WHEN page_id % 3 = 0 THEN 'cafe' || page_id || '.com' ELSE '' END AS domain,
@@ -296,14 +300,14 @@ def _(spark, sf):
 
 # ------------------------------------------------------------------ robots, sitemaps, archives
 def _domain(spark, sf):
-    return table(spark, sf, "pages").select("page_id", text("site", K, ".net").alias("domain"), "url")
+    return table(spark, sf, "pages").select("page_id", text("site", key(), ".net").alias("domain"), "url")
 
 
 @register("src13_listed_sitemaps", """SELECT 'site' || page_id || '.net' AS domain, sitemap, rank::INT AS rank FROM (SELECT page_id, unnest(['https://site' || page_id || '.net/a.xml', 'https://cdn.net/b.xml']) AS sitemap, unnest([1, 2]) AS rank FROM pages WHERE page_id % 3 = 0
     UNION ALL SELECT page_id, 'https://site' || page_id || '.net/sitemap.xml', 1 FROM pages WHERE page_id % 3 <> 0)""")
 def _(spark, sf):
-    body = F.when(K % 3 == 0, text("User-agent: *\nSitemap: https://", F.col("domain"), "/a.xml\nSITEMAP:https://cdn.net/b.xml\nsitemap: https://", F.col("domain"), "/a.xml\n")).otherwise("User-agent: *\nDisallow:")
-    return S.listed_sitemaps(_domain(spark, sf).select("domain", (K % 3 != 2).alias("ok"), body.alias("body")))
+    body = F.when(key() % 3 == 0, text("User-agent: *\nSitemap: https://", F.col("domain"), "/a.xml\nSITEMAP:https://cdn.net/b.xml\nsitemap: https://", F.col("domain"), "/a.xml\n")).otherwise("User-agent: *\nDisallow:")
+    return S.listed_sitemaps(_domain(spark, sf).select("domain", (key() % 3 != 2).alias("ok"), body.alias("body")))
 
 
 @register("src14_sitemap_pages", """SELECT 'site' || page_id || '.net' AS domain, n::INT AS n, page FROM (SELECT page_id, unnest([1, 2, 3]) AS n, unnest(['https://site' || page_id || '.net/deep?a=1&b=2', 'https://site' || page_id || '.net/contact', 'https://site' || page_id || '.net/blog']) AS page FROM pages WHERE page_id % 5 <> 4)""")
@@ -312,7 +316,7 @@ def _(spark, sf):
     ns = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
     docs = _domain(spark, sf).select("page_id", "domain", F.explode(F.array(
         F.struct(text("https://", d, "/i.xml").alias("url"), text(f"<?xml version='1.0'?><sitemapindex {ns}><sitemap><loc> https://", d, "/j.xml </loc></sitemap><sitemap><loc>https://", d,
-                 "/p.xml</loc></sitemap></sitemapindex>", F.when(K % 5 == 4, "<broken").otherwise("")).alias("body")),
+                 "/p.xml</loc></sitemap></sitemapindex>", F.when(key() % 5 == 4, "<broken").otherwise("")).alias("body")),
         F.struct(text("https://", d, "/j.xml").alias("url"), text(f"<sitemapindex {ns}><sitemap><loc>https://", d, "/q.xml</loc></sitemap></sitemapindex>").alias("body")),
         F.struct(text("https://", d, "/p.xml").alias("url"), text(f"<urlset {ns}><url><loc>https://", d, "/contact</loc><lastmod>x</lastmod></url><url><loc>https://", d, "/blog</loc></url></urlset>").alias("body")),
         F.struct(text("https://", d, "/q.xml").alias("url"), text(f"<urlset {ns}><url><loc>https://", d, "/deep?a=1&amp;b=2</loc></url></urlset>").alias("body")))).alias("x"))
@@ -334,17 +338,17 @@ _ROBOTS_BODY = ["# note\nUser-agent: *\nDisallow: /private # x\nAllow: /\n\nUser
 @register("src16_robots_rules", """SELECT 'https://site' || page_id || '.net' AS origin, CASE page_id % 3 WHEN 0 THEN '*|false|/private;*|true|/;leadloom,other|true|/team;leadloom,other|false|/t;leadloom,other|false|/~joe/'
     WHEN 1 THEN 'googlebot|false|/' ELSE '*|true|' END AS rules FROM pages WHERE page_id % 7 <> 0""")
 def _(spark, sf):
-    body = F.when(K % 3 == 0, _ROBOTS_BODY[0]).when(K % 3 == 1, _ROBOTS_BODY[1]).otherwise(_ROBOTS_BODY[2])
-    parsed = S.robots_rules(_domain(spark, sf).select(text("https://", F.col("domain")).alias("origin"), (K % 7 != 0).alias("ok"), body.alias("body")))
+    body = F.when(key() % 3 == 0, _ROBOTS_BODY[0]).when(key() % 3 == 1, _ROBOTS_BODY[1]).otherwise(_ROBOTS_BODY[2])
+    parsed = S.robots_rules(_domain(spark, sf).select(text("https://", F.col("domain")).alias("origin"), (key() % 7 != 0).alias("ok"), body.alias("body")))
     flat = F.transform("rules", lambda r: F.concat_ws("|", F.array_join(r["agents"], ","), r["allow"].cast("string"), r["path"]))
     return parsed.select("origin", F.array_join(flat, ";").alias("rules"))
 
 
 @register("jn10_robots_gate", """SELECT page_id, path, CASE WHEN page_id % 7 = 0 OR page_id % 3 <> 0 THEN TRUE ELSE path = '/team/x' OR path = '/private/y' END AS allowed FROM (SELECT page_id, unnest(['/team/x', '/tools', '/private/y', '/~joe/z']) AS path FROM pages)""")
 def _(spark, sf):
-    body = F.when(K % 3 == 0, _ROBOTS_BODY[0]).when(K % 3 == 1, _ROBOTS_BODY[1]).otherwise(_ROBOTS_BODY[2])
+    body = F.when(key() % 3 == 0, _ROBOTS_BODY[0]).when(key() % 3 == 1, _ROBOTS_BODY[1]).otherwise(_ROBOTS_BODY[2])
     d = _domain(spark, sf)
-    parsed = S.robots_rules(d.select(text("https://", F.col("domain")).alias("origin"), (K % 7 != 0).alias("ok"), body.alias("body")))
+    parsed = S.robots_rules(d.select(text("https://", F.col("domain")).alias("origin"), (key() % 7 != 0).alias("ok"), body.alias("body")))
     urls = d.select("page_id", F.explode(F.array(*map(F.lit, ["/team/x", "/tools", "/private/y", "/~joe/z"]))).alias("path"), "domain")
     urls = urls.withColumn("u", text("https://", F.col("domain"), F.col("path")))
     return S.with_robots_gate(urls, parsed, "u", "Leadloom/1.0").select("page_id", "path", "allowed")
@@ -359,7 +363,7 @@ _ROBOTS_GROUPS = ["User-agent: leadloom\nCrawl-delay: 5\nUser-agent: other\nDisa
 @register("jn10_robots_groups", """SELECT page_id, agent, path, CASE WHEN page_id % 3 = 2 THEN path <> '/x/1' WHEN agent = 'leadloom' THEN TRUE ELSE page_id % 3 = 0 AND agent = 'third' END AS allowed
     FROM (SELECT page_id, unnest(['/x/1', '/y']) AS path FROM pages), (SELECT unnest(['leadloom', 'other', 'third']) AS agent)""")
 def _(spark, sf):
-    body = F.when(K % 3 == 0, _ROBOTS_GROUPS[0]).when(K % 3 == 1, _ROBOTS_GROUPS[1]).otherwise(_ROBOTS_GROUPS[2])
+    body = F.when(key() % 3 == 0, _ROBOTS_GROUPS[0]).when(key() % 3 == 1, _ROBOTS_GROUPS[1]).otherwise(_ROBOTS_GROUPS[2])
     d = _domain(spark, sf)
     parsed = S.robots_rules(d.select(text("https://", F.col("domain")).alias("origin"), F.lit(True).alias("ok"), body.alias("body")))
     urls = d.select("page_id", F.explode(F.array(F.lit("/x/1"), F.lit("/y"))).alias("path"), "domain")

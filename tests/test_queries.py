@@ -1,5 +1,9 @@
 """Registered queries next to the SQL that states their results."""
 
+import os
+import subprocess
+import sys
+
 import compare
 import pytest
 
@@ -24,3 +28,13 @@ def test_query_equals_sql(session, duck, name):
 
 def test_every_statement_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_registries_are_read_without_a_session():
+    """Names and SQL are listed before any session exists, in a fresh interpreter."""
+    code = ("import __spark_entry__ as e; from pyspark.sql import SparkSession; "
+            "assert SparkSession.getActiveSession() is None; "
+            "q, o = e.queries(), e.oracle_sql(); assert q and set(o) <= set(q); "
+            "import bench; assert SparkSession.getActiveSession() is None")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
