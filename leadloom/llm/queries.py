@@ -235,3 +235,112 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     from .op10_quote_threads import link_quotes
 
     return link_quotes(quoted_mail(table(spark, sf, "conversations")))
+
+
+def _crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of a text of ASCII characters, bit by bit."""
+    chars = f"list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i, 1))::UBIGINT)"
+    bits = ("list_reduce(list_concat([xor(c, b)], range(8)::UBIGINT[]), lambda v, k: "
+            "CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END)")
+    return f"xor(list_reduce(list_concat([4294967295::UBIGINT], {chars}), lambda c, b: {bits}), 4294967295::UBIGINT)"
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(octet_length(encode({value}::VARCHAR))::VARCHAR || ':' || {value}::VARCHAR, '-')"
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(_field_sql(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _tree_sql(name: str) -> str:
+    """All levels of the trees over ``{name}0(g, pos, n, hash)``, and every node's siblings."""
+    return f"""
+{name}(g, level, pos, n, hash) AS (
+    SELECT g, 0, pos, n, hash FROM {name}0
+    UNION ALL SELECT g, level + 1, pos // 3, (any_value(n) + 2) // 3, sha256(string_agg(hash, '' ORDER BY pos))
+    FROM {name} WHERE n > 1 GROUP BY g, level, pos // 3),
+{name}_steps AS (SELECT x.g, x.level, x.pos,
+    coalesce(string_agg(y.hash, '' ORDER BY y.pos) FILTER (WHERE y.pos < x.pos), '') AS lo,
+    coalesce(string_agg(y.hash, '' ORDER BY y.pos) FILTER (WHERE y.pos > x.pos), '') AS hi
+    FROM {name} x JOIN {name} y ON x.g = y.g AND x.level = y.level AND x.pos // 3 = y.pos // 3
+    WHERE x.n > 1 GROUP BY ALL)"""
+
+
+_OP11_SQL = f"""
+WITH RECURSIVE l AS (SELECT doc_id, coalesce('s' || source, 'n') AS g, {_leaf_sql('text')} AS leaf,
+    CASE WHEN {_crc32_sql('doc_id::VARCHAR')} % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")}
+         ELSE {_leaf_sql('text')} END AS altered FROM documents),
+a0 AS (SELECT g, row_number() OVER (PARTITION BY g ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n,
+              leaf AS hash, doc_id, altered FROM l),
+{_tree_sql('a')},
+sub AS (SELECT g AS of, hash AS subroot FROM a WHERE n = 1),
+b0 AS (SELECT '' AS g, row_number() OVER (ORDER BY encode(of)) - 1 AS pos, count(*) OVER () AS n, subroot AS hash, of FROM sub),
+{_tree_sql('b')},
+steps AS (SELECT x.doc_id, s.level, s.lo, s.hi FROM a0 x JOIN a_steps s ON s.g = x.g AND s.pos = x.pos // pow(3, s.level)::BIGINT
+    UNION ALL SELECT x.doc_id, 1000 + s.level, s.lo, s.hi FROM a0 x JOIN b0 y ON y.of = x.g
+    JOIN b_steps s ON s.pos = y.pos // pow(3, s.level)::BIGINT),
+proofs AS (SELECT doc_id, list(struct_pack(lo := lo, hi := hi) ORDER BY level) AS path FROM steps GROUP BY doc_id),
+folded(doc_id, k, hash) AS (
+    SELECT doc_id, 0, altered FROM a0
+    UNION ALL SELECT f.doc_id, k + 1, sha256(path[k + 1].lo || hash || path[k + 1].hi)
+    FROM folded f JOIN proofs p ON p.doc_id = f.doc_id WHERE k < len(path)),
+ends AS (SELECT doc_id, arg_max(hash, k) AS folded_root FROM folded GROUP BY doc_id)
+SELECT x.doc_id, x.hash AS leaf, subroot, r.hash AS root,
+       sha256(coalesce(list_reduce(list_concat([''], list_transform(path, lambda p: p.lo || p.hi)), lambda s, t: s || t), '')) AS proof_sha256,
+       folded_root, folded_root = r.hash AS verified
+FROM a0 x JOIN sub ON sub.of = x.g CROSS JOIN (SELECT hash FROM b WHERE n = 1) r
+JOIN ends ON ends.doc_id = x.doc_id LEFT JOIN proofs ON proofs.doc_id = x.doc_id
+"""
+
+
+@register("op11_merkle_manifest", _OP11_SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    """Merkle proofs of all documents, and which of them hold after half have lost their line ends."""
+    from .op11_bitmap_merkle import COLUMNS, fold_path, leaf_hash, proof_digest, prove
+
+    whole = [F.col(c) for c in COLUMNS[:-1]]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0,
+                      F.unhex(leaf_hash(*whole, F.replace(F.col("text"), F.lit("\n"), F.lit("")))))
+    out = prove(table(spark, sf, "documents"), altered=tampered)
+    folded = fold_path(F.coalesce("altered", "leaf"), F.col("path"))
+    return (out.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"),
+                       folded.alias("folded_root"))
+            .withColumn("verified", F.col("folded_root") == F.col("root")))
+
+
+@register("op13_token_counts")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of every whole text of documents, counted by byte-pair merges."""
+    from .op13_heap_merges import count_tokens, default_vocabulary
+
+    return count_tokens(table(spark, sf, "documents"), default_vocabulary(spark), limit=1024)
+
+
+_OP12_SQL = """
+WITH v AS (
+    SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS INT) AS label,
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, y.vec_id, a.label = y.label AS same, list_inner_product(a.e, y.e)::BIGINT AS score
+      FROM v a JOIN v y ON y.vec_id <> a.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id,
+       row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
+@register("op12_hard_negatives", _OP12_SQL)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector, against all embeddings."""
+    from .op12_bond_negatives import mine
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).cast("int")
+    vectors = table(spark, sf, "embeddings").withColumn("label", label)
+    return mine(vectors, F.col("vec_id") % 50 == 0, positives=5, negatives=3, low=50, high=95)
