@@ -21,6 +21,7 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 from functools import partial
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -38,6 +39,11 @@ def open_store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
+def index_key(url: str | None) -> str:
+    """The URL as one word of an index line: blanks, braces and all else outside ASCII percent-encoded."""
+    return quote(url or "-", safe="!#$%&'()*+,/:;=?@[]~", errors="surrogatepass")
+
+
 def digest32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -90,7 +96,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, date: str, most_bytes
             data = pack.compress(record(kind, f"urn:page:{page}", url, date, digest, payload, f"urn:page:{first}"))
             data += pack.flush()
             member.write(data)
-            index.append(f"{url or '-'} ".replace("\n", " ") + json.dumps(
+            index.append(index_key(url) + " " + json.dumps(
                 {"offset": offset, "length": len(data), "digest": f"sha1:{digest}", "filename": "data.warc.gz"}) + "\n")
             offset += len(data)
             if offset >= most_bytes:
@@ -201,7 +207,8 @@ def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         continue
                     data = _at(file, data_start(file, local), packed)
                     text = zlib.decompress(data, -15) if method == 8 else data
-                    entries = [json.loads(line[line.index(b"{"):]) for line in text.split(b"\n") if b"{" in line]
+                    # keys hold no blank, so the first one before a brace begins the JSON
+                    entries = [json.loads(line[line.index(b" {"):]) for line in text.split(b"\n") if b" {" in line]
                     if entries:
                         yield pa.record_batch(
                             [pa.array([path] * len(entries)),
