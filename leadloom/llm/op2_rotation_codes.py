@@ -106,6 +106,13 @@ def _dot(x: str, y: str) -> Column:
                        lambda s, v: s + v)
 
 
+def _scaled(x: str) -> Column:
+    """The vector times a power of two that brings its largest component near 1: exact, and squares stay finite."""
+    most = F.array_max(F.transform(x, lambda v: F.abs(v.cast("double"))))
+    power = F.when((most > 0) & (most < float("inf")), F.least(F.greatest(F.floor(F.log2(most)), F.lit(-1000)), F.lit(1000)))
+    return F.transform(x, lambda v: v.cast("double") * F.pow(F.lit(2.0), -power))
+
+
 def _hamming(x: str, y: str) -> Column:
     return sum((F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k])) for k in range(CODE_BITS // 64)), F.lit(0))
 
@@ -157,7 +164,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, tables: int = 64, bits
         return (pairs.join(codes.select(F.col("vec_id").alias("a"), F.col("code").alias("code_a")), "a")
                 .join(codes.select(F.col("vec_id").alias("b"), F.col("code").alias("code_b")), "b"))
 
-    whole = every.select("vec_id", "embedding", F.sqrt(_dot("embedding", "embedding")).alias("size"))
+    whole = (every.select("vec_id", _scaled("embedding").alias("embedding"))
+             .withColumn("size", F.sqrt(_dot("embedding", "embedding"))))
 
     def cosines(pairs: DataFrame) -> DataFrame:
         left = whole.select(F.col("vec_id").alias("a"), F.col("embedding").alias("e_a"), F.col("size").alias("z_a"))
