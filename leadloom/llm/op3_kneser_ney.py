@@ -16,7 +16,6 @@ calibration on training rows allows for its length.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,6 +23,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import U64, Stage, mix, slices
@@ -32,7 +32,7 @@ ORDER = 5
 #: Probability of a character that no language has seen: one of so many.
 ALPHABET = 100_000
 UNKNOWN = "und"
-_RUNS = re.compile(r"[^\W\d_]+")
+_RUNS = regex.compile(r"\p{L}+")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -145,14 +145,17 @@ def test_language_id_on_held_out_rows(spark):
 
     given = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
     odd = spark.createDataFrame([(900001, None, "en"), (900002, "", None), (900003, "123 !!", "fr"), (None, "the", None),
+                                 (900005, "\u00bd \u00b2\u00b3 \u2167", "es"),
                                  (900004, "漢字 仮名 文字 漢字 仮名 文字 " * 30, None)], given.schema)
     out = identify(given.unionByName(odd).withColumn("score", F.lit("clash"))).collect()
     by_id = {r.doc_id: r for r in out}
-    assert len(out) == given.count() + 5
-    for i in (900001, 900002, 900003):
+    assert len(out) == given.count() + 6
+    for i in (900001, 900002, 900003, 900005):
         assert (by_id[i].lang_pred, by_id[i].score, by_id[i].rejected) == ("und", 0.0, True)
     assert by_id[900004].rejected and by_id[900004].lang_pred != "und"
-    kept = [r for r in out if r.doc_id is not None and r.doc_id < 900000]
+    tried = {r.doc_id for r in given.where(held_out(F.col("doc_id"))).select("doc_id").collect()}
+    kept = [r for r in out if r.doc_id in tried]
+    assert len(kept) > 20
     assert sum(r.lang_pred == r.lang for r in kept) >= 0.98 * len(kept)
     assert sum(r.rejected for r in kept) <= 0.01 * len(kept)
     assert identify(given.limit(0)).count() == 0
@@ -282,12 +285,24 @@ def test_estimate_is_unbiased():
     assert abs(np.mean(errors)) < 0.006 and np.std(errors) < 0.06
 
 
+def test_far_exponents_link_by_angle(spark):
+    from leadloom.llm.op2_rotation_codes import near_vectors
+
+    rng = np.random.default_rng(8)
+    a, b = rng.standard_normal(16), rng.standard_normal(16)
+    rows = [(i, [float(x) for x in v * s], 1) for i, (v, s) in enumerate(
+        [(a, 1e-200), (a, 1.0), (a, 1e200), (a, 1e-310), (b, 1e-200), (b, 1e200), (-a, 1e250), (a, 1e300)])]
+    out = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in out} == {
+        0: (4, 0), 1: (4, 0), 2: (4, 0), 3: (4, 0), 7: (4, 0), 4: (1, 4), 5: (1, 4), 6: (0, 6)}
+
+
 def test_warc_round_trip(spark, tmp_path):
     from leadloom.llm.op9_zip_warc import digest32, read_packages, write_packages
 
     rows = [(5, "http://a/", "<p>x</p>"), (3, "http://b/\r\nX: y", "<p>x</p>"), (9, None, None), (8, "http://c/", ""),
             (None, "http://d/", "<p>x</p>"), (7, "http://e/", "é" * 300_000), (3, "http://b/", "<p>x</p>"),
-            (11, "http://f/", "a\r\n\r\nb")]
+            (11, "http://f/", "a\r\n\r\nb"), (12, 'http://g/{id}/{"a": 1}?q={x y}', "g"), (13, "h { {", "h")]
     pages = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, kind string")
     made = write_packages(pages.repartition(3), f"file://{tmp_path}/w", most_bytes=100)
     got = read_packages(spark, made).collect()
