@@ -21,8 +21,12 @@ def mail_domain(email: Column) -> Column:
 
 def clean_email(raw: Column) -> Column:
     """Decode, strip surrounding punctuation, lower-case, cut at ``?``."""
-    text = strip(html_unescape(percent_decode(raw)))
-    bare = F.regexp_replace(text, r"""^[.,;:'"<>()\[\]]+|[.,;:'"<>()\[\]]+$""", "")
+    return tidy_email(html_unescape(percent_decode(raw)))
+
+
+def tidy_email(text: Column) -> Column:
+    """Strip surrounding punctuation of a decoded address, lower-case, cut at ``?``."""
+    bare = F.regexp_replace(strip(text), r"""^[.,;:'"<>()\[\]]+|[.,;:'"<>()\[\]]+$""", "")
     return F.substring_index(F.lower(bare), "?", 1)
 
 

@@ -1,8 +1,9 @@
 """Contact extraction: page table in, long contacts table out.
 
-Every family of candidates of a page is gathered into one array in a single
-pass over the HTML; after one explode, cleaning, validity and confidence are
-plain column expressions over small rows.
+One search for anchors (``anchors``) gathers the raw finds of all families of
+a page; after one explode, cleaning, validity and confidence are plain column
+expressions over small rows.  The families also exist as column expressions of
+their own, for text columns and single families.
 """
 
 from __future__ import annotations
@@ -13,11 +14,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import rules
 from ..functions.emails import (
-    clean_email, decode_cfemail, email_confidence, is_role, is_valid_email)
-from ..functions.phones import dialable_runs, with_normalised_phone
+    decode_cfemail, email_confidence, is_role, is_valid_email, tidy_email)
+from ..functions.phones import with_normalised_phone
 from ..functions.text import pin, strip
 from ..functions.urls import host_of, registrable_domain
-from .pages import embedded_state, visible_text
+from .anchors import with_finds
 
 FAMILIES = ("email", "phone", "social")
 #: URLs and the digit runs inside them, removed before phones are looked for.
@@ -35,16 +36,6 @@ SOCIAL_HOSTS = {kind: (f"{kind}.com/",) for kind in rules.SOCIAL_PATTERNS} | {
     "twitter": ("twitter.com/", "x.com/"), "telegram": ("t.me/", "telegram.me/"),
     "whatsapp": ("api.whatsapp.com/", "wa.me/")}
 
-_CANDIDATE = "array<struct<kind:string,raw:string,base:double,tag:string,place:int>>"
-
-
-def _found(kind: str, values: Column, base: float, tag: str | None, place: int) -> Column:
-    return F.transform(values, lambda x, i: F.struct(
-        F.lit(kind).alias("kind"), x.alias("raw"), F.lit(base).alias("base"),
-        F.lit(tag).cast("string").alias("tag"),
-        (F.lit(place * 1_000_000) + i).alias("place")))
-
-
 def _all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
@@ -120,36 +111,8 @@ def candidates(pages: DataFrame, keys: Sequence[str], want: Sequence[str] = FAMI
     """All raw finds of the wanted families: one row per find."""
     if "all" in want:
         want = FAMILIES
-    h, v, s = F.col(html), F.col("__visible"), F.col("__state")
-    df = pages
-    if "email" in want or "phone" in want:
-        df = df.withColumn("__visible", visible_text(h))
-    arrays = []
-    if "email" in want:
-        df = df.withColumn("__state", embedded_state(h))
-        arrays += [
-            _found("email", cloudflare_emails(h), 0.95, "cfemail", 0),
-            _found("email", mailto_emails(h), 0.90, "mailto", 1),
-            _found("email", plain_emails(v), 0.75, None, 2),
-            _found("email", plain_emails(h), 0.60, None, 3),
-            _found("email", plain_emails(s), 0.70, "embedded", 4)]
-        if deobfuscate:
-            arrays += [_found("email", obfuscated_emails(v), 0.65, "deobfuscated", 5),
-                       _found("email", concatenated_emails(h), 0.70, "js_concat", 6)]
-    if "phone" in want:
-        df = df.withColumn("__spoken", without_urls(v))
-        arrays += [_found("phone", tel_links(h), 0.95, "tel", 10),
-                   _found("phone", dialable_runs(F.col("__spoken")), 0.60, "text", 11)]
-    if "social" in want:
-        for i, (kind, found) in enumerate(social_profiles(h).items()):
-            arrays.append(_found(kind, found, 0.80, None, 20 + i))
-    if structured:
-        from .structured import with_jsonld
-        df = with_jsonld(df, html, "__ld")
-        arrays += [_found("phone", F.array_compact(F.array(F.col("__ld.telephone"))), 0.90, "jsonld", 40),
-                   _found("email", F.array_compact(F.array(F.col("__ld.email"))), 0.90, "jsonld", 41)]
-    found = df.select(*keys, F.col(url).alias("source_url"),
-                      F.explode(F.concat(*arrays).cast(_CANDIDATE)).alias("__c"))
+    df = with_finds(pages, [*dict.fromkeys([*keys, url])], html, want, deobfuscate, structured)
+    found = df.select(*keys, F.col(url).alias("source_url"), F.explode("__finds").alias("__c"))
     return found.select(*keys, "source_url", "__c.*")
 
 
@@ -181,7 +144,7 @@ def _judged(found: DataFrame, org: str, url: str, blocklist, local_blocklist) ->
     """Cleaned, valid candidates with confidence and meta."""
     kind, raw, tag = F.col("kind"), F.col("raw"), F.col("tag")
     mail, phone, ld = kind == "email", kind == "phone", tag == "jsonld"
-    df = pin(found, "__mail", F.when(mail & (tag.isNull() | ~ld), clean_email(raw)).when(mail, F.lower(raw)))
+    df = pin(found, "__mail", F.when(mail & (tag.isNull() | ~ld), tidy_email(raw)).when(mail, F.lower(raw)))
     df = df.withColumn("__tel", F.when(phone, raw))
     df = df.where(
         F.when(mail, is_valid_email(F.col("__mail"), blocklist, local_blocklist))

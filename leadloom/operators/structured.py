@@ -38,7 +38,9 @@ def _children(level: str) -> Column:
         CASE WHEN schema_of_variant(n.v) LIKE 'ARRAY%' THEN transform(
                  slice(try_variant_get(n.v, '$', 'array<variant>'), 1, {rules.JSONLD_MAX_ITEMS}),
                  (item, i) -> named_struct('path', concat(n.path, array(i)), 'v', item))
-             WHEN schema_of_variant(n.v) LIKE 'OBJECT%' THEN array({keyed}) END,
+             WHEN schema_of_variant(n.v) LIKE 'OBJECT%' THEN array({keyed})
+             -- a scalar has none; null here would void the whole page
+             ELSE slice(array({keyed}), 1, 0) END,
         c -> c.v IS NOT NULL)))""")
 
 

@@ -170,7 +170,8 @@ def captured(spark: SparkSession, sf: str) -> DataFrame:
     Which markup a page carries follows from its number.
     """
     from ..functions.urls import host_of
-    p = table(spark, sf, "pages").withColumn("host", host_of(F.col("url")))
+    from ..sources.tables import spread
+    p = spread(table(spark, sf, "pages")).withColumn("host", host_of(F.col("url")))
     k = F.col("page_id")
 
     def every(n: int, *parts) -> F.Column:

@@ -19,6 +19,17 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return ok_pages(spark.read.parquet(path))
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A plain scan dealt out to all cores where its files make fewer partitions than there are cores.
+
+    Pages take far more work than their bytes suggest.  Large tables have
+    partitions enough and are left as they are, so the shuffle is at most one
+    small table's.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def ok_pages(pages: DataFrame) -> DataFrame:
     have = set(pages.columns)
     text = "text" if "text" in have else "html"
