@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import text as T
+from ..keyed import KeyedTable
 from ..operators import analytics as A
 from ..operators import leads as L
 from ..operators import upsert as U
@@ -297,7 +298,10 @@ _NEW = "SELECT c_custkey AS id, c_name AS name, c_acctbal AS bal, concat('new-',
 def _(spark, sf):
     table(spark, sf, "customer").createOrReplaceTempView("leadloom_customer")
     old, new = (spark.sql(q.replace("FROM customer", "FROM leadloom_customer")) for q in (_OLD, _NEW))
-    return U.apply_snapshot(old, new, "id", ["name", "bal"], ["uid"]).select("id", "bal", "uid", "action", "generation")
+    stored = KeyedTable.create(old, scratch(spark, "snapshot"), ["id"], buckets=8)
+    done = stored.apply(new, ["name", "bal"], ["uid"])
+    return (stored.rows().join(done.select("id", "action"), "id", "left")
+            .select("id", "bal", "uid", F.coalesce("action", F.lit("kept")).alias("action"), "generation"))
 
 
 _SCHEDULE = ("CASE o_orderkey % 9 WHEN 0 THEN '@daily' WHEN 1 THEN '@hourly' WHEN 2 THEN concat('every ', o_custkey % 50, 'm') WHEN 3 THEN concat('Every ', o_custkey % 9, ' hours') "
@@ -324,7 +328,11 @@ def _(spark, sf):
 def _(spark, sf):
     o = table(spark, sf, "orders")
     versions = [U.latest_by(o.where(f"o_orderkey % 4 = {v}"), ["o_custkey"], [F.desc("o_orderkey")]) for v in range(4)]
-    return U.last_wins([t.selectExpr("o_custkey AS id", "o_totalprice AS price") for t in versions], ["id"])
+    first, *later = [t.selectExpr("o_custkey AS id", "o_totalprice AS price") for t in versions]
+    stored = KeyedTable.create(first, scratch(spark, "prices"), ["id"], buckets=8)
+    for batch in later:
+        stored.upsert(batch)
+    return stored.rows()
 
 
 # ------------------------------------------------------------------ text scalars

@@ -321,7 +321,11 @@ def _(spark, sf):
         F.struct(text("https://", d, "/p.xml").alias("url"), text(f"<urlset {ns}><url><loc>https://", d, "/contact</loc><lastmod>x</lastmod></url><url><loc>https://", d, "/blog</loc></url></urlset>").alias("body")),
         F.struct(text("https://", d, "/q.xml").alias("url"), text(f"<urlset {ns}><url><loc>https://", d, "/deep?a=1&amp;b=2</loc></url></urlset>").alias("body")))).alias("x"))
     start = _domain(spark, sf).select("domain", text("https://", d, "/i.xml").alias("sitemap"), F.lit(1).alias("rank"))
-    return S.sitemap_pages(start, docs.select("x.url", F.lit(200).alias("status"), "x.body")).select("domain", "n", "page")
+    captured = docs.select("x.url", F.lit(200).alias("status"), "x.body")
+    # a second, larger capture of each leaf, and one that failed: neither counts
+    later = captured.where("url like '%/p.xml' or url like '%/q.xml'").withColumn("body", F.replace("body", F.lit("<urlset"), F.lit("<urlset x='1'")))
+    failed = captured.withColumns({"status": F.lit(503), "body": F.lit("<a/>")})
+    return S.sitemap_pages(start, captured.unionByName(later).unionByName(failed)).select("domain", "n", "page")
 
 
 @register("src15_cdx", """SELECT 'site' || page_id || '.net' AS domain, url, rank::INT AS rank FROM (SELECT page_id, unnest(['http://site' || page_id || '.net/Contact', 'https://site' || page_id || '.net/about']) AS url, unnest([1, 2]) AS rank FROM pages)""")

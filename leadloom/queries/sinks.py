@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import sinks as S
+from ..keyed import KeyedTable
 from ..operators import leads as L
-from ..operators.upsert import last_wins
 from .base import CAPPED_SQL, LEADS_SQL, capped, lead_table, register, scratch
 
 _FLAT_SQL = f"""(SELECT l.domain, coalesce(l.name, '') AS name, l.score, coalesce(string_agg(value, '; ' ORDER BY confidence DESC, value) FILTER (kind = 'email'), '') AS emails,
@@ -72,16 +72,17 @@ def _(spark, sf):
 def _(spark, sf):
     path = scratch(spark, "tables")
     contacts = capped(spark, sf).withColumn("meta", F.lit(None).cast("map<string,string>"))
-    S.write_tables(_leads(spark, sf), contacts, path)
-    leads, back = spark.read.parquet(f"{path}/leads"), spark.read.parquet(f"{path}/contacts")
+    S.write_tables(_leads(spark, sf), contacts, path, buckets=8)
+    leads, back = (KeyedTable.open(spark, f"{path}/{t}").rows() for t in ("leads", "contacts"))
     return leads.select("domain", "score").join(back.select("domain", "kind", "value", "meta"), "domain")
 
 
 @register("snk6_upsert", f"SELECT domain, CASE WHEN n_contacts % 2 = 0 THEN 0.0 ELSE score END::DOUBLE AS score FROM {LEADS_SQL}")
 def _(spark, sf):
-    leads = S.normalised_leads(_leads(spark, sf))
+    path = scratch(spark, "upsert")
+    S.upsert_or_create(S.normalised_leads(_leads(spark, sf)), path, ["domain"], buckets=8)
     again = _leads(spark, sf).where("n_contacts % 2 = 0").withColumn("score", F.lit(0.0))
-    return last_wins([leads, S.normalised_leads(again)], ["domain"]).select("domain", "score")
+    return S.upsert_or_create(S.normalised_leads(again), path, ["domain"]).rows().select("domain", "score")
 
 
 @register("snk7_fan_out", f"""SELECT format, status, CASE WHEN status = 'written' THEN (SELECT count(*) FROM {LEADS_SQL}) ELSE 0 END AS n_rows

@@ -13,6 +13,8 @@ REQUIRED = {
     "spark.sql.session.timeZone": "UTC",
     # repeated JSON keys: the last one wins
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # recursive queries are bounded by their own depth, not by a number of rows
+    "spark.sql.cteRecursionRowLimit": "-1",
 }
 
 

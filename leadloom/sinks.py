@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 from .functions.text import sanitise_cell
+from .keyed import upsert_or_create
 from .operators.scan import with_group_rank
 
 log = logging.getLogger(__name__)
@@ -93,9 +94,10 @@ def normalised_contacts(contacts: DataFrame) -> DataFrame:
                            F.to_json(F.coalesce("meta", F.create_map().cast("map<string,string>"))).alias("meta"))
 
 
-def write_tables(leads: DataFrame, contacts: DataFrame, path: str) -> None:
-    normalised_leads(leads).write.mode("overwrite").parquet(f"{path}/leads")
-    normalised_contacts(contacts).write.mode("overwrite").parquet(f"{path}/contacts")
+def write_tables(leads: DataFrame, contacts: DataFrame, path: str, buckets: int = 64) -> None:
+    """Leads by domain and contacts by (domain, kind, value); rows stored before with a key are replaced."""
+    upsert_or_create(normalised_leads(leads), f"{path}/leads", ["domain"], buckets)
+    upsert_or_create(normalised_contacts(contacts), f"{path}/contacts", ["domain", "kind", "value"], buckets)
 
 
 FORMATS = ("csv", "json", "jsonl", "md", "tables")

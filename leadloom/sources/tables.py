@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -93,30 +94,44 @@ def _sitemap_entries(bodies: pd.Series) -> pd.Series:
     return bodies.map(entries, na_action="ignore")
 
 
+def sitemap_edges(documents: DataFrame) -> DataFrame:
+    """What each sitemap document lists, parsed once: url, i (place), is_index, loc.
+
+    ``documents``: url, status, body.  Of several captures of a url the one
+    with the smallest text counts; only the bodies of such urls are shuffled.
+    Malformed, empty and oversized documents list nothing.
+    """
+    xml = documents.where(F.col("url").isNotNull() & F.col("status").between(200, 299)
+                          & F.length("body").between(1, rules.MAX_SITEMAP_CHARS)).select("url", "body")
+    again = xml.groupBy("url").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("url")
+    once = xml.join(again, "url", "left_anti").unionByName(
+        xml.join(again, "url", "left_semi").groupBy("url").agg(F.min("body").alias("body")))
+    return (once.select("url", _sitemap_entries("body").alias("entries"))
+            .select("url", F.posexplode("entries").alias("i", "e")).where("e.loc <> ''")
+            .select("url", "i", "e.is_index", "e.loc"))
+
+
 def sitemap_pages(start: DataFrame, documents: DataFrame, max_depth: int = rules.MAX_SITEMAP_DEPTH,
                   max_urls: int = rules.MAX_SITEMAP_URLS) -> DataFrame:
     """Page URLs reachable from each start sitemap through sitemap indexes.
 
-    ``start``: domain, sitemap, rank.  ``documents``: url, status, body.  At
-    most ``max_depth`` joins follow indexes; of one start's pages the first
-    ``max_urls`` in document order are kept.
+    ``start``: domain, sitemap, rank.  Indexes are followed up to ``max_depth``
+    deep by a recursive query over the edges; no document's body takes part in
+    it.  Of one start's pages the first ``max_urls`` in document order are
+    kept, entries of a child sitemap before the pages behind it.
     """
-    xml = (documents.where(F.col("status").between(200, 299)
-                           & F.length("body").between(1, rules.MAX_SITEMAP_CHARS))
-           .select("url", "body").dropDuplicates(["url"]))
-    lineage = ["domain", "root", "rank", "path"]
-    frontier = start.select("domain", F.col("sitemap").alias("root"), "rank",
-                            F.array().cast("array<int>").alias("path"), F.col("sitemap").alias("url"))
-    found = None
-    for depth in range(max_depth + 1):
-        read = frontier.join(xml, "url").withColumn("entries", _sitemap_entries("body"))
-        hits = cut(read.select(*lineage, F.posexplode("entries").alias("i", "e"))
-                   .where("e.loc <> ''")
-                   # entries of child sitemaps precede a document's own pages
-                   .select(*lineage[:3], F.concat("path", F.array("i")).alias("path"), "e.is_index", "e.loc"))
-        pages = hits.where("not is_index").select(*lineage, F.col("loc").alias("page"))
-        found = pages if found is None else found.unionByName(pages)
-        frontier = hits.where("is_index").select(*lineage, F.col("loc").alias("url"))
+    spark = start.sparkSession
+    edges, roots = f"sitemap_edges_{uuid.uuid4().hex}", f"sitemap_roots_{uuid.uuid4().hex}"
+    cut(sitemap_edges(documents)).createOrReplaceTempView(edges)
+    start.select("domain", "sitemap", "rank").createOrReplaceTempView(roots)
+    found = spark.sql(f"""
+        WITH RECURSIVE reached(domain, root, rank, url, depth, path) AS (
+            SELECT domain, sitemap, rank, sitemap, 0, CAST(array() AS ARRAY<INT>) FROM {roots}
+            UNION ALL
+            SELECT r.domain, r.root, r.rank, e.loc, r.depth + 1, concat(r.path, array(e.i))
+            FROM reached r JOIN {edges} e ON e.url = r.url WHERE e.is_index AND r.depth < {int(max_depth)})
+        SELECT r.domain, r.root, r.rank, concat(r.path, array(e.i)) AS path, e.loc AS page
+        FROM reached r JOIN {edges} e ON e.url = r.url WHERE NOT e.is_index""")
     n = F.row_number().over(W.partitionBy("domain", "root").orderBy("path"))
     return (found.withColumn("n", n).where(F.col("n") <= max_urls)
             .select("domain", "root", "rank", "n", "page"))
