@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..plans.crawl import CrawlOptions, corpus_by_url, crawl, expand
+from ..plans.corpus import StoredCorpus
+from ..plans.crawl import CrawlOptions, crawl, expand, leads_from_seeds
+from ..sources.tables import robots_rules
 from .base import register, table
 from .payloads import key, text
 
 
-def _corpus(spark, sf) -> DataFrame:
+def _corpus(spark, sf) -> StoredCorpus:
     p = table(spark, sf, "pages").select("page_id", "html")
     site = text("https://www.site", key(), ".net")
     listing = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda j: text(
@@ -32,7 +34,7 @@ def _corpus(spark, sf) -> DataFrame:
         text("<title>Listed</title><p>office", key(), "x", j, "@listed", key(), "x", j, ".org</p>").alias("html")))).otherwise(
         F.array().cast("array<struct<url:string,html:string>>"))
     rows = p.select(F.explode(F.concat(pages, listed)).alias("r")).select("r.url", "r.html")
-    return corpus_by_url(rows)
+    return StoredCorpus.store(rows, buckets=16)
 
 
 def _seeds(spark, sf) -> DataFrame:
@@ -80,3 +82,34 @@ def _(spark, sf):
 def _(spark, sf):
     r = expand(_seeds(spark, sf), _corpus(spark, sf), CrawlOptions(blocklist=()))
     return r.found.select("domain", "url")
+
+
+@register("itr1_robots_gate", f"""SELECT domain, url, depth, fetched AND NOT closed AS fetched, closed AS blocked FROM (
+    SELECT *, url LIKE '%/contact' AND replace(replace(domain, 'site', ''), '.net', '')::INT % 2 = 0 AS closed FROM ({_SEED_VISITS}))""")
+def _(spark, sf):
+    robots = table(spark, sf, "pages").select(
+        text("https://www.site", key(), ".net").alias("origin"), F.lit(True).alias("ok"),
+        F.when(key() % 2 == 0, "User-agent: *\nDisallow: /contact").otherwise("User-agent: other\nDisallow: /").alias("body"))
+    r = expand(_seeds(spark, sf), _corpus(spark, sf), CrawlOptions(blocklist=()), robots_rules(robots))
+    return r.visited.select("domain", "url", "depth", "fetched", "blocked")
+
+
+@register("itr1_first_seeds", f"""SELECT 'site' || page_id || '.net' AS domain, unnest(list_concat(
+    CASE WHEN page_id % 2 = 0 THEN [{_SITE}/legal'] ELSE [] END, [{_SITE}/', {_SITE}/shop', {_SITE}/a'])) AS url FROM pages""")
+def _(spark, sf):
+    """Three seeds a site, after the contact pages that its sitemap lists."""
+    p = table(spark, sf, "pages").select(text("site", key(), ".net").alias("domain"), text("https://www.site", key(), ".net").alias("home"), "page_id")
+    seeds = p.select("domain", F.posexplode(F.array(*map(F.lit, ("/", "/shop", "/", "/a", "/contact", "/b")))).alias("seq", "path"), "home") \
+        .select("domain", F.concat("home", "path").alias("url"), "seq")
+    listed = p.where("page_id % 2 = 0").select("domain", F.explode(F.array(*map(F.lit, ("/legal", "/prices.pdf")))).alias("path"), "home") \
+        .select("domain", F.concat("home", "path").alias("url"), F.lit(0).alias("seq"))
+    r = expand(seeds, _corpus(spark, sf), CrawlOptions(blocklist=()), listed=listed)
+    return r.visited.where("depth = 0").select("domain", "url")
+
+
+@register("itr_seeds_to_leads", f"""SELECT domain, count(*) AS pages_crawled, min(url) AS url FROM ({_SEED_VISITS}) WHERE fetched GROUP BY 1
+    UNION ALL SELECT 'listed' || page_id || 'x' || j || '.org', 1, 'https://www.listed' || page_id || 'x' || j || '.org/'
+    FROM (SELECT page_id, unnest([1, 2, 3, 4, 5]) AS j FROM pages WHERE page_id % 10 = 0)""")
+def _(spark, sf):
+    leads = leads_from_seeds(_seeds(spark, sf), _corpus(spark, sf), CrawlOptions(blocklist=()))
+    return leads.select("domain", "pages_crawled", "url")

@@ -253,7 +253,7 @@ def _(spark, sf):
     first(length(html) ORDER BY url, html) AS n_chars FROM pages GROUP BY 2""")
 def _(spark, sf):
     from ..functions.urls import with_normalised_url
-    from ..plans.crawl import corpus_by_url
+    from ..plans.corpus import corpus_by_url
     p = with_normalised_url(_pages(spark, sf).select("page_id", "url"), "url", "url_key")
     missing = p.select((-F.col("page_id") - 1).alias("page_id"), F.concat("url_key", F.lit("/missing")).alias("url_key"))
     corpus = corpus_by_url(_pages(spark, sf)).select(F.col("url").alias("url_key"), F.length("html").alias("n_chars"))

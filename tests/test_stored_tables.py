@@ -103,3 +103,35 @@ def test_recursion_lists_pages_in_document_order(session):
     want = {(d, u): walk(MAPS, u, 0, 3)[:12] for d, u, _ in starts}
     assert got == {k: v for k, v in want.items() if v}
     assert sitemap_pages(start.where("false"), docs).count() == 0 and sitemap_edges(docs.where("false")).count() == 0
+
+
+# ---- page corpus -------------------------------------------------------------------------------
+def test_a_round_reads_its_buckets_and_moves_no_html(session, monkeypatch):
+    from leadloom.plans import corpus as K
+    from leadloom.session import cut
+    rows = [(f"HTTP://Site{i}.net/a?utm_source=x", f"<p>{i}</p>") for i in range(300)]
+    rows += [("http://site7.net/a", "<p>7 again</p>"), ("mailto:x@y.z", "no page"), (None, "no url"), ("http://site301.net/", None)]
+    stored = K.StoredCorpus.store(session.createDataFrame(rows, "url string, html string"), buckets=8)
+    asked = [f"http://site{i}.net/a" for i in (7, 8, 999)] + ["http://site301.net/"]
+    frontier = cut(session.createDataFrame([(u, n) for n, u in enumerate(asked)] + [(None, 9)], "url string, n int"))
+    for most in (1000, 2):
+        monkeypatch.setattr(K, "LOOKUP", most)
+        out = stored.fetch(frontier)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "SortMergeJoin" in plan and "Bucketed: true" in plan
+        assert ("out of 8" in plan and "SelectedBucketsCount: 8 " not in plan) == (most == 1000)
+        assert {r.n: r.html for r in out.collect()} == {0: "<p>7</p>", 1: "<p>8</p>", 2: None, 3: None, 9: None}
+    monkeypatch.setattr(K, "LOOKUP", 1000)
+    assert K.pages_at(K.corpus_by_url(session.createDataFrame(rows, "url string, html string")), frontier).count() == 5
+
+
+def test_crawl_order_does_not_collide_beyond_a_thousand_links(session):
+    """The second page's first link comes after all links of the first page."""
+    from leadloom.plans.crawl import CrawlOptions, expand
+    many = "".join(f'<a href="/contact-{i}">c</a>' for i in range(1100))
+    rows = [("http://a.net/", many), ("http://a.net/two", '<a href="/kontakt">k</a>')]
+    corpus = session.createDataFrame(rows, "url string, html string")
+    seeds = session.createDataFrame([("a.net", u, n) for n, (u, _) in enumerate(rows)], "domain string, url string, seq int")
+    r = expand(seeds, corpus, CrawlOptions(max_pages=1200, blocklist=()))
+    ranks = {v.url: v.page_rank for v in r.visited.where("depth = 1").collect()}
+    assert len(ranks) == 1101 and max(ranks.values()) == ranks["http://a.net/kontakt"] == 1101
