@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import rules
 from ..functions.emails import is_role
+from .scan import with_group_rank
 
 
 def at_least(contacts: DataFrame, confidence: float) -> DataFrame:
@@ -179,26 +180,22 @@ def first_page(leads: DataFrame, n: int = 500, org: str = "domain") -> DataFrame
     return ordered(leads, org).limit(n)
 
 
-def lead_documents(contacts: DataFrame, org: str = "domain", top: int | None = None) -> DataFrame:
-    """One row per organisation: ordered contacts, e-mails, phones, socials as arrays.
+def lead_documents(contacts: DataFrame, org: str = "domain", top: int = rules.MAX_EMAILS_PER_LEAD) -> DataFrame:
+    """One row per organisation: its first contacts of each kind, as arrays, and how many there are.
 
-    With ``top`` each kind keeps its first ``top`` contacts, a window limit that
-    is applied before rows move; ``n_listed`` and ``n_known`` tell what the
-    row lists and what there is.  Without it a row lists every contact; where
-    organisations have millions, read the contacts table itself or pass ``top``.
+    A row lists up to ``top`` contacts of a kind, by confidence and then value;
+    the limit applies before rows move, so an organisation with a third of all
+    contacts costs no more than another.  ``counts`` has the number known per
+    kind, ``n_listed`` and ``n_known`` the totals.  ``ranked_contacts`` lists
+    every contact in long form.
     """
-    sizes = contacts.groupBy(org).agg(F.count(F.lit(1)).alias("n_known"))
-    listed = contacts
-    if top is not None:
-        place = F.row_number().over(W.partitionBy(org, "kind").orderBy(F.desc("confidence"), "value"))
-        listed = contacts.withColumn("__r", place).where(F.col("__r") <= top).drop("__r")
+    place = F.row_number().over(W.partitionBy(org, "kind").orderBy(F.desc("confidence"), "value"))
+    listed = contacts.withColumn("__r", place).where(F.col("__r") <= top).drop("__r")
+    counts = (contacts.groupBy(org, "kind").agg(F.count(F.lit(1)).alias("n")).groupBy(org).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("counts"), F.sum("n").alias("n_known")))
     entry = F.struct("kind", (-F.col("confidence")).alias("__c"), "value", "source_url")
-    grouped = listed.groupBy(org).agg(F.array_sort(F.collect_list(entry)).alias("__a"),
-                                      F.count(F.lit(1)).alias("n_listed"))
-    if top is not None:
-        grouped = grouped.join(sizes, org)
-    else:
-        grouped = grouped.withColumn("n_known", F.col("n_listed"))
+    grouped = (listed.groupBy(org).agg(F.array_sort(F.collect_list(entry)).alias("__a"), F.count(F.lit(1)).alias("n_listed"))
+               .join(counts, org))
     a = F.col("__a")
 
     def of(kind: str) -> Column:
@@ -211,8 +208,13 @@ def lead_documents(contacts: DataFrame, org: str = "domain", top: int | None = N
         F.array(*map(F.lit, rules.SOCIAL_KINDS)), F.array(*[of(k) for k in rules.SOCIAL_KINDS])),
         lambda k, v: F.size(v) > 0)
     return grouped.select(org, contact.alias("contacts"), of("email").alias("emails"),
-                          of("phone").alias("phones"), socials.alias("socials"),
-                          "n_listed", "n_known")
+                          of("phone").alias("phones"), socials.alias("socials"), "counts", "n_listed", "n_known")
+
+
+def ranked_contacts(contacts: DataFrame, org: str = "domain") -> DataFrame:
+    """Every contact in long form with its ``place`` in its organisation (kind, confidence falling, value)."""
+    ranked = with_group_rank(contacts.withColumn("__neg", -F.col("confidence")), [org], ["kind", "__neg", "value"], "place")
+    return ranked.drop("__neg")
 
 
 def export_rows(leads: DataFrame, documents: DataFrame, org: str = "domain") -> DataFrame:
@@ -234,18 +236,10 @@ def export_rows(leads: DataFrame, documents: DataFrame, org: str = "domain") ->
     return d.select(*[made.get(c, text(c)).alias(c) for c in rules.EXPORT_COLUMNS])
 
 
-def search(rows: DataFrame, query: str, only_email: bool = False) -> DataFrame:
-    """Leads whose domain, name, e-mails or phones contain a text, ignoring case."""
-    hay = F.lower(F.concat_ws(" ", "domain", F.coalesce("name", F.lit("")),
-                              F.array_join("emails", " "), F.array_join("phones", " ")))
-    df = rows.where(hay.contains(query.lower())) if query else rows
-    return df.where(F.size("emails") > 0) if only_email else df
-
-
 def display_rows(rows: DataFrame) -> DataFrame:
     """Short table view: first four e-mails and how many more, two phones, a badge."""
-    more = F.when(F.size("emails") > 4, F.concat(
-        F.lit(" +"), (F.size("emails") - 4).cast("string"), F.lit(" more"))).otherwise(F.lit(""))
+    known = F.coalesce(F.col("counts")["email"], F.lit(0))
+    more = F.when(known > 4, F.concat(F.lit(" +"), (known - 4).cast("string"), F.lit(" more"))).otherwise(F.lit(""))
     return rows.select(
         "domain", F.substring(F.coalesce("name", F.lit("")), 1, 46).alias("name"), "score",
         badge(F.col("score")).alias("badge"),

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..keyed import KeyedTable
 from ..operators import analytics as A
 from ..operators import leads as L
+from ..operators import search as Q
 from ..operators import upsert as U
 from ..plans import discovery as D
 from .base import (
@@ -43,13 +44,22 @@ def _(spark, sf):
     return L.truncated_emails(merged(spark, sf))
 
 
-@register("agg2_lead_documents", f"""SELECT domain, coalesce(string_agg(value, ';' ORDER BY confidence DESC, value) FILTER (kind = 'email'), '') AS emails,
-    coalesce(string_agg(value, ';' ORDER BY confidence DESC, value) FILTER (kind = 'phone'), '') AS phones,
-    coalesce(string_agg(value, ';' ORDER BY confidence DESC, value) FILTER (kind = 'github'), '') AS github FROM {CAPPED_SQL} GROUP BY 1""")
+def _first(kind: str, n: int = 25) -> str:
+    return f"array_to_string((list(value ORDER BY confidence DESC, value) FILTER (kind = '{kind}'))[:{n}], ';')"
+
+
+@register("agg2_lead_documents", f"""SELECT domain, coalesce({_first('email')}, '') AS emails, coalesce({_first('phone')}, '') AS phones,
+    coalesce({_first('github')}, '') AS github, count(*) AS n_known, count(*) FILTER (kind = 'phone') AS n_phones FROM {CAPPED_SQL} GROUP BY 1""")
 def _(spark, sf):
     d = L.lead_documents(capped(spark, sf))
     return d.select("domain", F.array_join("emails", ";").alias("emails"), F.array_join("phones", ";").alias("phones"),
-                    F.coalesce(F.array_join(F.col("socials")["github"], ";"), F.lit("")).alias("github"))
+                    F.coalesce(F.array_join(F.col("socials")["github"], ";"), F.lit("")).alias("github"), "n_known",
+                    F.coalesce(F.col("counts")["phone"], F.lit(0)).alias("n_phones"))
+
+
+@register("agg2_ranked_contacts", f"""SELECT domain, kind, value, confidence, row_number() OVER (PARTITION BY domain ORDER BY kind, confidence DESC, value) AS place FROM {CAPPED_SQL}""")
+def _(spark, sf):
+    return L.ranked_contacts(capped(spark, sf)).select("domain", "kind", "value", "confidence", F.col("place").cast("bigint").alias("place"))
 
 
 @register("srt2_contact_order", f"""SELECT domain, kind, value, row_number() OVER (PARTITION BY domain ORDER BY kind, confidence DESC, value)::INT AS place FROM {CAPPED_SQL}""")
@@ -111,7 +121,7 @@ def _(spark, sf):
 
 
 _ROWS_SQL = f"""(SELECT l.domain, coalesce(l.name, '') AS name, l.score, coalesce(list(value ORDER BY confidence DESC, value) FILTER (kind = 'email'), []) AS emails,
-    coalesce(list(value ORDER BY confidence DESC, value) FILTER (kind = 'phone'), []) AS phones FROM {LEADS_SQL} l JOIN {CAPPED_SQL} c USING (domain) GROUP BY ALL)"""
+    coalesce((list(value ORDER BY confidence DESC, value) FILTER (kind = 'phone'))[:25], []) AS phones FROM {LEADS_SQL} l JOIN {CAPPED_SQL} c USING (domain) GROUP BY ALL)"""
 
 
 def _rows(spark, sf):
@@ -129,9 +139,21 @@ def _(spark, sf):
     return lead_table(spark, sf).groupBy(L.badge(F.col("score")).alias("badge")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("fil3_search", f"SELECT domain FROM {_ROWS_SQL} WHERE len(emails) > 0 AND contains(lower(concat_ws(' ', domain, name, array_to_string(emails, ' '), array_to_string(phones, ' '))), 'box1')")
+def _hits(text: str) -> str:
+    return f"""SELECT DISTINCT domain FROM (SELECT l.domain, unnest([l.domain, l.name, value]) AS text FROM {LEADS_SQL} l JOIN {CAPPED_SQL} c USING (domain)
+    WHERE kind IN ('email', 'phone')) WHERE contains(lower(text), '{text}') AND domain IN (SELECT domain FROM {CAPPED_SQL} WHERE kind = 'email')"""
+
+
+@register("fil3_search", _hits("box1"))
+def _(spark, sf):
+    return Q.search(lead_table(spark, sf), capped(spark, sf), "BOX1", only_email=True).select("domain")
+
+
+@register("fil3_indexed_search", _hits("155510"))
 def _(spark, sf):
-    return L.search(_rows(spark, sf), "BOX1", only_email=True).select("domain")
+    leads, contacts = lead_table(spark, sf), capped(spark, sf)
+    index = Q.LeadIndex.build(leads, contacts, scratch(spark, "search"), buckets=8)
+    return Q.search(leads, contacts, "155510", only_email=True, index=index).select("domain")
 
 
 @register("fil4_label_selector", "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey % 3 = 1")

@@ -9,9 +9,13 @@ from ..keyed import KeyedTable
 from ..operators import leads as L
 from .base import CAPPED_SQL, LEADS_SQL, capped, lead_table, register, scratch
 
-_FLAT_SQL = f"""(SELECT l.domain, coalesce(l.name, '') AS name, l.score, coalesce(string_agg(value, '; ' ORDER BY confidence DESC, value) FILTER (kind = 'email'), '') AS emails,
-    coalesce(string_agg(value, '; ' ORDER BY confidence DESC, value) FILTER (kind = 'phone'), '') AS phones, coalesce(l.address, '') AS address,
-    coalesce(string_agg(value, '; ' ORDER BY confidence DESC, value) FILTER (kind = 'github'), '') AS github, l.source, l.pages_crawled
+def _first(kind: str) -> str:
+    return f"coalesce(array_to_string((list(value ORDER BY confidence DESC, value) FILTER (kind = '{kind}'))[:25], '; '), '')"
+
+
+#: A flat row lists the first 25 contacts of a kind; the contacts table has all.
+_FLAT_SQL = f"""(SELECT l.domain, coalesce(l.name, '') AS name, l.score, {_first('email')} AS emails, {_first('phone')} AS phones,
+    coalesce(l.address, '') AS address, {_first('github')} AS github, l.source, l.pages_crawled
     FROM {LEADS_SQL} l JOIN {CAPPED_SQL} c USING (domain) GROUP BY ALL)"""
 
 
@@ -41,13 +45,16 @@ def _(spark, sf):
                        F.coalesce("emails", F.lit("")).alias("emails"), F.coalesce("phones", F.lit("")).alias("phones"))
 
 
-@register("snk3_json", f"SELECT domain, score, (SELECT count(*) FROM {LEADS_SQL}) AS declared FROM {LEADS_SQL}")
+@register("snk3_json", f"SELECT domain, score, (SELECT count(*) FROM {LEADS_SQL}) AS declared, 1 AS depth, (SELECT max(score) FROM {LEADS_SQL}) AS best FROM {LEADS_SQL}")
 def _(spark, sf):
     path = scratch(spark, "json")
-    S.write_json(_documents(spark, sf), path, {"depth": 1})
-    manifest = spark.read.schema("count bigint").json(f"{path}/manifest").select(F.col("count").alias("declared"), F.lit(1).alias("k"))
-    leads = spark.read.schema("domain string, score double").json(f"{path}/leads").withColumn("k", F.lit(1))
-    return leads.join(manifest, "k").select("domain", "score", "declared")
+    leads = _leads(spark, sf)
+    S.write_json(_documents(spark, sf), path, {"depth": 1, "kinds": ["email"]}, leads.agg(F.max("score").alias("best")))
+    manifest = spark.read.schema("count bigint, settings struct<depth:int,kinds:array<string>>, stats struct<best:double>") \
+        .json(f"{path}/manifest").head()
+    back = spark.read.schema("domain string, score double").json(f"{path}/leads")
+    return back.select("domain", "score", F.lit(manifest["count"]).alias("declared"), F.lit(manifest.settings.depth).alias("depth"),
+                       F.lit(manifest.stats.best).alias("best"))
 
 
 @register("snk4_jsonl", f"SELECT domain, emails FROM {_FLAT_SQL}")

@@ -5,6 +5,8 @@ Each result must equal the batch form of the operator.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.upsert import latest_by
@@ -14,30 +16,31 @@ from .base import register, scratch, sql_host, table
 from .contacts import PAGE_EMAILS_SQL
 
 
-def _stream(df: DataFrame, name: str, order: str, batches: int = 3) -> DataFrame:
-    """A stream of a derived table, arriving in batches that follow ``order``.
+def _stream(df: DataFrame, name: str, order: str, batches: int = 3) -> tuple[DataFrame, list[Callable[[], None]]]:
+    """A stream of a derived table, and its arrivals in batches that follow ``order``.
 
-    The file source reads files by age, so the batches are written one after
-    the other.
+    Each batch is written with the partitions the table has and read as one.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
     numbered = df.withColumn("__o", F.col(order).cast("timestamp").cast("double")
                              if dict(df.dtypes)[order].startswith("timestamp") else F.col(order).cast("double"))
     cuts = [float("-inf"), *numbered.approxQuantile("__o", [i / batches for i in range(1, batches)], 0.01), float("inf")]
-    for low, high in zip(cuts, cuts[1:]):
-        part = numbered.where((F.col("__o") > low) & (F.col("__o") <= high)).drop("__o")
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+    def arrival(low: float, high: float) -> Callable[[], None]:
+        return lambda: numbered.where((F.col("__o") > low) & (F.col("__o") <= high)).drop("__o").write.mode("append").parquet(path)
+
+    df.limit(0).write.parquet(path)
+    return spark.readStream.schema(df.schema).parquet(path), [arrival(*c) for c in zip(cuts, cuts[1:])]
 
 
 @register("st1_contact_updates", f"""SELECT domain, value, max(confidence) AS confidence FROM (SELECT {sql_host('url')} AS domain, email AS value, confidence
     FROM {PAGE_EMAILS_SQL} JOIN pages USING (page_id)) GROUP BY 1, 2""")
 def _(spark, sf):
     from .base import captured
-    pages = _stream(captured(spark, sf), "pages", "page_id")
+    pages, arrivals = _stream(captured(spark, sf), "pages", "page_id")
     updates = J.contact_updates(pages, ["page_id"], "host", ["email"], blocklist=())
-    current = J.run_to_table(updates, "contacts", "update", ["domain", "kind", "value"])
+    current = J.run_to_table(updates, "contacts", "update", ["domain", "kind", "value"], arrivals)
     return current.where("kind = 'email'").select("domain", "value", "confidence")
 
 
@@ -50,15 +53,16 @@ _TTL = 6 * 3600
     SELECT user_id, event_id FROM r WHERE keep""")
 def _(spark, sf):
     events = table(spark, sf, "events").select("user_id", "ts", "event_id")
-    due = J.due_fetches(_stream(events, "requests", "ts"), "user_id", ["event_id"], ttl_seconds=_TTL)
-    return J.run_to_table(due, "due").select("user_id", "event_id")
+    requests, arrivals = _stream(events, "requests", "ts")
+    due = J.due_fetches(requests, "user_id", ["event_id"], ttl_seconds=_TTL)
+    return J.run_to_table(due, "due", arrivals=arrivals).select("user_id", "event_id")
 
 
 @register("st3_resume", "SELECT event_id, user_id FROM events")
 def _(spark, sf):
     """A stream stopped after its first batch and started again: nothing is lost or doubled."""
     events = table(spark, sf, "events").select("event_id", "user_id", "ts")
-    source = _stream(events, "resume", "ts")
+    source, (first, *later) = _stream(events, "resume", "ts")
     base = scratch(spark, "resume")
     seen = []
 
@@ -68,11 +72,14 @@ def _(spark, sf):
             raise RuntimeError("interrupted")
 
     rows = source.select("event_id", "user_id")
+    first()
     try:
         J.write_log_table(rows, f"{base}/table", f"{base}/progress", "append", stop_first).awaitTermination()
     except Exception:
         pass
-    J.write_log_table(rows, f"{base}/table", f"{base}/progress", "append").awaitTermination()
+    for arrive in (lambda: None, *later):
+        arrive()
+        J.write_log_table(rows, f"{base}/table", f"{base}/progress", "append").awaitTermination()
     return J.read_log_table(spark, f"{base}/table")
 
 
@@ -82,20 +89,36 @@ def _log(spark, sf) -> DataFrame:
 
 @register("st4_host_delays", f"SELECT host, event_id, delay FROM {LQ.delays_sql('user_id')}")
 def _(spark, sf):
-    delays = J.host_delays(_stream(_log(spark, sf), "delays", "ts"), "host", ["ts", "event_id"])
-    return J.run_to_table(delays, "delays").select("host", "event_id", "delay")
+    log, arrivals = _stream(_log(spark, sf), "delays", "ts")
+    delays = J.host_delays(log, "host", ["ts", "event_id"])
+    return J.run_to_table(delays, "delays", arrivals=arrivals).select("host", "event_id", "delay")
 
 
 @register("st5_proxy_strikes", f"""SELECT host, event_id, strikes, coalesce(max(CASE WHEN outcome = 'strike' AND strikes >= 3 THEN 1 END) OVER (PARTITION BY host ORDER BY ts, event_id), 0) = 1 AS burned
     FROM {LQ.strikes_sql('user_id')}""")
 def _(spark, sf):
-    strikes = J.proxy_strikes(_stream(_log(spark, sf), "strikes", "ts"), "host", ["ts", "event_id"])
-    return J.run_to_table(strikes, "strikes").select("host", "event_id", "strikes", "burned")
+    log, arrivals = _stream(_log(spark, sf), "strikes", "ts")
+    strikes = J.proxy_strikes(log, "host", ["ts", "event_id"])
+    return J.run_to_table(strikes, "strikes", arrivals=arrivals).select("host", "event_id", "strikes", "burned")
 
 
 @register("st6_request_rate", """SELECT date_trunc('hour', ts)::VARCHAR AS window_start, count(*) AS requests, count(*) FILTER (event_type = 'error') AS failures, count(*) FILTER (event_id % 6 = 0) AS cache_hits FROM events GROUP BY 1""")
 def _(spark, sf):
     log = table(spark, sf, "events").selectExpr("CAST(ts AS TIMESTAMP) AS ts", "event_type = 'error' AS failed", "event_id % 6 = 0 AS from_cache")
-    rate = J.request_rate(_stream(log, "rate", "ts"), width="1 hour")
-    current = J.run_to_table(rate, "rate", "update", ["window_start"])
+    stream, arrivals = _stream(log, "rate", "ts")
+    rate = J.request_rate(stream, width="1 hour")
+    current = J.run_to_table(rate, "rate", "update", ["window_start"], arrivals)
     return current.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "requests", "failures", "cache_hits")
+
+
+@register("st6_live_counters", """SELECT count(*) AS requests, count(*) FILTER (event_type = 'error') AS failures, count(*) FILTER (event_id % 6 = 0) AS cache_hits,
+    sum(event_id % 1000)::BIGINT AS bytes, count(*) AS stored, 3::BIGINT AS batches FROM events""")
+def _(spark, sf):
+    """Counters observed while a stream of fetches is stored, in three batches."""
+    log = table(spark, sf, "events").selectExpr("CAST(ts AS TIMESTAMP) AS ts", "event_type = 'error' AS failed", "event_id % 6 = 0 AS from_cache",
+                                                "event_id % 1000 AS bytes")
+    stream, arrivals = _stream(log, "counted", "ts")
+    live = J.LiveCounters()
+    stored = J.run_to_table(J.counted(stream), "counted", arrivals=arrivals, counters=live)
+    return stored.agg(*[F.lit(v).cast("bigint").alias(k) for k, v in live.total().items()], F.count(F.lit(1)).alias("stored"),
+                      F.lit(len(live.rows)).cast("bigint").alias("batches"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import logging
 from collections.abc import Callable, Sequence
 
@@ -31,14 +32,14 @@ def write_jsonl(rows: DataFrame, path: str) -> None:
 
 
 def write_json(rows: DataFrame, path: str, settings: dict | None = None, stats: DataFrame | None = None) -> None:
-    """Lead documents under ``leads`` and one manifest row under ``manifest``."""
+    """Lead documents under ``leads`` and one manifest row under ``manifest``: settings and stats (one row) as objects."""
     rows.write.mode("overwrite").json(f"{path}/leads")
     manifest = rows.agg(F.count(F.lit(1)).alias("count")).select(
         F.current_timestamp().alias("generated_at"), "count",
-        F.lit(None if settings is None else str(settings)).alias("settings"))
-    if stats is not None:
-        manifest = manifest.withColumn("__k", F.lit(1)).join(
-            stats.select(F.struct("*").alias("stats"), F.lit(1).alias("__k")), "__k", "left").drop("__k")
+        F.parse_json(F.lit(None if settings is None else json.dumps(settings))).alias("settings"))
+    one = None if stats is None else stats.select(F.to_json(F.struct("*")).alias("row")).head()
+    if one is not None:
+        manifest = manifest.withColumn("stats", F.from_json(F.lit(one.row), stats.schema))
     manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
 
 
@@ -115,7 +116,7 @@ def write_all(rows: DataFrame, flat: DataFrame, leads: DataFrame, contacts: Data
         "tables": lambda p: write_tables(leads, contacts, p)}
     wanted = {f.strip().lower() for f in formats}
     if "all" in wanted:
-        wanted = set(FORMATS)
+        wanted = wanted - {"all"} | set(FORMATS)
     results = []
     for name in sorted(wanted):
         if name not in writers:

@@ -7,11 +7,13 @@ is bounded by the source's rate limit, never by its history.
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 from pyspark.sql.types import StructType
 
 from .. import rules
@@ -129,12 +131,40 @@ class StrikeState(_Ordered):
 
 
 class FetchGate(_Ordered):
-    """Lets a key through when its last fetch is older than the TTL."""
+    """Lets a key through when its last fetch is older than the TTL.
+
+    Once the watermark has passed the end of a key's TTL, every request still
+    to come is let through whether the last fetch is known or not; a timer at
+    that moment drops the key, so the store holds no more than the keys fetched
+    within one TTL.
+    """
 
     def __init__(self, order, output, ttl_seconds: int):
         super().__init__(order, output)
         self.ttl = ttl_seconds * 1_000_000
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+
+    def _ends(self, last: float) -> int:
+        """Milliseconds at which a fetch is older than the TTL."""
+        return int((last + self.ttl) // 1000) + 1
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        before = self.state.get()[0] if self.state.exists() else None
+        yield from super().handleInputRows(key, rows, timerValues)
+        last = self.state.get()[0]
+        if last != before:
+            if before is not None:
+                self.handle.deleteTimer(self._ends(before))
+            self.handle.registerTimer(self._ends(last))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists() and self._ends(self.state.get()[0]) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.state.clear()
+        yield pd.DataFrame({c: [] for c in self.output})
+
     def fold(self, key, pdf, start):
         last, keep = start, []
         for us in pdf["ts_us"]:
@@ -144,10 +174,10 @@ class FetchGate(_Ordered):
         return pdf[keep], last
 
 
-def _stateful(rows: DataFrame, key: str, processor: _Ordered, schema: StructType | str) -> DataFrame:
+def _stateful(rows: DataFrame, key: str, processor: _Ordered, schema: StructType | str, time_mode: str = "None") -> DataFrame:
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return rows.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="None")
+        statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode=time_mode)
 
 
 def host_delays(log: DataFrame, key: str, order: Sequence[str], base: float = 0.1) -> DataFrame:
@@ -167,18 +197,89 @@ def proxy_strikes(log: DataFrame, key: str, order: Sequence[str],
 
 
 def due_fetches(requests: DataFrame, key: str, order: Sequence[str], ts: str = "ts",
-                ttl_seconds: int = rules.CACHE_TTL_SECONDS) -> DataFrame:
-    """Requests of a stream that the page cache does not answer."""
-    rows = requests.select(key, *order, F.unix_micros(F.col(ts).cast("timestamp")).alias("ts_us"))
-    fields = ", ".join(f"{n} {t}" for n, t in rows.dtypes)
-    return _stateful(rows, key, FetchGate(["ts_us", *[c for c in order if c != ts]], rows.columns, ttl_seconds), fields)
+                ttl_seconds: int = rules.CACHE_TTL_SECONDS, lateness: str = "1 hour") -> DataFrame:
+    """Requests of a stream that the page cache does not answer.
+
+    Requests may come up to ``lateness`` after later ones; what comes later
+    still than the watermark is dropped, as it cannot be put in order.
+    """
+    stamped = requests.select(key, *order, F.col(ts).cast("timestamp").alias("__ts")).withWatermark("__ts", lateness)
+    rows = stamped.withColumn("ts_us", F.unix_micros("__ts"))
+    out = [c for c in rows.columns if c != "__ts"]
+    fields = ", ".join(f"{n} {t}" for n, t in rows.select(out).dtypes)
+    return _stateful(rows, key, FetchGate(["ts_us", *[c for c in order if c != ts]], out, ttl_seconds), fields, "EventTime")
+
+
+COUNTERS = "fetches"
+
+
+def counted(log: DataFrame) -> DataFrame:
+    """A stream of fetches (failed, from_cache, bytes) that counts what passes, without a second pass."""
+    return log.observe(
+        COUNTERS, F.count(F.lit(1)).alias("requests"), F.count_if("failed").alias("failures"),
+        F.count_if("from_cache").alias("cache_hits"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+
+
+class LiveCounters(StreamingQueryListener):
+    """Counters of every batch of ``counted`` streams, as their progress comes in.
+
+    ``rows`` has one dict per batch and ``total`` their sums; a batch that is
+    reported again after a restart replaces its first report.
+    """
+
+    def __init__(self) -> None:
+        self.lock, self.batches, self.ended = threading.Lock(), {}, set()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        seen = event.progress.observedMetrics.get(COUNTERS)
+        if seen is not None:
+            with self.lock:
+                self.batches[str(event.progress.id), event.progress.batchId] = seen.asDict()
 
+    def onQueryTerminated(self, event) -> None:
+        self.ended.add(str(event.runId))
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append", key: Sequence[str] | None = None) -> DataFrame:
-    """Run a stream over what its source holds now and return the resulting table."""
+    @property
+    def rows(self) -> list[dict]:
+        with self.lock:
+            return [{"batch": n, **counts} for (_, n), counts in sorted(self.batches.items())]
+
+    def total(self) -> dict[str, int]:
+        rows = self.rows
+        return {k: sum(r[k] for r in rows) for k in ("requests", "failures", "cache_hits", "bytes")}
+
+    def wait(self, run_id: str, seconds: float = 30) -> None:
+        """Until the events of a run that has ended have come in."""
+        until = time.monotonic() + seconds
+        while run_id not in self.ended and time.monotonic() < until:
+            time.sleep(0.05)
+
+
+def run_to_table(stream: DataFrame, name: str, mode: str = "append", key: Sequence[str] | None = None,
+                 arrivals: Sequence[Callable[[], None]] = (lambda: None,), counters: LiveCounters | None = None) -> DataFrame:
+    """Run a stream over what its source holds and return the resulting table.
+
+    Each of ``arrivals`` puts more into the source; the stream is run after
+    each, as one batch that goes on from the state before.
+    """
     import uuid
 
     spark = stream.sparkSession
     base = f"{checkpoint_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
-    write_log_table(stream, f"{base}/table", f"{base}/progress", mode).awaitTermination()
+    if counters is not None:
+        spark.streams.addListener(counters)
+    for arrive in arrivals:
+        arrive()
+        query = write_log_table(stream, f"{base}/table", f"{base}/progress", mode)
+        query.awaitTermination()
+        if counters is not None:
+            counters.wait(str(query.runId))
+    if counters is not None:
+        spark.streams.removeListener(counters)
     return read_log_table(spark, f"{base}/table", key)

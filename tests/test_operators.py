@@ -94,14 +94,54 @@ def test_cookies(session):
                    (2, "sid"): ("v12", None, True, "x.com"), (5, "a"): ("2", None, False, None)}
 
 
-def test_one_document_per_lead_at_any_size(session):
+def test_lead_rows_are_bounded_and_count_what_they_leave_out(session):
     contacts = session.range(25_000).selectExpr(
         "'hub.com' AS domain", "CASE WHEN id % 2 = 0 THEN 'email' ELSE 'phone' END AS kind",
         "concat('v', lpad(id, 6, '0')) AS value", "0.5D AS confidence", "'u' AS source_url")
-    row, = L.lead_documents(contacts).collect()
-    assert len(row.contacts) == row.n_listed == row.n_known == 25_000 and len(row.emails) == 12_500
     row, = L.lead_documents(contacts, top=10).collect()
     assert row.emails == [f"v{i:06}" for i in range(0, 20, 2)] and row.n_listed == 20 and row.n_known == 25_000
+    assert row.counts == {"email": 12_500, "phone": 12_500}
+    shown, = L.display_rows(L.lead_documents(contacts).selectExpr("*", "'n' AS name", "1.0D AS score")).collect()
+    assert shown.emails == "v000000 v000002 v000004 v000006 +12496 more"
+    places = L.ranked_contacts(contacts).where("place in (1, 12500, 12501, 25000)").orderBy("place").collect()
+    assert [(r.kind, r.value) for r in places] == [
+        ("email", "v000000"), ("email", "v024998"), ("phone", "v000001"), ("phone", "v024999")]
+
+
+def test_indexed_search_finds_what_a_scan_finds(session, tmp_path):
+    import random
+
+    from leadloom.operators.search import LeadIndex, search
+    rng = random.Random(2)
+    words = ["".join(rng.choice("ab.@é") for _ in range(rng.randint(0, 7))) for _ in range(120)]
+    leads = session.createDataFrame([(f"d{i}.com", w if i % 3 else None) for i, w in enumerate(words)], "domain string, name string")
+    contacts = session.createDataFrame([(f"d{rng.randrange(130)}.com", rng.choice(["email", "phone", "github"]), w.upper())
+                                        for w in words * 3], "domain string, kind string, value string")
+    index = LeadIndex.build(leads, contacts, str(tmp_path / "index"), buckets=4)
+    held = {}
+    for r in contacts.where("kind <> 'github'").collect():
+        held.setdefault(r.domain, []).append(r.value.lower())
+    for q in ("", "a", "B@", "aB.", "é@é", "a.b@", "d1", "d11.com", "zzz", "aaaa"):
+        want = {r.domain for r in leads.collect() if any(q.lower() in t for t in [r.domain, r.name or "", *held.get(r.domain, [])])}
+        assert {r.domain for r in search(leads, contacts, q).collect()} == want, q
+        assert {r.domain for r in search(leads, contacts, q, index=index).collect()} == want, q
+    mailed = {r.domain for r in contacts.where("kind = 'email'").collect()}
+    assert {r.domain for r in search(leads, contacts, "", True).collect()} == mailed & {r.domain for r in leads.collect()}
+
+
+def test_one_failing_format_does_not_stop_the_others(session, tmp_path):
+    from leadloom import sinks as S
+    leads = session.createDataFrame([("a.com", "A", 50.0, "http://a.com/", 1)], "domain string, name string, score double, url string, pages_crawled int")
+    contacts = session.createDataFrame([("a.com", "email", "x@a.com", 0.9, "u", {"k": "v"})],
+                                       "domain string, kind string, value string, confidence double, source_url string, meta map<string,string>")
+    rows = leads.join(L.lead_documents(contacts), "domain")
+    flat = L.export_rows(leads, L.lead_documents(contacts))
+    path = str(tmp_path / "out")
+    bad = flat.withColumn("name", F.raise_error(F.lit("no csv today")).cast("string"))
+    got = dict(S.write_all(rows, bad, leads, contacts, path, ["all", "docx"]))
+    assert got.pop("csv").startswith("failed") and got.pop("docx") == "unknown"
+    assert got == dict.fromkeys(("json", "jsonl", "md", "tables"), "written")
+    assert session.read.json(f"{path}/jsonl").head().emails == ["x@a.com"]
 
 
 def test_merge_keeps_first_spelling_and_best_confidence(session):
