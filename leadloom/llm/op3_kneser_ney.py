@@ -16,6 +16,7 @@ calibration on training rows allows for its length.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,7 +33,7 @@ ORDER = 5
 #: Probability of a character that no language has seen: one of so many.
 ALPHABET = 100_000
 UNKNOWN = "und"
-_RUNS = regex.compile(r"\p{L}+")
+_RUNS, _LETTERS = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -40,6 +41,12 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
+def _letter_runs(token: str) -> list[str]:
+    """Runs of letters; the slower pattern only where other numbers than digits stand among them."""
+    runs = _RUNS.findall(token)
+    return runs if all(map(str.isalpha, runs)) else _LETTERS.findall(token)
+
+
 def _code_points(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Characters of the tokens' letter runs, each run closed by a border, and the token of each.
 
@@ -49,7 +56,7 @@ def _code_points(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
     texts, owner = [], []
     for i, token in enumerate(tokens):
         low = token.lower()
-        for run in (low,) if low.isalpha() else _RUNS.findall(low):
+        for run in (low,) if low.isalpha() else _letter_runs(low):
             texts.append(f"{pad}{run} ")
             owner.append(i)
     if not texts:
