@@ -47,7 +47,7 @@ SKIP_EXTENSIONS = (
     ".woff", ".woff2", ".ttf", ".eot", ".map", ".csv",
 )
 INFRA_DOMAINS = (
-    "grafdom.com", "wix.com", "wordpress.com", "squarespace.com", "godaddy.com",
+    "wix.com", "wordpress.com", "squarespace.com", "godaddy.com",
     "cloudflare.com", "jsdelivr.net", "unpkg.com", "bootstrapcdn.com",
     "fontawesome.com", "googleapis.com", "gstatic.com", "google-analytics.com",
     "googletagmanager.com", "doubleclick.net", "hotjar.com", "sentry.io",
