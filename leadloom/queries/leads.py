@@ -10,6 +10,7 @@ from ..keyed import KeyedTable
 from ..operators import analytics as A
 from ..operators import leads as L
 from ..operators import search as Q
+from ..operators import tiles as TL
 from ..operators import upsert as U
 from ..plans import discovery as D
 from .base import (
@@ -185,6 +186,54 @@ def _(spark, sf):
     return j.select("o_orderkey", L.in_box_columns(F.expr(_LAT).cast("double"), F.expr(_LON).cast("double"), F.col("box")).alias("inside"))
 
 
+#: One box for each customer, from a single place to several degrees.
+_BOXES = {"s": "(c_custkey * 37 % 1700) / 10.0 - 86", "w": "(c_custkey * 53 % 3500) / 10.0 - 176",
+          "h": "(c_custkey % 13) * 0.3", "v": "(c_custkey % 7) * 0.4"}
+_BOXES_SQL = f"""(SELECT c_custkey, s - greatest(h * 0.25, 0.2) AS s1, s + h + greatest(h * 0.25, 0.2) AS n1, w - greatest(v * 0.25, 0.2) AS w1, w + v + greatest(v * 0.25, 0.2) AS e1
+    FROM (SELECT c_custkey, ({_BOXES['s']})::DOUBLE + 0.03 AS s, ({_BOXES['w']})::DOUBLE + 0.03 AS w, ({_BOXES['h']})::DOUBLE AS h, ({_BOXES['v']})::DOUBLE AS v FROM customer))"""
+#: Positions of orders; a third of them lie in one town, a tenth have none.
+_PLACED_SQL = f"""(SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 24.7::DOUBLE ELSE ({_LAT})::DOUBLE END AS lat, CASE WHEN o_orderkey % 3 = 0 THEN 46.7::DOUBLE ELSE ({_LON})::DOUBLE END AS lon
+    FROM orders WHERE o_orderkey % 10 <> 3)"""
+
+
+def _customer_boxes(spark, sf):
+    s, w, h, v = (F.expr(_BOXES[k]).cast("double") for k in "swhv")
+    s, w = s + 0.03, w + 0.03
+    return table(spark, sf, "customer").select("c_custkey", F.struct(s.alias("s"), w.alias("w"), (s + h).alias("n"), (w + v).alias("e")).alias("box"))
+
+
+def _placed_orders(spark, sf):
+    k, town = F.col("o_orderkey"), F.col("o_orderkey") % 3 == 0
+    return table(spark, sf, "orders").select("o_orderkey", F.when(k % 10 != 3, F.when(town, F.lit(24.7)).otherwise(F.expr(_LAT).cast("double"))).alias("latitude"),
+                                             F.when(town, F.lit(46.7)).otherwise(F.expr(_LON).cast("double")).alias("longitude"))
+
+
+@register("fil5_any_box", f"""SELECT o_orderkey FROM orders WHERE o_orderkey % 10 = 3 UNION ALL
+    SELECT o_orderkey FROM {_PLACED_SQL} o SEMI JOIN {_BOXES_SQL} b ON lat BETWEEN s1 AND n1 AND lon BETWEEN w1 AND e1""")
+def _(spark, sf):
+    return TL.in_any_box(_placed_orders(spark, sf), _customer_boxes(spark, sf), "o_orderkey").select("o_orderkey")
+
+
+@register("jn11_orders_of_boxes", f"""SELECT c_custkey, count(*) AS n, min(o_orderkey) AS first, sum(o_orderkey)::BIGINT AS total FROM {_PLACED_SQL} o
+    JOIN {_BOXES_SQL} b ON lat BETWEEN s1 AND n1 AND lon BETWEEN w1 AND e1 GROUP BY 1""")
+def _(spark, sf):
+    met = TL.points_in_boxes(_placed_orders(spark, sf), _customer_boxes(spark, sf))
+    return met.groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first"), F.sum("o_orderkey").alias("total"))
+
+
+@register("jn13_selectors_in_boxes", f"""SELECT c_custkey, count(*) AS n, sum(o_orderkey)::BIGINT AS total FROM {_PLACED_SQL} o JOIN {_BOXES_SQL} b ON lat BETWEEN s1 AND n1 AND lon BETWEEN w1 AND e1
+    WHERE (o_orderkey % 5 < 3 AND o_orderkey % 5 = c_custkey % 4) OR (c_custkey % 6 = 1 AND o_orderkey % 4 <> 2) GROUP BY 1""")
+def _(spark, sf):
+    kinds = F.array(*map(F.lit, ("cafe", "school", "clinic", "bank")))
+    tags = F.map_from_entries(F.filter(F.array(
+        F.when(F.col("o_orderkey") % 5 < 3, F.struct(F.lit("amenity"), kinds[(F.col("o_orderkey") % 5).cast("int")])),
+        F.when(F.col("o_orderkey") % 4 != 2, F.struct(F.lit("shop"), F.lit("bakery")))), lambda e: e.isNotNull()))
+    asked = F.filter(F.array(F.concat(F.lit("amenity="), kinds[(F.col("c_custkey") % 4).cast("int")]),
+                             F.when(F.col("c_custkey") % 6 == 1, F.lit("shop=yes"))), lambda e: e.isNotNull())
+    met = TL.selected_in_boxes(_placed_orders(spark, sf).withColumn("tags", tags), _customer_boxes(spark, sf).withColumn("selectors", asked))
+    return met.groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("total"))
+
+
 _B = {"s": "(c_custkey % 170 - 85)::DOUBLE", "w": "(c_custkey % 350 - 175)::DOUBLE"}
 
 
@@ -293,12 +342,13 @@ def _(spark, sf):
     return L.first_phones(capped(spark, sf)).select("domain", "value", "rank")
 
 
-@register("jn3_first_writer", """SELECT domain, first(origin ORDER BY p) AS origin FROM (SELECT concat('n', c_nationkey) AS domain, 'customer' AS origin, 0 AS p FROM customer WHERE c_nationkey < 10
-    UNION ALL SELECT concat('n', s_nationkey), 'supplier', 1 FROM supplier) GROUP BY 1""")
+@register("jn3_first_writer", """SELECT domain, first(origin ORDER BY p) AS origin FROM (
+    SELECT concat('n', c_custkey % 400) AS domain, 'customer' AS origin, 0 AS p FROM customer WHERE c_custkey % 50 <> 0
+    UNION ALL SELECT concat('n', s_suppkey % 900), 'supplier', 1 FROM supplier) GROUP BY 1""")
 def _(spark, sf):
-    a = table(spark, sf, "customer").where("c_nationkey < 10").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("domain"), F.lit("customer").alias("origin"))
-    b = table(spark, sf, "supplier").select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("domain"), F.lit("supplier").alias("origin"))
-    return D.first_writer([a.unionByName(a.limit(1).withColumn("domain", F.lit(""))), b])
+    a = table(spark, sf, "customer").select(F.expr("CASE WHEN c_custkey % 50 = 0 THEN '' ELSE concat('n', c_custkey % 400) END").alias("domain"), F.lit("customer").alias("origin"))
+    b = table(spark, sf, "supplier").select(F.expr("concat('n', s_suppkey % 900)").alias("domain"), F.lit("supplier").alias("origin"))
+    return D.first_writer([a, b])
 
 
 @register("jn16_listed_orgs", f"""SELECT domain, domain IN (SELECT domain FROM {LEADS_SQL} WHERE score >= 60) AS known FROM (SELECT DISTINCT domain FROM {FINDS_SQL})""")
