@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import logs as G
-from .base import register, table
+from ..sources import captures as CA
+from .base import register, scratch, table
 
 _OUTCOME = "CASE event_type WHEN 'error' THEN 'strike' WHEN 'view' THEN 'neutral' ELSE 'reset' END"
 _FAILED = "CASE event_type WHEN 'error' THEN TRUE WHEN 'view' THEN NULL ELSE FALSE END"
@@ -81,3 +82,24 @@ def _(spark, sf):
         F.concat(F.lit("body"), F.col("event_id").cast("string")).alias("body"), "ts")
     found = G.cache_lookup(e.select("event_id", key, F.col("ts").alias("now")), cache)
     return found.select("event_id", "hit", F.col("cached_body").alias("body"))
+
+
+_CACHED_AT, _ASKED_AT = "1700000000 + page_id % 7 * 3600", "1700000000 + page_id % 5 * 40000"
+
+
+@register("jn5_page_cache", f"""WITH first AS (SELECT url, 200 + page_id % 3 AS status, html AS text, {_CACHED_AT} AS t FROM pages WHERE page_id % 10 <> 4 AND html <> ''),
+    again AS (SELECT url, 200 AS status, html || '<!-- again -->' AS text, {_CACHED_AT} + 50000 AS t FROM pages WHERE page_id % 3 = 0),
+    cache AS (SELECT url, first(struct_pack(status := status, text := text, t := t) ORDER BY again DESC, t DESC, status, md5(text)) AS c FROM
+      (SELECT *, 0 AS again FROM first UNION ALL SELECT *, 1 FROM again) GROUP BY url)
+    SELECT page_id, coalesce({_ASKED_AT} - c.t <= 86400, FALSE) AS hit, CASE WHEN {_ASKED_AT} - c.t <= 86400 THEN c.status::INTEGER END AS status,
+      CASE WHEN {_ASKED_AT} - c.t <= 86400 THEN md5(c.text) END AS digest FROM pages LEFT JOIN cache USING (url)""")
+def _(spark, sf):
+    """Two rounds of captures put into one cache, then a request for every page."""
+    pages, path = table(spark, sf, "pages"), scratch(spark, "captures")
+    at = F.expr(_CACHED_AT)
+    CA.put(pages.select("url", F.expr("CASE WHEN page_id % 10 = 4 THEN 503 ELSE 200 + page_id % 3 END").alias("status"),
+                        F.col("html").alias("text"), F.timestamp_seconds(at).alias("ts")), path, buckets=16)
+    CA.put(pages.where("page_id % 3 = 0").select("url", F.lit(200).alias("status"), F.concat("html", F.lit("<!-- again -->")).alias("text"),
+                                                 F.timestamp_seconds(at + 50000).alias("ts")), path)
+    found = CA.lookup(pages.select("page_id", "url", F.timestamp_seconds(F.expr(_ASKED_AT)).alias("now")), path)
+    return found.select("page_id", "hit", F.col("cached_status").alias("status"), F.md5("cached_text").alias("digest"))
