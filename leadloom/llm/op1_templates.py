@@ -19,6 +19,7 @@ words of an instruction) makes no pairs of its own.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import partial
 
@@ -57,46 +58,47 @@ SIEVE_BITS = 22
 _PIECES = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*")
 
 
-class _Vocabulary:
-    """Word pieces of each raw token: hash, kind and capital of each, and whether the token ends a sentence."""
+class _Vocabulary(dict):
+    """Place of each raw token, and its word pieces: hash, kind, capital, and whether the token ends a sentence."""
 
-    def __init__(self, most: int = 200_000):
+    def __init__(self, most: int = 500_000):
+        super().__init__()
         self.most = most
-        self.clear()
+        self.empty()
 
-    def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.first, self.count, self.ends = [], [], []
-        self.text, self.hash, self.kind, self.capital = [], [], [], []
+    def empty(self) -> None:
+        self.clear()
+        self.text: list[str] = []
+        self.first, self.count, self.ends = array("q"), array("q"), array("b")
+        self.hash, self.kind, self.capital = array("Q"), array("b"), array("b")
 
-    def add(self, token: str) -> int:
+    def __missing__(self, token: str) -> int:
         import xxhash
 
         self.first.append(len(self.text))
-        pieces = _PIECES.findall(token)
+        bare = token.rstrip(".,;:!?")
+        pieces = (bare,) if bare.isalpha() else _PIECES.findall(token)
         for piece in pieces:
             low = piece.lower()
             kind = NUMBER if piece[0].isdigit() or low in NUMBER_WORDS else UNIT if low in UNITS else WORD
             self.text.append(low)
             self.hash.append(xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass")))
             self.kind.append(kind)
-            self.capital.append(piece[0].isupper() and kind == WORD)
+            self.capital.append(kind == WORD and piece[0].isupper())
         self.count.append(len(pieces))
         self.ends.append(token.rstrip("\"')]*_")[-1:] in (".", "!", "?", ":"))
-        self.at[token] = n = len(self.at)
+        n = self[token] = len(self)
         return n
 
     def tokens(self, text: str) -> np.ndarray:
-        at = self.at
         raw = text.split()
-        if len(at) > self.most:
-            self.clear()
-            at = self.at
-        return np.fromiter((at[t] if t in at else self.add(t) for t in raw), np.int64, len(raw))
+        if len(self) > self.most:
+            self.empty()
+        return np.fromiter(map(self.__getitem__, raw), np.int64, len(raw))
 
     def arrays(self) -> tuple[np.ndarray, ...]:
-        return (np.array(self.first, np.int64), np.array(self.count, np.int64), np.array(self.ends, bool),
-                np.array(self.hash, U64), np.array(self.kind, np.int8), np.array(self.capital, bool))
+        return (np.array(self.first), np.array(self.count), np.array(self.ends, bool), np.array(self.hash),
+                np.array(self.kind), np.array(self.capital, bool))
 
 
 def _sequence(tokens: np.ndarray, arrays: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -197,8 +199,8 @@ def _doc_windows(batches: Iterator[pa.RecordBatch], plain_widths: list[int], tem
         texts = batch.column("text").to_pylist()
         keys = [batch.column(c).to_pylist() for c in ("__id", "__no_id", "__text")]
         for i, j in slices(texts):
-            if len(vocabulary.at) > vocabulary.most:
-                vocabulary.clear()
+            if len(vocabulary) > vocabulary.most:
+                vocabulary.empty()
             # no clearing inside a slice: places in the vocabulary must stay
             held, vocabulary.most = vocabulary.most, 1 << 60
             tokens = [vocabulary.tokens(t or "") for t in texts[i:j]]
