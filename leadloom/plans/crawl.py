@@ -73,7 +73,8 @@ def expand(seeds: DataFrame, corpus: StoredCorpus | DataFrame, options: CrawlOpt
             "domain", "url", "depth", "page_rank", F.coalesce("fetched", F.lit(False)).alias("fetched"),
             (~F.col("allowed")).alias("blocked")))
         pages = pages.withColumn("__org", F.col("domain"))
-        new = cut(contacts_of(pages, ["depth", "page_rank"], blocklist=options.blocklist, org_key="__org"))
+        # the organisation is part of a page's key: two sites may show the same address
+        new = cut(contacts_of(pages, ["__org", "depth", "page_rank"], blocklist=options.blocklist, org_key="__org").drop("__org"))
         visited = now if visited is None else visited.unionByName(now)
         contacts = new if contacts is None else contacts.unionByName(new)
         if options.metadata:

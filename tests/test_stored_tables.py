@@ -135,3 +135,16 @@ def test_crawl_order_does_not_collide_beyond_a_thousand_links(session):
     r = expand(seeds, corpus, CrawlOptions(max_pages=1200, blocklist=()))
     ranks = {v.url: v.page_rank for v in r.visited.where("depth = 1").collect()}
     assert len(ranks) == 1101 and max(ranks.values()) == ranks["http://a.net/kontakt"] == 1101
+
+
+def test_sites_that_show_the_same_address_all_have_it(session):
+    from leadloom.plans.corpus import StoredCorpus
+    from leadloom.plans.crawl import CrawlOptions, expand
+
+    pages = [(f"https://{d}.net/", '<p>write to desk@mail.org</p><a href="/shop">s</a>') for d in ("a", "b", "c")]
+    corpus = StoredCorpus.store(session.createDataFrame(pages, "url string, html string"), buckets=2)
+    seeds = session.createDataFrame([(f"{d}.net", f"https://{d}.net/", 0) for d in ("a", "b", "c")], "domain string, url string, seq int")
+    r = expand(seeds, corpus, CrawlOptions(blocklist=()))
+    assert {(x.domain, x.value) for x in r.contacts.collect()} == {(f"{d}.net", "desk@mail.org") for d in ("a", "b", "c")}
+    # a site with an address does not fall back to plain links
+    assert r.visited.where("depth = 1").count() == 0
