@@ -180,17 +180,19 @@ def first_page(leads: DataFrame, n: int = 500, org: str = "domain") -> DataFrame
     return ordered(leads, org).limit(n)
 
 
-def lead_documents(contacts: DataFrame, org: str = "domain", top: int = rules.MAX_EMAILS_PER_LEAD) -> DataFrame:
-    """One row per organisation: its first contacts of each kind, as arrays, and how many there are.
-
-    A row lists up to ``top`` contacts of a kind, by confidence and then value;
-    the limit applies before rows move, so an organisation with a third of all
-    contacts costs no more than another.  ``counts`` has the number known per
-    kind, ``n_listed`` and ``n_known`` the totals.  ``ranked_contacts`` lists
-    every contact in long form.
+def lead_documents(contacts: DataFrame, org: str = "domain", top: int | None = None) -> DataFrame:
+    """One row per organisation: its contacts of each kind, as arrays, and how many there are.
+
+    Contacts follow confidence and then value.  With ``top`` a row lists up to
+    that many of a kind; the limit applies before rows move, so an organisation
+    with a third of all contacts costs no more than another.  ``counts`` has the
+    number known per kind, ``n_listed`` and ``n_known`` the totals.
+    ``ranked_contacts`` lists every contact in long form.
     """
-    place = F.row_number().over(W.partitionBy(org, "kind").orderBy(F.desc("confidence"), "value"))
-    listed = contacts.withColumn("__r", place).where(F.col("__r") <= top).drop("__r")
+    listed = contacts
+    if top is not None:
+        place = F.row_number().over(W.partitionBy(org, "kind").orderBy(F.desc("confidence"), "value"))
+        listed = contacts.withColumn("__r", place).where(F.col("__r") <= top).drop("__r")
     counts = (contacts.groupBy(org, "kind").agg(F.count(F.lit(1)).alias("n")).groupBy(org).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("counts"), F.sum("n").alias("n_known")))
     entry = F.struct("kind", (-F.col("confidence")).alias("__c"), "value", "source_url")

@@ -13,11 +13,20 @@ def _first(kind: str) -> str:
     return f"coalesce(array_to_string((list(value ORDER BY confidence DESC, value) FILTER (kind = '{kind}'))[:25], '; '), '')"
 
 
-#: A flat row lists the first 25 contacts of a kind; the contacts table has all.
+def _all_of(kind: str) -> str:
+    return f"coalesce(string_agg(value, '; ' ORDER BY confidence DESC, value) FILTER (kind = '{kind}'), '')"
+
+
+#: The first 25 contacts of a kind.
 _FLAT_SQL = f"""(SELECT l.domain, coalesce(l.name, '') AS name, l.score, {_first('email')} AS emails, {_first('phone')} AS phones,
     coalesce(l.address, '') AS address, {_first('github')} AS github, l.source, l.pages_crawled
     FROM {LEADS_SQL} l JOIN {CAPPED_SQL} c USING (domain) GROUP BY ALL)"""
 
+#: A flat row lists every contact of a kind.
+_WHOLE_SQL = f"""(SELECT l.domain, coalesce(l.name, '') AS name, l.score, {_all_of('email')} AS emails, {_all_of('phone')} AS phones,
+    coalesce(l.address, '') AS address, {_all_of('github')} AS github, l.source, l.pages_crawled
+    FROM {LEADS_SQL} l JOIN {CAPPED_SQL} c USING (domain) GROUP BY ALL)"""
+
 
 def _leads(spark, sf):
     return lead_table(spark, sf).withColumn("url", F.concat(F.lit("https://"), "domain", F.lit("/")))
@@ -31,12 +40,12 @@ def _documents(spark, sf):
     return _leads(spark, sf).join(L.lead_documents(capped(spark, sf)), "domain")
 
 
-@register("snk1_flat_rows", f"SELECT *, 'https://' || domain || '/' AS website FROM {_FLAT_SQL}")
+@register("snk1_flat_rows", f"SELECT *, 'https://' || domain || '/' AS website FROM {_WHOLE_SQL}")
 def _(spark, sf):
     return _flat(spark, sf).select("domain", "name", "score", "emails", "phones", "address", "github", "source", "pages_crawled", "website")
 
 
-@register("snk2_csv", f"SELECT domain, name, score, emails, CASE WHEN phones LIKE '+%' THEN '''' || phones ELSE phones END AS phones FROM {_FLAT_SQL}")
+@register("snk2_csv", f"SELECT domain, name, score, emails, CASE WHEN phones LIKE '+%' THEN '''' || phones ELSE phones END AS phones FROM {_WHOLE_SQL}")
 def _(spark, sf):
     path = scratch(spark, "csv")
     S.write_csv(_flat(spark, sf), path)

@@ -170,3 +170,15 @@ def test_plain_text(session):
                                      (2, None)], "k int, html string")
     got = {r.k: r.t for r in markdown_of(pages, ["k"]).select("k", plain_text(F.col("markdown")).alias("t")).collect()}
     assert got == {1: "T\nSee this pic\n- one\n", 2: "\n"}
+
+
+def test_lead_rows_list_every_contact(session):
+    contacts = session.range(9_000).selectExpr(
+        "'hub.com' AS domain", "element_at(array('email', 'phone', 'github'), CAST(id % 3 AS INT) + 1) AS kind",
+        "concat('v', lpad(id, 6, '0')) AS value", "0.5D AS confidence", "'u' AS source_url")
+    row, = L.lead_documents(contacts).collect()
+    assert len(row.contacts) == row.n_listed == row.n_known == 9_000
+    assert len(row.emails) == len(row.phones) == len(row.socials["github"]) == 3_000 and row.phones[25] == "v000076"
+    leads = session.createDataFrame([("hub.com", "H", 50.0, 1)], "domain string, name string, score double, pages_crawled int")
+    flat, = L.export_rows(leads, L.lead_documents(contacts)).collect()
+    assert flat.phones.split("; ") == row.phones
