@@ -22,9 +22,18 @@ def _cue_before() -> str:
 CUED_PHONE = r"(?iU)(?=[+\d])" + _cue_before() + rules.PHONE
 
 
-def phone_runs(text: Column) -> Column:
-    """Digit runs shaped like phone numbers."""
-    return F.regexp_extract_all(text, F.lit(PHONE), F.lit(0))
+#: A phone together with the characters around it.
+OWN_PHONE = r"(?i)(?:\A|[^\p{L}\p{N}_.])(" + rules.PHONE_BODY + r")(?:\z|[^\p{L}\p{N}_.])"
+
+
+def phone_runs(text: Column, own_borders: bool = False) -> Column:
+    """Digit runs shaped like phone numbers.
+
+    With ``own_borders`` two runs do not share the character between them, as
+    in searches of engines without look-around: of ``A +B`` with one blank,
+    ``A`` and then ``B`` is found.
+    """
+    return F.regexp_extract_all(text, F.lit(OWN_PHONE if own_borders else PHONE), F.lit(1 if own_borders else 0))
 
 
 def has_own_evidence(raw: Column) -> Column:

@@ -54,8 +54,13 @@ def _where(sign: Column, found: Column) -> Column:
     return F.when(sign, found).otherwise(F.array().cast(NONE))
 
 
-def plain_emails(text: Column) -> Column:
-    return _where(text.contains("@"), _all(text, rules.EMAIL))
+#: An address together with the characters around it.
+OWN_EMAIL = r"(?:\A|[^\p{L}\p{N}_.+-])(" + rules.EMAIL_BODY + r")(?:\z|[^\p{L}\p{N}_-])"
+
+
+def plain_emails(text: Column, own_borders: bool = False) -> Column:
+    """Addresses in a text; with ``own_borders`` two of them do not share the character between them."""
+    return _where(text.contains("@"), _all(text, OWN_EMAIL, 1) if own_borders else _all(text, rules.EMAIL))
 
 
 def obfuscated_emails(visible: Column) -> Column:
@@ -107,11 +112,11 @@ def social_url(kind: Column, handle: Column) -> Column:
 
 def candidates(pages: DataFrame, keys: Sequence[str], want: Sequence[str] = FAMILIES,
                html: str = "html", url: str = "url", deobfuscate: bool = True,
-               structured: bool = True) -> DataFrame:
+               structured: bool = True, own_borders: bool = False) -> DataFrame:
     """All raw finds of the wanted families: one row per find."""
     if "all" in want:
         want = FAMILIES
-    df = with_finds(pages, [*dict.fromkeys([*keys, url])], html, want, deobfuscate, structured)
+    df = with_finds(pages, [*dict.fromkeys([*keys, url])], html, want, deobfuscate, structured, own_borders)
     found = df.select(*keys, F.col(url).alias("source_url"), F.explode("__finds").alias("__c"))
     return found.select(*keys, "source_url", "__c.*")
 
@@ -121,19 +126,21 @@ def contacts_of(pages: DataFrame, keys: Sequence[str] = ("page_id",),
                 blocklist: Sequence[str] = rules.EMAIL_BLOCKLIST,
                 local_blocklist: Sequence[str] = rules.EMAIL_LOCAL_BLOCKLIST,
                 deobfuscate: bool = True, structured: bool = True, org_key: str | None = None,
-                dedup: bool = True) -> DataFrame:
+                dedup: bool = True, own_borders: bool = False) -> DataFrame:
     """Contacts of each page: keys, domain, kind, value, source_url, confidence, meta, place.
 
     ``org_key`` names a column holding the organisation of a page; without it
     the registrable domain of the page's URL is used.  ``dedup=False`` leaves
     repeats of a value within a page to a later merge and saves a shuffle.
+    With ``own_borders`` plain addresses and numbers do not share the character
+    between two of them (see ``phone_runs``).
     """
     if org_key == "host":
         pages, org_key = pages.withColumn("__org", host_of(F.col(url))), "__org"
     elif org_key is None:
         pages, org_key = pages.withColumn("__org", registrable_domain(F.col(url))), "__org"
     carried = [*dict.fromkeys([*keys, org_key])]
-    found = candidates(pages, carried, want, html, url, deobfuscate, structured)
+    found = candidates(pages, carried, want, html, url, deobfuscate, structured, own_borders)
     out = _judged(found, org_key, url, blocklist, local_blocklist).select(
         *keys, F.col(org_key).alias("domain"), "kind", "value", "source_url", "confidence",
         "meta", "place")

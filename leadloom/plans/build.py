@@ -17,14 +17,14 @@ from ..operators.pages import title_of, with_metadata
 def scored_leads(pages: DataFrame, order: Sequence[str] = ("page_id",), org_key: str | None = None,
                  want: Sequence[str] = FAMILIES, blocklist: Sequence[str] = rules.EMAIL_BLOCKLIST,
                  min_confidence: float = 0.0, email_cap: int = rules.MAX_EMAILS_PER_LEAD,
-                 full_metadata: bool = False, html: str = "html", url: str = "url") -> DataFrame:
+                 full_metadata: bool = False, html: str = "html", url: str = "url", own_borders: bool = False) -> DataFrame:
     """Lead table of a page table.
 
     HTML is read twice at most (contacts, metadata) and never shuffled; only
     contact candidates and short metadata rows move.
     """
     contacts = merged_contacts(pages, order, org_key, want, blocklist, min_confidence, email_cap,
-                               html, url)
+                               html, url, own_borders=own_borders)
     host = host_of(F.col(url)) if org_key == "host" else registrable_domain(F.col(url))
     keyed = pages.withColumn("domain", host if org_key in (None, "host") else F.col(org_key))
     if full_metadata:
@@ -43,9 +43,9 @@ def scored_leads(pages: DataFrame, order: Sequence[str] = ("page_id",), org_key:
 def merged_contacts(pages: DataFrame, order: Sequence[str] = ("page_id",), org_key: str | None = None,
                     want: Sequence[str] = FAMILIES, blocklist: Sequence[str] = rules.EMAIL_BLOCKLIST,
                     min_confidence: float = 0.0, email_cap: int = rules.MAX_EMAILS_PER_LEAD,
-                    html: str = "html", url: str = "url", with_meta: bool = False) -> DataFrame:
+                    html: str = "html", url: str = "url", with_meta: bool = False, own_borders: bool = False) -> DataFrame:
     """Extract, filter, merge and cap the contacts of a page table."""
-    found = at_least(contacts_of(pages, order, want, html, url, blocklist, org_key=org_key, dedup=False),
-                     min_confidence)
+    found = at_least(contacts_of(pages, order, want, html, url, blocklist, org_key=org_key, dedup=False,
+                                 own_borders=own_borders), min_confidence)
     merge = merge_contacts if with_meta else best_contacts
     return cap_emails(merge(found, [*order, "place"]), email_cap)

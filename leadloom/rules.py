@@ -237,8 +237,9 @@ INTERVAL_UNITS = {"s": 1, "sec": 1, "m": 60, "min": 60, "h": 3600, "hour": 3600,
 
 # Patterns.  (?U) makes \w, \s, \d and \b follow Unicode; repeated groups are
 # bounded because the JVM matcher recurses on them.
-EMAIL = (r"(?U)(?<![\w.+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?@"
-         r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,126}[A-Za-z]{2,24}(?![\w-])")
+EMAIL_BODY = (r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?@"
+              r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,126}[A-Za-z]{2,24}")
+EMAIL = r"(?U)(?<![\w.+-])" + EMAIL_BODY + r"(?![\w-])"
 _DOT_WORDS = r"\s*[(\[{]\s*(?:dot|punkt|nokta|punto)\s*[)\]}]\s*"
 OBFUSCATED_MARK = (r"(?iU)([A-Za-z0-9._%+-]{1,64}?)(?:\s*[(\[{]\s*at\s*[)\]}]\s*|\s*@\s*)"
                    r"((?:[A-Za-z0-9-]{1,63}(?:" + _DOT_WORDS + r"|\.)){1,126}[A-Za-z]{2,24}\b)")
@@ -251,8 +252,9 @@ JS_CONCAT = (r"(?U)['\"]([A-Za-z0-9._%+-]{1,64})['\"]\s*\+\s*['\"]@?['\"]\s*\+\s
 CFEMAIL = r'data-cfemail="([0-9a-fA-F]+)"'
 MAILTO = r"(?iU)(?:href|content)\s*=\s*[\"']\s*mailto:([^\"'?>]+)"
 TEL = r"(?iU)href\s*=\s*[\"']\s*tel:([+0-9().\-\s]{6,})[\"']"
-PHONE = (r"(?<![\w.])(?:\+|00)?\d{1,3}[\s.\-]?(?:\(\d{1,4}\)[\s.\-]?)?"
-         r"\d{2,4}(?:[\s.\-]?\d{2,4}){1,4}(?:\s*(?:ext|x|extn|poste)\.?\s*\d{1,5})?(?![\w.])")
+PHONE_BODY = (r"(?:\+|00)?\d{1,3}[\s.\-]?(?:\(\d{1,4}\)[\s.\-]?)?"
+              r"\d{2,4}(?:[\s.\-]?\d{2,4}){1,4}(?:\s*(?:ext|x|extn|poste)\.?\s*\d{1,5})?")
+PHONE = r"(?<![\w.])" + PHONE_BODY + r"(?![\w.])"
 PHONE_CUES = ("tel", "phone", "call", "mobile", "cell", "fax", "whatsapp", r"whats\sapp", "contact", "hotline",
               "telefon", "téléphone", "teléfono", "telefono", "هاتف", "جوال", "اتصل")
 PHONE_CUE_SEPARATOR = r"[\s.:\-–—]"

@@ -28,9 +28,9 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 def contact_updates(pages: DataFrame, order: Sequence[str] = ("page_id",), org_key: str | None = None,
                     want: Sequence[str] = FAMILIES,
-                    blocklist: Sequence[str] = rules.EMAIL_BLOCKLIST) -> DataFrame:
+                    blocklist: Sequence[str] = rules.EMAIL_BLOCKLIST, own_borders: bool = False) -> DataFrame:
     """Merged contacts of a page stream; in update mode each batch gives the changed ones."""
-    found = contacts_of(pages, order, want, blocklist=blocklist, org_key=org_key, dedup=False)
+    found = contacts_of(pages, order, want, blocklist=blocklist, org_key=org_key, dedup=False, own_borders=own_borders)
     return best_contacts(found, [*order, "place"])
 
 

@@ -160,3 +160,28 @@ def test_pages_without_text_and_clashing_columns(session):
     got = C.contacts_of(df.drop("kind"), ["page_id"], dedup=False, blocklist=()).select("page_id", "value").distinct().collect()
     assert [tuple(r) for r in got] == [(3, "me@firm.io")]
     assert C.contacts_of(df.where("false"), ["page_id"]).count() == 0
+
+
+CROWDED = ("see a.b@c1.com d@e2.org and f@g3.net.", "d 4387393285946913 +1 (438) 555-5817 +1 (274) 555-4153 x",
+           "190.137.223.204 x +1 (826) 555-4081 190.137.223.204 du", "é.20@mail5.example.com\nq@r.io", "t@u.io +44 20 7946 1234 t@u.io", "")
+
+
+@pytest.mark.parametrize("name", ["con3_plain_visible", "con4_plain_raw", "con10_page_emails", "con12_phone_candidates", "con16_page_phones",
+                                  "con19_all_contacts", "lead_scores_by_host", "lead_scores_by_source"])
+def test_finds_side_by_side_are_those_of_the_sql(session, tmp_path, name):
+    import __spark_entry__ as entry
+    import compare
+
+    documents = [(i, text, f"s{i % 2}", "en", len(text)) for i, text in enumerate(CROWDED)]
+    pages = [(i, f"https://h{i % 2}.net/p", f"<html><head><title>T</title></head><body><p>{text}</p></body></html>") for i, text in enumerate(CROWDED)]
+    for table, rows, schema in (("documents", documents, "doc_id bigint, text string, source string, lang string, n_chars int"),
+                                ("pages", pages, "page_id bigint, url string, html string")):
+        session.createDataFrame(rows, schema).toPandas().to_parquet(str(tmp_path / f"{table}.parquet"))
+    assert compare.compare(session, compare.duck(str(tmp_path)), str(tmp_path), name, entry.queries()[name], entry.oracle_sql()[name]) is None
+
+
+def test_by_default_finds_may_share_a_border():
+    assert A.plain_emails(CROWDED[0]) == ["a.b@c1.com", "d@e2.org", "f@g3.net"]
+    assert A.own_emails(CROWDED[0]) == ["a.b@c1.com", "f@g3.net"]
+    assert A.dialable_runs(CROWDED[1]) == ["+1 (438) 555-5817", "+1 (274) 555-4153"]
+    assert A.dialable_runs(CROWDED[1], own_borders=True) == ["1 (438) 555-5817", "1 (274) 555-4153"]
