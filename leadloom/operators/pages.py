@@ -137,11 +137,12 @@ def outbound_orgs(pages: DataFrame, keys: Sequence[str], limit: int = rules.MAX_
 
 def directory_pages(pages: DataFrame, keys: Sequence[str], contacts_found: DataFrame | None = None,
                     html: str = "html", url: str = "url", orgs: DataFrame | None = None,
-                    **kw) -> DataFrame:
+                    headline: str = rules.HEADLINE, **kw) -> DataFrame:
     """Per page: number of outbound organisations and whether it lists other organisations.
 
     ``contacts_found`` has the keys and ``n_contacts``; pages it lacks count as
     zero.  ``orgs`` may pass the pages' outbound organisations if at hand.
+    ``headline`` is the pattern of titles that announce a list.
     """
     if orgs is None:
         orgs = outbound_orgs(pages, keys, html=html, url=url, **kw)
@@ -155,9 +156,9 @@ def directory_pages(pages: DataFrame, keys: Sequence[str], contacts_found: DataF
         df = df.withColumn("n_contacts", F.lit(0))
     n = F.col("n_orgs")
     listing = F.col("page_url").rlike(rules.DIRECTORY_URL)
-    headline = F.col("__title").rlike(rules.HEADLINE) & (F.coalesce("n_contacts", F.lit(0)) == 0)
+    headed = F.col("__title").rlike(headline) & (F.coalesce("n_contacts", F.lit(0)) == 0)
     return df.select(*keys, "page_url", "n_orgs",
-                     ((n >= 5) | ((n >= 3) & (listing | headline))).alias("is_directory"))
+                     ((n >= 5) | ((n >= 3) & (listing | headed))).alias("is_directory"))
 
 
 def all_links(pages: DataFrame, keys: Sequence[str], html: str = "html",

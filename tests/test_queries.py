@@ -26,6 +26,17 @@ def test_query_equals_sql(session, duck, name):
     assert compare.compare(session, duck, SF, name, entry.queries()[name], entry.oracle_sql()[name]) is None
 
 
+TITLES = ("A", "B", "What is new", "Best &amp; all", "token = &quot;77", "and&amp;&amp", "x &lt;y&gt; &eacute; &#65;", "C", "D", "E", "Ratings", "topé x",
+          "a&nbsp;b", "&amp;amp; c")
+
+
+@pytest.mark.parametrize("name", ["htm3_title", "htm10_directory_pages", "htm11_headings"])
+def test_titles_are_read_as_the_sql_reads_them(session, tmp_path, name):
+    rows = [(i, f"https://h{i}.net/p", f"<html><head><title>{t}</title></head><body><h1>{t}</h1><p>x</p></body></html>") for i, t in enumerate(TITLES)]
+    session.createDataFrame(rows, "page_id bigint, url string, html string").toPandas().to_parquet(str(tmp_path / "pages.parquet"))
+    assert compare.compare(session, compare.duck(str(tmp_path)), str(tmp_path), name, entry.queries()[name], entry.oracle_sql()[name]) is None
+
+
 def test_every_statement_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
