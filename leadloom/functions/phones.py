@@ -22,8 +22,10 @@ def _cue_before() -> str:
 CUED_PHONE = r"(?iU)(?=[+\d])" + _cue_before() + rules.PHONE
 
 
+#: The shape of a phone with the five blanks that engines without look-around know; \s has the vertical tab too.
+OWN_PHONE_BODY = rules.PHONE_BODY.replace(r"[\s", r"[ \t\n\f\r").replace(r"\s*", r"[ \t\n\f\r]*")
 #: A phone together with the characters around it.
-OWN_PHONE = r"(?i)(?:\A|[^\p{L}\p{N}_.])(" + rules.PHONE_BODY + r")(?:\z|[^\p{L}\p{N}_.])"
+OWN_PHONE = r"(?i)(?:\A|[^\p{L}\p{N}_.])(" + OWN_PHONE_BODY + r")(?:\z|[^\p{L}\p{N}_.])"
 
 
 def phone_runs(text: Column, own_borders: bool = False) -> Column:
@@ -66,10 +68,11 @@ def looks_like_number_list(raw: Column) -> Column:
         | ((F.size(groups) >= 4) & uniform & (first == 2) & ~s.rlike(r"^[+0]")))
 
 
-def with_normalised_phone(df: DataFrame, raw: str, out: str) -> DataFrame:
+def with_normalised_phone(df: DataFrame, raw: str, out: str, whole: Column | None = None) -> DataFrame:
     """Add the normal form ``+digits`` or ``digits``, with `` xN`` for an extension.
 
-    Null for anything that cannot be a phone number.
+    Null for anything that cannot be a phone number.  Where ``whole`` holds,
+    the digits of an extension count as digits of the number.
     """
     c = F.col
     keep = list(df.columns)
@@ -79,6 +82,10 @@ def with_normalised_phone(df: DataFrame, raw: str, out: str) -> DataFrame:
     cut = F.instr(c("__t"), " x")
     body = F.when(cut > 0, F.substring_index(c("__t"), " x", 1)).otherwise(c("__t"))
     digits = F.regexp_replace(F.regexp_replace(body, r"(?U)[^\d+]", ""), "^00", "+")
+    if whole is not None:
+        cut = F.when(whole, F.lit(0)).otherwise(cut)
+        # two zeros apart are no prefix there
+        digits = F.when(whole, F.regexp_replace(F.regexp_replace(c(raw), "^00", "+"), r"[^\d+]", "")).otherwise(digits)
     df = df.withColumns({
         "__x": F.when(cut > 0, F.concat(F.lit(" x"), strip(F.substr(c("__t"), cut + 2))))
                 .otherwise(F.lit("")),

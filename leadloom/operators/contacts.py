@@ -133,7 +133,8 @@ def contacts_of(pages: DataFrame, keys: Sequence[str] = ("page_id",),
     the registrable domain of the page's URL is used.  ``dedup=False`` leaves
     repeats of a value within a page to a later merge and saves a shuffle.
     With ``own_borders`` plain addresses and numbers do not share the character
-    between two of them (see ``phone_runs``).
+    between two of them (see ``phone_runs``), and are read from the page as it
+    is written (see ``anchors.page_finds``).
     """
     if org_key == "host":
         pages, org_key = pages.withColumn("__org", host_of(F.col(url))), "__org"
@@ -141,13 +142,13 @@ def contacts_of(pages: DataFrame, keys: Sequence[str] = ("page_id",),
         pages, org_key = pages.withColumn("__org", registrable_domain(F.col(url))), "__org"
     carried = [*dict.fromkeys([*keys, org_key])]
     found = candidates(pages, carried, want, html, url, deobfuscate, structured, own_borders)
-    out = _judged(found, org_key, url, blocklist, local_blocklist).select(
+    out = _judged(found, org_key, url, blocklist, local_blocklist, own_borders).select(
         *keys, F.col(org_key).alias("domain"), "kind", "value", "source_url", "confidence",
         "meta", "place")
     return page_dedup(out, keys) if dedup else out
 
 
-def _judged(found: DataFrame, org: str, url: str, blocklist, local_blocklist) -> DataFrame:
+def _judged(found: DataFrame, org: str, url: str, blocklist, local_blocklist, own_borders: bool = False) -> DataFrame:
     """Cleaned, valid candidates with confidence and meta."""
     kind, raw, tag = F.col("kind"), F.col("raw"), F.col("tag")
     mail, phone, ld = kind == "email", kind == "phone", tag == "jsonld"
@@ -157,7 +158,7 @@ def _judged(found: DataFrame, org: str, url: str, blocklist, local_blocklist) ->
         F.when(mail, is_valid_email(F.col("__mail"), blocklist, local_blocklist))
         .when(phone, F.lit(True))
         .otherwise(~F.lower(raw).isin(*rules.SOCIAL_RESERVED)))
-    df = with_normalised_phone(df, "__tel", "__phone")
+    df = with_normalised_phone(df, "__tel", "__phone", tag == "text" if own_borders else None)
     value = (F.when(mail, F.col("__mail")).when(phone, F.col("__phone"))
              .otherwise(social_url(kind, raw)))
     page_domain = registrable_domain(F.col("source_url"))

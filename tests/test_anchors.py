@@ -185,3 +185,25 @@ def test_by_default_finds_may_share_a_border():
     assert A.own_emails(CROWDED[0]) == ["a.b@c1.com", "f@g3.net"]
     assert A.dialable_runs(CROWDED[1]) == ["+1 (438) 555-5817", "+1 (274) 555-4153"]
     assert A.dialable_runs(CROWDED[1], own_borders=True) == ["1 (438) 555-5817", "1 (274) 555-4153"]
+
+
+WRITTEN = {
+    "con3_plain_visible": ["&lt;joe&#64;firm.com joe&amp;a@b.com", None],
+    "con12_phone_candidates": ["see shop.com/2024-12345 x", "éhttp://x.io/555-12345 y", "555\x0b12345", None],
+    "con16_page_phones": ["tel 4387393285", "https://a.io/020-7946-1000", "12000 x 800", "0 001000 12345", "7946<0555", "&#160;555 12345;", None],
+    "con19_all_contacts": ["tel 4387393285", "https://a.io/020-7946-1000", "12000 x 800", "<script type=1>020 7946 1000</script>",
+                           "<svg>555 12346</svg>", "020&#160;7946 55"],
+}
+
+
+@pytest.mark.parametrize("name", WRITTEN)
+def test_finds_in_written_text_are_those_of_the_sql(session, tmp_path, name):
+    import __spark_entry__ as entry
+    import compare
+
+    documents = [(i, text, f"s{i % 2}", "en", 1) for i, text in enumerate(WRITTEN[name])]
+    pages = [(i, f"https://h{i % 2}.net/p", f"<html><head><title>T</title></head><body><p>{text}</p></body></html>") for i, text in enumerate(WRITTEN[name])]
+    for table, rows, schema in (("documents", documents, "doc_id bigint, text string, source string, lang string, n_chars int"),
+                                ("pages", pages, "page_id bigint, url string, html string")):
+        session.createDataFrame(rows, schema).toPandas().to_parquet(str(tmp_path / f"{table}.parquet"))
+    assert compare.compare(session, compare.duck(str(tmp_path)), str(tmp_path), name, entry.queries()[name], entry.oracle_sql()[name]) is None
