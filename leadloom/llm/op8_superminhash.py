@@ -13,8 +13,8 @@ Groups of copies never become all pairs:
     are compared with the pivot only, on their full shingle sets.
 3.  Members of linked pivots that union-find has not yet joined are compared
     with each other if their sizes, what each exactly shares with a
-    reference pivot and a 1,024-bit signature sketch allow the similarity; those few
-    pairs are confirmed on full sets too.
+    reference pivot, a parity map of their sets and a 1,024-bit signature
+    sketch allow the similarity; those few pairs are confirmed on full sets too.
 """
 
 from __future__ import annotations
@@ -98,7 +98,9 @@ def signatures(sets: list[np.ndarray], m: int = SLOTS, most: int = 30_000) -> np
 
 
 _SIGN = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()),
-                   ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+                   ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))])
+#: Bits of the parity map; the fewer members a set has, the nearer the map's distance is to the sets'.
+PARITY = 1024
 
 
 _SALTS = (0x1234567, 0x89ABCDEF01)
@@ -114,6 +116,16 @@ def _lists(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(np.arange(0, flat.size + 1, rows.shape[1], dtype=np.int32), flat)
 
 
+def _parity(members: np.ndarray) -> np.ndarray:
+    """For each of ``PARITY`` cells whether an odd number of members falls into it, packed into words.
+
+    A cell differs only where the two sets do, so two maps differ in no more
+    bits than the sets have members of their own.
+    """
+    cells = np.bincount((members >> U64(17)).astype(np.int64) & (PARITY - 1), minlength=PARITY)
+    return np.packbits((cells & 1).astype(np.uint8)).view(U64)
+
+
 def _sign(batches: Iterator[pa.RecordBatch], size: int, m: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
@@ -130,7 +142,7 @@ def _sign(batches: Iterator[pa.RecordBatch], size: int, m: int, bands: int, rows
             yield pa.record_batch([
                 batch.column("doc_id").slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()),
                 *[pa.array(_set_hash(sets, salt)) for salt in _SALTS], _lists(band),
-                _lists(np.concatenate(planes, axis=1).view(U64))], schema=_SIGN)
+                _lists(np.concatenate(planes, axis=1).view(U64)), _lists(np.stack([_parity(s) for s in sets]))], schema=_SIGN)
 
 
 def _shingles(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -197,7 +209,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, slots:
         .where("doc_id is not null")
     signed = stage.put(src.mapInArrow(partial(_sign, size=shingle, m=slots, bands=bands, rows=rows),
                                       "doc_id long, n long, set_a long, set_b long, bands array<long>, "
-                                      "sketch array<long>"), "signed")
+                                      "sketch array<long>, parity array<long>"), "signed")
     key = ["n", "set_a", "set_b"]
     one = stage.put(signed.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("k"))
                     .select("doc_id", "k.*"), "documents")
@@ -205,7 +217,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, slots:
                                                              F.count(F.lit(1)).alias("copies")), "classes")
     heads = stage.put(signed.join(classes.select(F.col("class_id").alias("doc_id"), *key, "copies"),
                                   ["doc_id", *key]).dropDuplicates(["doc_id"])
-                      .select(F.col("doc_id").alias("id"), "n", "set_a", "copies", "bands", "sketch"), "heads")
+                      .select(F.col("doc_id").alias("id"), "n", "set_a", "copies", "bands", "sketch", "parity"), "heads")
 
     banded = heads.select("id", F.struct("copies", (-F.col("id")).alias("neg")).alias("rank"),
                           F.explode("bands").alias("band"))
@@ -257,20 +269,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, slots:
     rest = stage.put(placed.select("meeting", "id", "group").distinct().join(mixed, "meeting")
                      .join(seen.select(F.col("a").alias("reference"), F.col("b").alias("id"), "common"),
                            ["reference", "id"], "left")
-                     .join(heads.select("id", "n", "sketch"), "id"), "rest")
+                     .join(heads.select("id", "n", "sketch", "parity"), "id"), "rest")
     most = most_mismatches(slots, percent, miss)
-    fields = ("id", "group", "n", "sketch", "common")
+    fields = ("id", "group", "n", "sketch", "parity", "common")
     x = rest.select("meeting", *[F.col(c).alias(f"{c}_a") for c in fields])
     y = rest.select("meeting", *[F.col(c).alias(f"{c}_b") for c in fields])
     # what two documents share lies in the reference, in both, or outside it, in both
     shared = (F.least("common_a", "common_b")
               + F.least(F.col("n_a") - F.col("common_a"), F.col("n_b") - F.col("common_b")))
     apart = F.lit(100) * shared < F.lit(percent) * (F.col("n_a") + F.col("n_b") - shared)
+    # sets of the similarity differ in at most (100 - percent) of (100 + percent) parts of their sizes' sum; no pair is lost by this
+    own = sum((F.bit_count(F.col("parity_a")[k].bitwiseXOR(F.col("parity_b")[k])) for k in range(PARITY // 64)), F.lit(0))
+    differ = F.lit(100 + percent) * own > F.lit(100 - percent) * (F.col("n_a") + F.col("n_b"))
     left_over = (x.join(y, (x["meeting"] == y["meeting"]) & (F.col("id_a") < F.col("id_b"))
                         & (F.col("group_a") != F.col("group_b"))
                         & (F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b"))
                         & ~F.coalesce(apart, F.lit(False))
-                        & (_mismatches("sketch_a", "sketch_b", slots // 32) <= most))
+                        & ~differ & (_mismatches("sketch_a", "sketch_b", slots // 32) <= most))
                  .select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
     known = seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     left_over = stage.put(left_over.join(known, ["a", "b"], "left_anti"), "left_over")

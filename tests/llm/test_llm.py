@@ -101,6 +101,38 @@ def test_near_duplicates_find_pairs_with_unlike_sketches(spark):
     assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)}
 
 
+def test_near_copies_below_the_threshold_are_told_apart_without_their_sets(spark, monkeypatch):
+    from leadloom.llm import op8_superminhash as O
+
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(80)]
+    # nine of 80 words differ per document, so two documents of one word a shingle share some 0.65
+    rows = [(i, " ".join(f"v{i}_{k}" if k in own else w for k, w in enumerate(base)))
+            for i in range(60) for own in [set(rng.permutation(80)[:9].tolist())]]
+    rows += [(100, " ".join(base)), (101, " ".join([*base[:70], "x"]))]
+    counts, put = {}, O.Stage.put
+
+    def counting(self, df, name):
+        out = put(self, df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(O.Stage, "put", counting)
+    got = O.near_duplicates(docs_of(spark, rows), 1, 85, bands=64, rows=2).collect()
+    assert {tuple(r) for r in got} == jaccard_groups(rows, 1, 85)
+    assert counts["members"] > 60 and counts["left_over"] <= 60
+
+
+def test_parity_maps_never_differ_more_than_their_sets():
+    from leadloom.llm.op8_superminhash import U64, _parity, mix
+
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 50, 900, 20_000):
+        both, a, b = (mix(rng.integers(0, 2 ** 63, k).astype(U64)) for k in (n, n // 3, n // 5))
+        apart = _parity(np.concatenate([both, a])) ^ _parity(np.concatenate([both, b]))
+        assert sum(int(w).bit_count() for w in apart) <= len(a) + len(b)
+
+
 def test_superminhash_estimates_similarity():
     from leadloom.llm.op8_superminhash import U64, signatures
 
