@@ -11,8 +11,7 @@ import threading
 import time
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 from pyspark.sql.types import StructType
 
@@ -68,7 +67,11 @@ def request_rate(log: DataFrame, ts: str = "ts", width: str = "1 minute", latene
 
 
 class _Ordered(StatefulProcessor):
-    """One value of state per key, fed with a batch's rows in (ts, id) order."""
+    """One value of state per key, fed with a batch's rows in (ts, id) order.
+
+    Keys are many and bring few rows each, so rows are plain ones: a frame per
+    key would cost more than the key's work.  State is read and written once.
+    """
 
     state_schema = "value double"
 
@@ -78,17 +81,27 @@ class _Ordered(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("value", self.state_schema)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(self.order)
-        start = self.state.get()[0] if self.state.exists() else None
-        out, end = self.fold(key, pdf, start)
-        if end is not None:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # nulls last
+        rows = sorted(rows, key=lambda r: [(r[c] is None, r[c]) for c in self.order])
+        found = self.state.get()
+        start = found[0] if found is not None else None
+        out, end = self.fold(rows, start)
+        if end is not None and end != start:
             self.state.update((float(end),))
-        yield out[self.output]
-
-    def fold(self, key, pdf: pd.DataFrame, start: float | None):
+        self.moved(start, end)
+        made = Row(*self.output)
+        carried = [rows[0].__fields__.index(c) for c in self.output if c in rows[0].__fields__]
+        for row, more in out:
+            yield made(*[row[i] for i in carried], *more)
+
+    def fold(self, rows: list[Row], start: float | None) -> tuple[list[tuple[Row, tuple]], float | None]:
+        """Rows of the output, each with what is added to it, and the new state."""
         raise NotImplementedError
 
+    def moved(self, before: float | None, after: float | None) -> None:
+        pass
+
     def close(self) -> None:
         pass
 
@@ -100,12 +113,12 @@ class DelayState(_Ordered):
         super().__init__(order, output)
         self.base = base
 
-    def fold(self, key, pdf, start):
+    def fold(self, rows, start):
         value, out = self.base if start is None else start, []
-        for failed in pdf["failed"].astype(object):
-            value = next_delay(value, failed, self.base)
-            out.append(round(value, 6))
-        return pdf.assign(delay=out), value
+        for row in rows:
+            value = next_delay(value, row["failed"], self.base)
+            out.append((row, (round(value, 6),)))
+        return out, value
 
 
 class StrikeState(_Ordered):
@@ -118,16 +131,15 @@ class StrikeState(_Ordered):
         super().__init__(order, output)
         self.limit = limit
 
-    def fold(self, key, pdf, start):
+    def fold(self, rows, start):
         burned = start is not None and start < 0
-        count = 0 if start is None else int(-start - 1 if burned else start)
-        strikes, flags = [], []
-        for kind in pdf["outcome"]:
+        count, out = 0 if start is None else int(-start - 1 if burned else start), []
+        for row in rows:
+            kind = row["outcome"]
             count = count + 1 if kind == "strike" else 0 if kind == "reset" else count
             burned = burned or count >= self.limit
-            strikes.append(count)
-            flags.append(burned)
-        return pdf.assign(strikes=strikes, burned=flags), -count - 1 if burned else count
+            out.append((row, (count, burned)))
+        return out, -count - 1 if burned else count
 
 
 class FetchGate(_Ordered):
@@ -151,32 +163,31 @@ class FetchGate(_Ordered):
         """Milliseconds at which a fetch is older than the TTL."""
         return int((last + self.ttl) // 1000) + 1
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before = self.state.get()[0] if self.state.exists() else None
-        yield from super().handleInputRows(key, rows, timerValues)
-        last = self.state.get()[0]
-        if last != before:
+    def moved(self, before, after) -> None:
+        if after != before:
             if before is not None:
                 self.handle.deleteTimer(self._ends(before))
-            self.handle.registerTimer(self._ends(last))
+            self.handle.registerTimer(self._ends(after))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists() and self._ends(self.state.get()[0]) <= expiredTimerInfo.getExpiryTimeInMs():
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        found = self.state.get()
+        if found is not None and self._ends(found[0]) <= expiredTimerInfo.getExpiryTimeInMs():
             self.state.clear()
-        yield pd.DataFrame({c: [] for c in self.output})
+        return iter(())
 
-    def fold(self, key, pdf, start):
-        last, keep = start, []
-        for us in pdf["ts_us"]:
-            fresh = last is None or us - last > self.ttl
-            last = us if fresh else last
-            keep.append(fresh)
-        return pdf[keep], last
+    def fold(self, rows, start):
+        last, out = start, []
+        for row in rows:
+            us = row["ts_us"]
+            if last is None or us - last > self.ttl:
+                last = us
+                out.append((row, ()))
+        return out, last
 
 
 def _stateful(rows: DataFrame, key: str, processor: _Ordered, schema: StructType | str, time_mode: str = "None") -> DataFrame:
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return rows.groupBy(key).transformWithStateInPandas(
+    return rows.groupBy(key).transformWithState(
         statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode=time_mode)
 
 

@@ -53,3 +53,36 @@ def test_observed_counters_equal_each_batch(session, tmp_path):
                   F.count_if("from_cache").alias("cache_hits"), F.sum("bytes").alias("bytes")).head().asDict() for p in parts]
     assert [{k: v for k, v in r.items() if k != "batch"} for r in live.rows] == want
     assert live.total()["requests"] == 131
+
+
+def test_a_key_reads_its_state_once_and_writes_it_where_it_moves():
+    from pyspark.sql import Row
+
+    from leadloom.streaming.jobs import FetchGate, StrikeState
+
+    class Store:
+        def __init__(self, value):
+            self.value, self.calls = value, []
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+    def fed(processor, store, rows):
+        processor.state = store
+        return [tuple(r) for r in processor.handleInputRows((1,), iter(rows), None)]
+
+    strikes = StrikeState(["ts", "id"], ["host", "ts", "id", "outcome", "strikes", "burned"], 3)
+    rows = [Row(host=1, ts=t, id=i, outcome=o) for t, i, o in ((2, None, "strike"), (2, 1, "strike"), (1, 5, "reset"), (None, 3, None))]
+    store = Store(None)
+    assert fed(strikes, store, rows) == [(1, 1, 5, "reset", 0, False), (1, 2, 1, "strike", 1, False),
+                                         (1, 2, None, "strike", 2, False), (1, None, 3, None, 2, False)]
+    assert store.calls == ["get", "update"] and store.value == (2.0,)
+
+    gate = FetchGate(["ts_us", "id"], ["host", "id", "ts_us"], 10)
+    store = Store((0.0,))
+    assert fed(gate, store, [Row(host=1, id=7, seen="x", ts_us=10_000_000)]) == [] and store.calls == ["get"]
