@@ -6,6 +6,8 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import checkpoint_dir
@@ -61,6 +63,19 @@ def slices(texts: list, most_bytes: int = 2_000_000) -> Iterator[tuple[int, int]
         yield start, len(texts)
 
 
+def slices_of(texts: pa.Array, most_bytes: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """As ``slices``, for a column that has not become Python strings: a batch need not do so as a whole."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    start = size = 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > start and size + n > most_bytes:
+            yield start, i
+            start, size = i, 0
+        size += n
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 # Multipliers of the splitmix64 finaliser.
 _GOLDEN, _M1, _M2 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 

@@ -23,14 +23,15 @@ from __future__ import annotations
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
-from itertools import chain
+from functools import cached_property, partial
+from itertools import accumulate, chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Stage, slices
+from .common import Stage, slices_of
 
 SPACE = "▁"
 #: What an unknown character costs below the lowest score, as the library has it.
@@ -44,7 +45,6 @@ class Pieces:
     byte_ids: list[int]                      # ids of the 256 byte pieces, or none
     unknown: int
     joined: frozenset[str]                   # pairs of characters that some piece holds side by side
-    reach: dict[str, int]                    # longest piece that begins with a pair
     texts: list[bytes]                       # what each id decodes to; control pieces to nothing
     longest: int
 
@@ -52,6 +52,16 @@ class Pieces:
     def unknown_score(self) -> float:
         return min(s for s, _ in self.scores.values()) - UNKNOWN_COST
 
+    @cached_property
+    def finder(self) -> ahocorasick.Automaton:
+        """All pieces of two characters or more with rank (lowest first) and length; one pass over a word gives its edges."""
+        found = ahocorasick.Automaton()
+        for piece, (score, _) in self.scores.items():
+            if len(piece) > 1:
+                found.add_word(piece, (-score, len(piece)))
+        found.make_automaton()
+        return found
+
     def fallback(self, char: str) -> list[int]:
         return [self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")] if self.byte_ids else [self.unknown]
 
@@ -78,12 +88,8 @@ def load_pieces(model_file: str) -> Pieces:
             texts.append(piece.replace(SPACE, " ").encode("utf-8", "surrogatepass"))
             if re.search(f"[^{SPACE}]{SPACE}", piece):
                 raise ValueError(f"piece {piece!r} spans words; words could not be segmented one by one")
-    joined, reach = set(), {}
-    for piece in scores:
-        joined.update(piece[i:i + 2] for i in range(len(piece) - 1))
-        if len(piece) > 1:
-            reach[piece[:2]] = max(reach.get(piece[:2], 0), len(piece))
-    return Pieces(scores, byte_ids, model.unk_id(), frozenset(joined), reach, texts, max(map(len, scores)))
+    joined = frozenset(piece[i:i + 2] for piece in scores for i in range(len(piece) - 1))
+    return Pieces(scores, byte_ids, model.unk_id(), joined, texts, max(map(len, scores)))
 
 
 def words_of(text: str) -> list[str]:
@@ -139,13 +145,8 @@ def merge(word: str, pieces: Pieces) -> tuple[int, ...]:
     A piece ranks after the two it was merged from, so when an edge comes up all
     merges that could make its parts are done.
     """
-    n, reach, scores = len(word), pieces.reach, pieces.scores
-    edges = []
-    for start in range(n - 1):
-        for end in range(start + 2, min(n, start + reach.get(word[start:start + 2], 0)) + 1):
-            hit = scores.get(word[start:end])
-            if hit is not None:
-                edges.append((-hit[0], start, end))
+    n, scores = len(word), pieces.scores
+    edges = [(rank, last + 1 - size, last + 1) for last, (rank, size) in pieces.finder.iter(word)]
     edges.sort()
     after = list(range(1, n + 1))     # where the piece that begins here ends; 0 once joined to an earlier one
     for _, start, end in edges:
@@ -230,7 +231,7 @@ def with_bytes(ids: list[int], pieces: Pieces) -> tuple[int, ...]:
     return tuple(chain.from_iterable([i] if i >= 0 else pieces.fallback(chr(-1 - i)) for i in ids))
 
 
-def lexicon(docs: DataFrame, pieces: Pieces, most_words: int, most_chars: int, kind: str) -> dict[str, array]:
+def lexicon(docs: DataFrame, pieces: Pieces, most_words: int, most_chars: int, kind: str) -> dict[str, bytes]:
     """Segmentations of the most frequent words: at most ``most_words``, of at most ``most_chars`` characters."""
     words = docs.select(F.explode(F.split(F.col("text").cast("string"), " ", -1)).alias("part")).where("part <> ''")
     stage = Stage(docs.sparkSession, "lexicon")
@@ -249,7 +250,7 @@ def lexicon(docs: DataFrame, pieces: Pieces, most_words: int, most_chars: int, k
         return {}
     chosen = counted.where(F.col("n") >= least).select(F.concat(F.lit(SPACE), "part").alias("word"))
     rows = segment_words(chosen, pieces, kind).toArrow()
-    return {w: array("i", with_bytes(ids, pieces)) for w, ids in zip(rows.column("word").to_pylist(), rows.column("ids").to_pylist())}
+    return {w: array("i", with_bytes(ids, pieces)).tobytes() for w, ids in zip(rows.column("word").to_pylist(), rows.column("ids").to_pylist())}
 
 
 def _text(ids: list[int], texts: list[bytes]) -> str:
@@ -257,43 +258,64 @@ def _text(ids: list[int], texts: list[bytes]) -> str:
     return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
-def _encode(batches: Iterator[pa.RecordBatch], shared, keep: int, kind: str, verify: bool) -> Iterator[pa.RecordBatch]:
-    pieces, known = shared.value
-    unknown = pieces.unknown_score
-    memory: dict[str, array] = {}
-    known_get, memory_get = known.get, memory.get
-
-    def remember(text: str, found: array) -> array:
-        if len(text) <= 64:
-            if len(memory) >= keep:
-                memory.clear()
-            memory[text] = found
+class _Paths(dict):
+    """The ids of each word as bytes of 32-bit numbers: those of the lexicon, and what a task finds, for a bounded number of words."""
+
+    def __init__(self, pieces: Pieces, known: dict[str, bytes], keep: int, kind: str):
+        super().__init__(known)
+        self.pieces, self.known, self.kind, self.most = pieces, known, kind, len(known) + keep
+        self.unknown = pieces.unknown_score
+
+    def _of(self, part: str) -> bytes:
+        ids = merge(part, self.pieces) if self.kind == "bpe" else segment(part, self.pieces, self.unknown)
+        return array("i", ids).tobytes()
+
+    def _remember(self, word: str, found: bytes) -> bytes:
+        if len(word) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+                self.update(self.known)
+            self[word] = found
         return found
 
-    def path(word: str) -> array:
-        out = array("i")
-        parts = parts_of(word, pieces.joined)
-        for part in parts:
-            found = memory_get(part)
-            if found is None:
-                found = array("i", merge(part, pieces) if kind == "bpe" else segment(part, pieces, unknown))
-                if len(parts) > 1:
-                    remember(part, found)
-            out.extend(found)
-        return remember(word, out)
+    def __missing__(self, word: str) -> bytes:
+        if len(word) <= 64:
+            return self._remember(word, self._of(word))
+        # texts without blanks: their parts are many, short and repeated
+        parts = parts_of(word, self.pieces.joined)
+        return b"".join([self.get(part) or self._remember(part, self._of(part)) for part in parts])
+
+
+def _same(texts: list[str | None], ids: np.ndarray, ends: list[int], decoded: pa.Array, table: list[bytes]) -> list[bool]:
+    """Whether the ids of each text, all of them decoded again, give that text."""
+    pieces = decoded.take(pa.array(ids))
+    at, raw = np.zeros(1, np.int64), b""
+    if len(pieces):
+        _, offsets, data = pieces.buffers()
+        at = np.frombuffer(offsets, np.int64, len(pieces) + 1, pieces.offset * 8)
+        raw = memoryview(data) if data is not None else b""
+    out = []
+    for text, a, b in zip(texts, ends, ends[1:]):
+        own = bytes(raw[at[a]:at[b]])
+        # bytes that differ can still decode to the text where it holds replacement characters
+        out.append((own[1:] if own[:1] == b" " else own) == (text or "").encode("utf-8", "surrogatepass")
+                   or _text(ids[a:b].tolist(), table) == (text or ""))
+    return out
+
 
+def _encode(batches: Iterator[pa.RecordBatch], shared, keep: int, kind: str, verify: bool) -> Iterator[pa.RecordBatch]:
+    pieces, known = shared.value
+    path = _Paths(pieces, known, keep, kind).__getitem__
+    decoded = pa.array(pieces.texts, pa.large_binary()) if verify else None
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for i, j in slices(texts, 1_000_000):
-            flat, ends, same = array("i"), [0], []
-            for text in texts[i:j]:
-                for word in words_of(text) if text else ():
-                    flat.extend(known_get(word) or memory_get(word) or path(word))
-                if verify:
-                    same.append(_text(flat[ends[-1]:].tolist(), pieces.texts) == (text or ""))
-                ends.append(len(flat))
-            ids = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.frombuffer(flat, np.int32)))
-            checked = [pa.array(same, pa.bool_())] if verify else []
+        column = batch.column("text")
+        for i, j in slices_of(column, 1_000_000):
+            texts = column.slice(i, j - i).to_pylist()
+            found = [b"".join(map(path, words_of(text))) if text else b"" for text in texts]
+            ends = [0, *accumulate(len(f) // 4 for f in found)]
+            flat = np.frombuffer(b"".join(found), np.int32)
+            checked = [pa.array(_same(texts, flat, ends, decoded, pieces.texts), pa.bool_())] if verify else []
+            ids = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(flat))
             yield pa.record_batch([*[c.slice(i, j - i) for c in batch.columns], ids, *checked],
                                   names=[*batch.schema.names, "ids", *["round_trip"] * verify])
 

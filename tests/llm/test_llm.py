@@ -520,3 +520,34 @@ def test_pipeline_stages(spark):
             assert set(named) == {i for i, _, _, kept in jaccard_groups(rows, 5, 80) if kept}
     out = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert len(out) == docs.count() and all(r.round_trip for r in out)
+
+
+def test_pieces_look_up_each_place_once():
+    """A word's edges come from one pass over it, and texts are decoded from their ids as a whole."""
+    from dataclasses import replace
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from leadloom.llm.op4_piece_lattice import SPACE, _encode, load_pieces, merge
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            Counted.asked += 1
+            return super().get(*a)
+
+    pieces = load_pieces(MODEL)
+    counted = replace(pieces, scores=Counted(pieces.scores))
+    word = SPACE + "unbelievableinternationalization"
+    assert merge(word, counted) == merge(word, pieces)
+    assert Counted.asked <= len(word)
+    texts = ["a word", None, "", "x" * 200 + "é\U0001f600", "mark ▁ here", " two  blanks ", "bad � sign", "same same same"]
+    batch = pa.record_batch([pa.array(texts)], names=["text"])
+    # the lexicon's own ids are decoded, too: a wrong one shows
+    known = {SPACE + "word": np.array([pieces.scores[SPACE + "a"][1]], np.int32).tobytes()}
+    got = [pa.Table.from_batches(_encode(iter([batch.slice(1)]), SimpleNamespace(value=(pieces, k)), 2, "bpe", True)) for k in ({}, known)]
+    assert got[0].equals(got[1]) and got[0]["round_trip"].to_pylist() == [True, True, True, False, True, True, True]
+    wrong = pa.Table.from_batches(_encode(iter([batch]), SimpleNamespace(value=(pieces, known)), 2, "bpe", True))
+    assert wrong["round_trip"].to_pylist() == [False, *got[0]["round_trip"].to_pylist()]
