@@ -9,6 +9,8 @@ their own, for text columns and single families.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -28,9 +30,25 @@ URL_IN_TEXT = (r"(?iU)\bhttps?://\S+|\bwww\.\S+|"
                r"\b(?=\w)(?<=(?:^|\s)[^\w\s]{0,32})\S+\.(?:com|org|net|io)/\S*")
 #: What any match of the pattern above contains.
 URL_SIGN = r"(?iU)://|www\.|\.(?:com|org|net|io)/"
-#: What any spelled-out address contains, per pattern.
-MARK_SIGN = r"(?iU)@|[(\[{]\s*at\s*[)\]}]"
-WORD_SIGN = r"(?iU)[\s(\[{](?:dot|punkt|nokta|punto)[\s)\]}]"
+#: A letter, digit or sign of a name, in any case (four letters outside ASCII fold to one inside), listed one by one:
+#: the JVM looks those up in a table, while it folds each text character anew for a range.
+_NAME = "(?-i:[" + "".join(map(chr, (*range(48, 58), *range(65, 91), *range(97, 123)))) + "._%+\\-ſıİK])"
+
+
+def _from_mark(pattern: str) -> str:
+    """A spelled-out pattern that is sought from its mark; groups 1 and 2 as before.
+
+    No mark begins with a name character, so the name is what stands before
+    the mark: its whole run, or the last 64 characters, or what the find before left.
+    """
+    rest = pattern.removeprefix("(?iU)([A-Za-z0-9._%+-]{1,64}?)")
+    at = rest.index("((?:[A-Za-z0-9-]")
+    mark, domain = rest[:at], rest[at:]
+    before = rf"(?:\G|(?<!{_NAME})|(?={_NAME}{{64}}(?!{_NAME})))({_NAME}{{1,64}}+)"
+    return rf"(?iU)(?=[\s@(\[{{])(?<={_NAME})(?!\G)(?={mark})(?<={before}){mark}{domain}"
+
+
+SPELLED_MARK, SPELLED_WORD = _from_mark(rules.OBFUSCATED_MARK), _from_mark(rules.OBFUSCATED_WORD)
 NONE = "array<string>"
 SOCIAL_HOSTS = {kind: (f"{kind}.com/",) for kind in rules.SOCIAL_PATTERNS} | {
     "twitter": ("twitter.com/", "x.com/"), "telegram": ("t.me/", "telegram.me/"),
@@ -65,10 +83,13 @@ def plain_emails(text: Column, own_borders: bool = False) -> Column:
 
 def obfuscated_emails(visible: Column) -> Column:
     """Addresses written as ``name (at) domain (dot) tld``."""
+    # what any find contains, by plain searches
+    mark = reduce(or_, [visible.contains(c) for c in "@([{"])
+    word = reduce(or_, [F.lower(visible).contains(w) for w in ("dot", "punkt", "nokta", "punto")])
     found = []
-    for pattern, sign in ((rules.OBFUSCATED_MARK, MARK_SIGN), (rules.OBFUSCATED_WORD, WORD_SIGN)):
+    for pattern, sign in ((SPELLED_MARK, mark), (SPELLED_WORD, word)):
         pairs = F.arrays_zip(_all(visible, pattern, 1).alias("l"), _all(visible, pattern, 2).alias("d"))
-        found.append(_where(visible.rlike(sign), F.filter(
+        found.append(_where(sign, F.filter(
             F.transform(pairs, lambda p: _spelled_out(p["l"], p["d"])), lambda e: e.isNotNull())))
     return F.concat(*found)
 

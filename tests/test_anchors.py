@@ -207,3 +207,19 @@ def test_finds_in_written_text_are_those_of_the_sql(session, tmp_path, name):
                                 ("pages", pages, "page_id bigint, url string, html string")):
         session.createDataFrame(rows, schema).toPandas().to_parquet(str(tmp_path / f"{table}.parquet"))
     assert compare.compare(session, compare.duck(str(tmp_path)), str(tmp_path), name, entry.queries()[name], entry.oracle_sql()[name]) is None
+
+
+def test_spelled_out_search_from_marks(session):
+    """Sought from their marks, spelled-out addresses are those of the rules' patterns, long runs and neighbours included."""
+    rng = random.Random(5)
+    bits = ["a", "b.c", "_x", "@", " at ", "(at)", "[ AT ]", " dot ", "(dot)", ".", ".com", "-", "com", "x" * 70, "y" * 64, " ", "\n",
+            "ſ", "K", "ı", "é", "日本", "punkt", "%", " arroba ", "9z", "("]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 40))) for _ in range(3000)]
+    texts += ["a@b.com@c.de", "a@b.com-x@y.de", "x" * 64 + " (at) b.de", "x" * 65 + " at b dot de", None, "", "@b.de"]
+    df = session.createDataFrame([(t,) for t in texts], "t string")
+    t, found = F.col("t"), 0
+    for rule, ours in ((rules.OBFUSCATED_MARK, C.SPELLED_MARK), (rules.OBFUSCATED_WORD, C.SPELLED_WORD)):
+        for r in df.select("t", *[C._all(t, p, g).alias(f"{n}{g}") for n, p in (("a", rule), ("b", ours)) for g in (1, 2)]).collect():
+            assert (r.a1, r.a2) == (r.b1, r.b2), r.t
+            found += len(r.a1 or ())
+    assert found > 100
