@@ -8,13 +8,15 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Runtime settings the operators need for right results.
+#: Runtime settings the operators need for right results and bounded memory.
 REQUIRED = {
     "spark.sql.session.timeZone": "UTC",
     # repeated JSON keys: the last one wins
     "spark.sql.variant.allowDuplicateKeys": "true",
     # recursive queries are bounded by their own depth, not by a number of rows
     "spark.sql.cteRecursionRowLimit": "-1",
+    # batches for Python end by size: long texts need not wait for 10,000 rows, which would all be in memory twice
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 

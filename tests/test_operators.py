@@ -182,3 +182,23 @@ def test_lead_rows_list_every_contact(session):
     leads = session.createDataFrame([("hub.com", "H", 50.0, 1)], "domain string, name string, score double, pages_crawled int")
     flat, = L.export_rows(leads, L.lead_documents(contacts)).collect()
     assert flat.phones.split("; ") == row.phones
+
+
+def test_batches_for_python_end_by_size(session):
+    """Long texts reach a Python task in batches of a few MB, and few pages at a time become Markdown."""
+    import pyarrow as pa
+
+    from leadloom.operators.rendering import PAGES, markdown_of
+    from leadloom.session import configure
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    configure(session)
+    pages = session.range(0, 2000, 1, 1).select(F.col("id").alias("page_id"), F.repeat(F.lit("<p>long</p>"), 2000).alias("html"))
+    got = pages.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in got) == 2000 and max(r.size for r in got) < 9_000_000
+    narrow = session.range(0, 3 * PAGES + 1, 1, 1).select(F.col("id").alias("page_id"), F.format_string("<p>page %d</p>", "id").alias("html"))
+    assert {r.page_id: r.markdown for r in markdown_of(narrow, ["page_id"]).collect()} == {
+        i: f"page {i}\n" for i in range(3 * PAGES + 1)}
