@@ -27,12 +27,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import U64, Stage, mix, slices
+from .common import U64, Stage, mix, slices_of
 
 ORDER = 5
 #: Probability of a character that no language has seen: one of so many.
 ALPHABET = 100_000
 UNKNOWN = "und"
+#: Bytes of text that are Python strings at a time.
+SLICE = 1_000_000
 _RUNS, _LETTERS = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
 
 
@@ -107,10 +109,12 @@ def _gram_counts(batches: Iterator[pa.RecordBatch], flush: int) -> Iterator[pa.R
         words.clear()
 
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            words.setdefault(lang, Counter()).update(text.split())
-        if sum(map(len, words.values())) >= flush:
-            yield from counted()
+        column = batch.column("text")
+        for i, j in slices_of(column, SLICE):
+            for lang, text in zip(batch.column("lang").slice(i, j - i).to_pylist(), column.slice(i, j - i).to_pylist()):
+                words.setdefault(lang, Counter()).update(text.split())
+            if sum(map(len, words.values())) >= flush:
+                yield from counted()
     yield from counted()
 
 
@@ -333,9 +337,9 @@ def _score(batches: Iterator[pa.RecordBatch], model, usual: np.ndarray, spread:
     scorer = _Scorer(m)
     names = pa.array([*m.langs, UNKNOWN])
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for i, j in slices(texts):
-            t = scorer.totals(texts[i:j])
+        column = batch.column("text")
+        for i, j in slices_of(column, SLICE):
+            t = scorer.totals(column.slice(i, j - i).to_pylist())
             chars, letters = t[:, -2], t[:, -1]
             known = (letters > 0) & bool(m.langs)
             if m.langs:
@@ -377,10 +381,10 @@ def _deviations(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordB
     scorer = _Scorer(m)
     found: Counter = Counter()
     for batch in batches:
-        texts = batch.column("text").to_pylist()
+        column = batch.column("text")
         own = np.array([at.get(x, -1) for x in batch.column("lang").to_pylist()], np.int64)
-        for i, j in slices(texts):
-            t, lang = scorer.totals(texts[i:j]), own[i:j]
+        for i, j in slices_of(column, SLICE):
+            t, lang = scorer.totals(column.slice(i, j - i).to_pylist()), own[i:j]
             ok = (t[:, -1] > 0) & (lang >= 0)
             t, lang = t[ok], lang[ok]
             entropy = -t[np.arange(len(t)), lang] / t[:, -2]

@@ -551,3 +551,25 @@ def test_pieces_look_up_each_place_once():
     assert got[0].equals(got[1]) and got[0]["round_trip"].to_pylist() == [True, True, True, False, True, True, True]
     wrong = pa.Table.from_batches(_encode(iter([batch]), SimpleNamespace(value=(pieces, known)), 2, "bpe", True))
     assert wrong["round_trip"].to_pylist() == [False, *got[0]["round_trip"].to_pylist()]
+
+
+def test_grams_are_handed_on_within_a_batch():
+    """Words are counted in slices of a batch, so a batch of long texts does not hold all of them; the counts stay."""
+    import pyarrow as pa
+
+    from leadloom.llm.op3_kneser_ney import _gram_counts
+
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    rng = np.random.default_rng(3)
+    texts = [" ".join("".join(w) for w in rng.choice(letters, (50_000, 9))) for _ in range(4)] + [""]
+    batch = pa.record_batch([pa.array(["x"] * 5), pa.array(texts)], names=["lang", "text"])
+    parts = list(_gram_counts(iter([batch]), 60_000))
+    assert len(parts) > 1
+    found = collections.Counter()
+    for p in parts:
+        found.update(dict(zip(p.column("gram").to_pylist(), p.column("n").to_pylist())))
+    want = collections.Counter()
+    for word in " ".join(texts).split():
+        padded = f"    {word} "
+        want.update(padded[i:i + 5] for i in range(len(padded) - 4))
+    assert found == want
