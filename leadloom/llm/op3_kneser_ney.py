@@ -16,15 +16,14 @@ calibration on training rows allows for its length.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import U64, Stage, mix, slices_of
@@ -33,9 +32,8 @@ ORDER = 5
 #: Probability of a character that no language has seen: one of so many.
 ALPHABET = 100_000
 UNKNOWN = "und"
-#: Bytes of text that are Python strings at a time.
+#: Bytes of text whose words are counted or scored at a time.
 SLICE = 1_000_000
-_RUNS, _LETTERS = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -43,10 +41,10 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def _letter_runs(token: str) -> list[str]:
-    """Runs of letters; the slower pattern only where other numbers than digits stand among them."""
-    runs = _RUNS.findall(token)
-    return runs if all(map(str.isalpha, runs)) else _LETTERS.findall(token)
+@cache
+def _is_letter() -> np.ndarray:
+    """Per code point whether it is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
 def _code_points(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -54,17 +52,26 @@ def _code_points(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
     Before a run stand ORDER - 1 borders, so each gram of the top order is full.
     """
-    pad = " " * (ORDER - 1)
-    texts, owner = [], []
-    for i, token in enumerate(tokens):
-        low = token.lower()
-        for run in (low,) if low.isalpha() else _letter_runs(low):
-            texts.append(f"{pad}{run} ")
-            owner.append(i)
-    if not texts:
+    # no token holds a line break, and lower() looks at no letter beyond one
+    low = np.frombuffer("\n".join(tokens).lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = np.flatnonzero(_is_letter()[low])
+    if not len(at):
         return np.empty(0, np.uint32), np.empty(0, np.int64)
-    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    return points, np.repeat(np.array(owner), [len(t) for t in texts])
+    first = np.append(True, np.diff(at) > 1)
+    run = np.cumsum(first) - 1
+    points = np.full(len(at) + ORDER * (run[-1] + 1), 32, np.uint32)
+    points[np.arange(len(at)) + ORDER * run + ORDER - 1] = low[at]
+    start = np.flatnonzero(first)
+    token = np.cumsum(low == 10)[at[start]]
+    return points, np.repeat(token, np.diff(np.append(start, len(at))) + ORDER)
+
+
+def _words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words of the texts; of each word its number among them and its text."""
+    split = pc.utf8_split_whitespace(texts)
+    coded = split.flatten().dictionary_encode()
+    n = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False)
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.repeat(np.arange(len(texts)), n)
 
 
 def _windows(points: np.ndarray) -> np.ndarray:
@@ -111,8 +118,11 @@ def _gram_counts(batches: Iterator[pa.RecordBatch], flush: int) -> Iterator[pa.R
     for batch in batches:
         column = batch.column("text")
         for i, j in slices_of(column, SLICE):
-            for lang, text in zip(batch.column("lang").slice(i, j - i).to_pylist(), column.slice(i, j - i).to_pylist()):
-                words.setdefault(lang, Counter()).update(text.split())
+            langs = batch.column("lang").slice(i, j - i)
+            for lang in langs.unique():
+                found, at, _ = _words(column.slice(i, j - i).filter(pc.equal(langs, lang)))
+                counter = words.setdefault(lang.as_py(), Counter())
+                counter.update(dict(zip(found, np.bincount(at, minlength=len(found)).tolist())))
             if sum(map(len, words.values())) >= flush:
                 yield from counted()
     yield from counted()
@@ -289,59 +299,60 @@ def build(rows: list[tuple[str, str, int]]) -> Model:
 
 
 class _Scorer:
-    """Scores of whole texts; the sums of each distinct token are computed once and kept while room lasts."""
+    """Scores of whole texts; the sums of each distinct word are computed once for the texts of a call."""
 
-    def __init__(self, model: Model, most: int = 400_000):
-        self.model, self.most = model, most
-        self.at: dict[str, int] = {}
-        self.sums = np.zeros((0, len(model.langs) + 2))
+    def __init__(self, model: Model):
+        self.model = model
 
-    def _learn(self, tokens: list[str]) -> None:
-        width = len(self.model.langs) + 2
-        parts = [self.sums]
+    def _sums(self, tokens: list[str]) -> np.ndarray:
+        """Per token: log probability per language, scored characters, letters."""
+        out = np.zeros((len(tokens), len(self.model.langs) + 2))
         for i in range(0, len(tokens), 20_000):
             some = tokens[i:i + 20_000]
-            new = np.zeros((len(some), width))
             points, owner = _code_points(some)
-            if len(points):
-                start = _windows(points)
-                of = owner[start + ORDER - 1]
-                logs = self.model.log_probs(points, start)
-                for j in range(logs.shape[1]):
-                    new[:, j] = np.bincount(of, logs[:, j], len(some))
-                new[:, -2] = np.bincount(of, minlength=len(some))
-                new[:, -1] = np.bincount(of, points[start + ORDER - 1] != 32, minlength=len(some))
-            parts.append(new)
-        for i, token in enumerate(tokens, len(self.at)):
-            self.at[token] = i
-        self.sums = np.concatenate(parts)
-
-    def totals(self, texts: list[str | None]) -> np.ndarray:
+            if not len(points):
+                continue
+            start = _windows(points)
+            of = owner[start + ORDER - 1]
+            logs = self.model.log_probs(points, start)
+            for j in range(logs.shape[1]):
+                out[i:i + len(some), j] = np.bincount(of, logs[:, j], len(some))
+            out[i:i + len(some), -2] = np.bincount(of, minlength=len(some))
+            out[i:i + len(some), -1] = np.bincount(of, points[start + ORDER - 1] != 32, minlength=len(some))
+        return out
+
+    def totals(self, texts: pa.Array | list[str | None]) -> np.ndarray:
         """Per text: summed log probability per language, scored characters, letters."""
-        split = [t.split() if t else [] for t in texts]
-        fresh = list({w for words in split for w in words if w not in self.at})
-        if len(self.at) + len(fresh) > self.most:
-            self.at, self.sums = {}, self.sums[:0]
-            fresh = list({w for words in split for w in words})
-        self._learn(fresh)
-        out = np.zeros((len(texts), self.sums.shape[1]))
-        for i, words in enumerate(split):
-            if words:
-                out[i] = self.sums[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))].sum(axis=0)
+        tokens, word, text = _words(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        sums = self._sums(tokens)
+        out = np.zeros((len(texts), sums.shape[1]))
+        for j in range(sums.shape[1]):
+            out[:, j] = np.bincount(text, sums[word, j], len(texts))
         return out
 
 
-def _score(batches: Iterator[pa.RecordBatch], model, usual: np.ndarray, spread: np.ndarray, z: float,
-           ) -> Iterator[pa.RecordBatch]:
+def _bins(t: np.ndarray, lang: np.ndarray, usual: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that calibrate, and their bin of (cross-entropy - usual)^2 * characters; 1,000 bins to a factor of e."""
+    row = np.flatnonzero((t[:, -1] > 0) & (lang >= 0))
+    t, lang = t[row], lang[row]
+    entropy = -t[np.arange(len(t)), lang] / t[:, -2]
+    x = np.maximum((entropy - usual[lang]) ** 2 * t[:, -2], 1e-9)
+    return row, np.rint(np.log(x) * 1000).astype(np.int64)
+
+
+def _score(batches: Iterator[pa.RecordBatch], model, keep: list[str]) -> Iterator[pa.RecordBatch]:
+    """The kept columns and the scores; of rows with a language to learn in ``__own`` also its number and the bin."""
     m: Model = model.value
+    at = {x: i for i, x in enumerate(m.langs)}
     scorer = _Scorer(m)
     names = pa.array([*m.langs, UNKNOWN])
     for batch in batches:
         column = batch.column("text")
         for i, j in slices_of(column, SLICE):
-            t = scorer.totals(column.slice(i, j - i).to_pylist())
+            t = scorer.totals(column.slice(i, j - i))
             chars, letters = t[:, -2], t[:, -1]
             known = (letters > 0) & bool(m.langs)
+            own, bin_, has = np.full(len(t), -1), np.zeros(len(t), np.int64), np.zeros(len(t), bool)
             if m.langs:
                 cross = -t[:, :-2] / np.maximum(chars, 1)[:, None]
                 best = cross.argmin(axis=1)
@@ -349,15 +360,24 @@ def _score(batches: Iterator[pa.RecordBatch], model, usual: np.ndarray, spread:
                 # posterior of a text of at most 20 characters of evidence, so that it stays below 1
                 weight = np.exp((low[:, None] - cross) * np.minimum(chars, 20)[:, None])
                 share = 1 / weight.sum(axis=1)
-                far = low > usual[best] * 1.25 + z * spread[best] / np.sqrt(np.maximum(chars, 1))
+                if "__own" in batch.schema.names:
+                    own = np.array([at.get(x, -1) for x in batch.column("__own").slice(i, j - i).to_pylist()], np.int64)
+                    row, bin_[row] = _bins(t, own, m.usual)
+                    has[row] = True
             else:
-                best, low, share, far = np.zeros(len(t), int), np.zeros(len(t)), np.zeros(len(t)), np.zeros(len(t), bool)
+                best, low, share = np.zeros(len(t), int), np.zeros(len(t)), np.zeros(len(t))
             pick = np.where(known, best, len(m.langs))
             yield pa.record_batch(
-                [*[batch.column(k).slice(i, j - i) for k in range(batch.num_columns)], names.take(pa.array(pick)),
+                [*[batch.column(k).slice(i, j - i) for k in keep], names.take(pa.array(pick)),
                  pa.array(np.where(known, share, 0.0)), pa.array(np.where(known, low, 0.0)),
-                 pa.array(~known | far)],
-                names=[*batch.schema.names, "lang_pred", "score", "cross_entropy", "rejected"])
+                 pa.array(chars), pa.array(pick + 1, pa.int32()),
+                 pa.array(own, pa.int32(), mask=~has), pa.array(bin_, mask=~has)],
+                names=[*keep, *_SCORES])
+
+
+#: Columns of ``_score`` after those of the table; the last four lead to ``rejected``.
+_SCORES = {"lang_pred": "string", "score": "double", "cross_entropy": "double",
+           "__chars": "double", "__pick": "int", "__lang": "int", "__bin": "long"}
 
 
 def fit(train: DataFrame) -> Model:
@@ -375,7 +395,7 @@ def fit(train: DataFrame) -> Model:
 
 
 def _deviations(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    """Rows by language and bin of (cross-entropy - usual)^2 * characters; 1,000 bins to a factor of e."""
+    """Rows by language and bin."""
     m: Model = model.value
     at = {x: i for i, x in enumerate(m.langs)}
     scorer = _Scorer(m)
@@ -384,17 +404,24 @@ def _deviations(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordB
         column = batch.column("text")
         own = np.array([at.get(x, -1) for x in batch.column("lang").to_pylist()], np.int64)
         for i, j in slices_of(column, SLICE):
-            t, lang = scorer.totals(column.slice(i, j - i).to_pylist()), own[i:j]
-            ok = (t[:, -1] > 0) & (lang >= 0)
-            t, lang = t[ok], lang[ok]
-            entropy = -t[np.arange(len(t)), lang] / t[:, -2]
-            x = np.maximum((entropy - m.usual[lang]) ** 2 * t[:, -2], 1e-9)
-            found.update(zip(lang.tolist(), np.rint(np.log(x) * 1000).astype(np.int64).tolist()))
+            row, bin_ = _bins(scorer.totals(column.slice(i, j - i)), own[i:j], m.usual)
+            found.update(zip(own[i:j][row].tolist(), bin_.tolist()))
     rows = list(found.items())
     yield pa.record_batch([pa.array([r[0][0] for r in rows], pa.int32()), pa.array([r[0][1] for r in rows], pa.int64()),
                            pa.array([r[1] for r in rows], pa.int64())], names=["lang", "bin", "rows"])
 
 
+def _spread(bins: DataFrame, langs: int) -> np.ndarray:
+    """Per language the median deviation of ``bins(lang, bin, rows)``, to 0.05 %."""
+    found = bins.groupBy("lang", "bin").agg(F.sum("rows").alias("rows")).toPandas().sort_values("bin")
+    spread = np.full(langs, 0.5)
+    for j, own in found.groupby("lang"):
+        below = own["rows"].cumsum().to_numpy()
+        median = np.exp(own["bin"].to_numpy()[np.searchsorted(below, below[-1] / 2)] / 1000)
+        spread[j] = max(0.5, np.sqrt(median) * 1.4826)
+    return spread
+
+
 def calibrate(train: DataFrame, model) -> tuple[np.ndarray, np.ndarray]:
     """Per language the usual cross-entropy, and its deviation times the square root of the length.
 
@@ -406,17 +433,12 @@ def calibrate(train: DataFrame, model) -> tuple[np.ndarray, np.ndarray]:
     if not langs:
         return np.zeros(0), np.zeros(0)
     bins = (train.where("text is not null and lang is not null").select("text", "lang")
-            .mapInArrow(partial(_deviations, model=model), "lang int, bin long, rows long")
-            .groupBy("lang", "bin").agg(F.sum("rows").alias("rows")).toPandas().sort_values("bin"))
-    spread = np.full(len(langs), 0.5)
-    for j, own in bins.groupby("lang"):
-        below = own["rows"].cumsum().to_numpy()
-        median = np.exp(own["bin"].to_numpy()[np.searchsorted(below, below[-1] / 2)] / 1000)
-        spread[j] = max(0.5, np.sqrt(median) * 1.4826)
-    return usual, spread
+            .mapInArrow(partial(_deviations, model=model), "lang int, bin long, rows long"))
+    return usual, _spread(bins, len(langs))
 
 
-def identify(docs: DataFrame, train: DataFrame | None = None, z: float = 6.0) -> DataFrame:
+def identify(docs: DataFrame, train: DataFrame | None = None, z: float = 6.0,
+             keep: Sequence[str] | None = None) -> DataFrame:
     """``docs`` with lang_pred, score (0 to 1), cross_entropy and rejected.
 
     ``train`` has text and lang; without it the rows of ``docs`` that
@@ -424,15 +446,36 @@ def identify(docs: DataFrame, train: DataFrame | None = None, z: float = 6.0) ->
     score 0 and rejected = true; so does everything if no row can teach.  Other
     texts always name a learned language; ``rejected`` says that their
     cross-entropy is too far above that language's.  Ties go to the language
-    first in the alphabet.  All columns of ``docs`` stay; columns with the
-    names of results are replaced.
+    first in the alphabet.  The columns of ``docs`` that ``keep`` names stay
+    (default: all); columns with the names of results are replaced.
+
+    Rows that teach are scored and calibrated on in one pass, so the scored
+    rows are written to shared storage with the columns kept.
     """
     spark = docs.sparkSession
+    teaches = ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)) if train is None else None
+    model = spark.sparkContext.broadcast(
+        fit((docs.where(teaches) if train is None else train).select("text", "lang")))
+    langs = len(model.value.langs)
+    base = docs if train is not None else docs.withColumn("__own", F.when(teaches, F.col("lang")))
+    base = base.drop("lang_pred", "score", "cross_entropy", "rejected")
+    kept = [f for f in base.schema.fields if f.name != "__own" and (keep is None or f.name in keep)]
+    fields = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept],
+                        *[f"{name} {kind}" for name, kind in _SCORES.items()]])
+    scored = base.mapInArrow(partial(_score, model=model, keep=[f.name for f in kept]), fields)
+    names = [f.name for f in kept]
+    if not langs:
+        return scored.select(*names, "lang_pred", "score", "cross_entropy", F.lit(True).alias("rejected"))
     if train is None:
-        train = docs.where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
-    model = spark.sparkContext.broadcast(fit(train.select("text", "lang")))
-    usual, spread = calibrate(train.select("text", "lang"), model)
-    base = docs.drop("lang_pred", "score", "cross_entropy", "rejected")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return base.mapInArrow(partial(_score, model=model, usual=usual, spread=spread, z=z), (fields + ", " if fields else "")
-                           + "lang_pred string, score double, cross_entropy double, rejected boolean")
+        scored = Stage(spark, "languages").put(scored, "scored")
+        usual = model.value.usual
+        spread = _spread(scored.where("__lang is not null").select(
+            F.col("__lang").alias("lang"), F.col("__bin").alias("bin"), F.lit(1).alias("rows")), langs)
+    else:
+        usual, spread = calibrate(train.select("text", "lang"), model)
+    # __pick counts from 1; a text without a letter has the number after the last language
+    at = F.least("__pick", F.lit(langs))
+    most = (F.element_at(F.lit((usual * 1.25).tolist()), at)
+            + F.element_at(F.lit((z * spread).tolist()), at) / F.sqrt(F.greatest("__chars", F.lit(1.0))))
+    return scored.select(*names, "lang_pred", "score", "cross_entropy",
+                         ((F.col("__pick") > langs) | (F.col("cross_entropy") > most)).alias("rejected"))

@@ -45,7 +45,7 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     from .op3_kneser_ney import held_out, identify
 
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    return identify(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score",
+    return identify(docs, keep=["doc_id"]).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score",
                                  "cross_entropy", "rejected")
 
 

@@ -573,3 +573,33 @@ def test_grams_are_handed_on_within_a_batch():
         padded = f"    {word} "
         want.update(padded[i:i + 5] for i in range(len(padded) - 4))
     assert found == want
+
+
+def test_texts_that_teach_are_scored_once(spark, monkeypatch):
+    """Calibration reads the deviations of the scoring pass: no pass of its own over the texts, the same results."""
+    from leadloom.llm import op3_kneser_ney as op3
+
+    given = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    train = given.where(~op3.held_out(F.col("doc_id")))
+    columns = ["doc_id", "lang_pred", "score", "cross_entropy", "rejected"]
+    # few characters of evidence: some rows are rejected, some are not
+    want = {tuple(r) for r in op3.identify(given, train, z=0.3).select(columns).collect()}
+    assert 0 < sum(r[-1] for r in want) < len(want)
+    monkeypatch.setattr(op3, "calibrate", None)
+    got = op3.identify(given, z=0.3, keep=["doc_id"])
+    assert got.columns == columns
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_words_of_earlier_texts_are_not_kept():
+    """A worker's memory follows a slice of texts, not the words of all its texts; odd blanks and cases as in Python."""
+    from leadloom.llm.op3_kneser_ney import _Scorer, _code_points, build
+
+    scorer = _Scorer(build([("xx", "    a", 3), ("xx", "   ab", 2), ("xx", "  ab ", 2)]))
+    before = {k: len(v) for k, v in vars(scorer).items() if hasattr(v, "__len__")}
+    t = scorer.totals(["ab ab", None, "", "\x1cab A1b½", "--"])
+    assert t[:, -1].tolist() == [4, 0, 0, 4, 0] and t[:, -2].tolist() == [6, 0, 0, 7, 0]
+    assert {k: len(v) for k, v in vars(scorer).items() if hasattr(v, "__len__")} == before
+    points, owner = _code_points(["AΣ", "Σα", "İx"])
+    assert "".join(map(chr, points)) == "    aς     σα     i     x "
+    assert owner.tolist() == [0] * 7 + [1] * 7 + [2] * 12
