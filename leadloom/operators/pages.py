@@ -92,12 +92,16 @@ def links(pages: DataFrame, keys: Sequence[str], html: str = "html", url: str =
     if skip_extensions:
         edges = edges.where(~has_skipped_extension(F.col("link")))
     if internal_only:
-        edges = edges.where(registrable_domain(F.col("link"))
-                            == registrable_domain(F.col("page_url")))
+        edges = internal_links(edges)
     # a link's first place in its page: partial aggregation, no sort by page
     return edges.groupBy(*keys, "page_url", "link").agg(F.min("pos").alias("pos"))
 
 
+def internal_links(edges: DataFrame) -> DataFrame:
+    """Of the edges those that stay on their page's organisation."""
+    return edges.where(registrable_domain(F.col("link")) == registrable_domain(F.col("page_url")))
+
+
 def contact_link_score(path: Column) -> Column:
     """Likelihood that a lower-case path leads to contact data; null when it shows no hint."""
     position = None
@@ -107,9 +111,13 @@ def contact_link_score(path: Column) -> Column:
     return 100 - position - slashes * 3 + F.when(F.length(path) < 30, 5).otherwise(0)
 
 
-def contact_links(pages: DataFrame, keys: Sequence[str], limit: int = 8, **kw) -> DataFrame:
-    """The ``limit`` internal links per page most likely to hold contact data."""
-    edges = pin(links(pages, keys, **kw), "__path", F.lower(path_of(F.col("link"))))
+def contact_links(pages: DataFrame, keys: Sequence[str], limit: int = 8, edges: DataFrame | None = None,
+                  **kw) -> DataFrame:
+    """The ``limit`` internal links per page most likely to hold contact data.
+
+    ``edges`` may pass the pages' internal links if at hand.
+    """
+    edges = pin(links(pages, keys, **kw) if edges is None else edges, "__path", F.lower(path_of(F.col("link"))))
     scored = pin(edges, "score", contact_link_score(F.col("__path"))).drop("__path").where("score is not null")
     order = [F.desc("score"), F.length("link"), F.col("pos")]
     return (scored.withColumn("rank", F.row_number().over(
@@ -117,10 +125,13 @@ def contact_links(pages: DataFrame, keys: Sequence[str], limit: int = 8, **kw) -
 
 
 def outbound_orgs(pages: DataFrame, keys: Sequence[str], limit: int = rules.MAX_OUTBOUND_ORGS,
-                  skip_domains: Sequence[str] = rules.SKIP_DOMAINS, **kw) -> DataFrame:
-    """First external link per organisation and page as a homepage, in link order."""
+                  skip_domains: Sequence[str] = rules.SKIP_DOMAINS, edges: DataFrame | None = None, **kw) -> DataFrame:
+    """First external link per organisation and page as a homepage, in link order.
+
+    ``edges`` may pass the pages' links of all organisations if at hand.
+    """
     domain = registrable_domain(F.col("link"))
-    edges = pin(links(pages, keys, internal_only=False, **kw), "domain", domain)
+    edges = pin(links(pages, keys, internal_only=False, **kw) if edges is None else edges, "domain", domain)
     external = (
         edges.withColumn("__src", registrable_domain(F.col("page_url")))
         .where((F.col("domain") != "") & (F.col("domain") != F.col("__src"))

@@ -16,7 +16,8 @@ from .. import rules
 from ..functions.urls import is_scrapeable
 from ..operators.contacts import contacts_of
 from ..operators.leads import at_least, best_contacts, build_leads, cap_emails, contact_stats, first_metadata
-from ..operators.pages import contact_links, directory_pages, links, outbound_orgs, with_metadata
+from ..operators.pages import (
+    contact_links, directory_pages, internal_links, links, outbound_orgs, with_metadata)
 from ..session import cut
 from ..sources.tables import with_robots_gate
 from .corpus import StoredCorpus, pages_at
@@ -80,10 +81,12 @@ def expand(seeds: DataFrame, corpus: StoredCorpus | DataFrame, options: CrawlOpt
         if options.metadata:
             about = cut(with_metadata(pages).drop("html", "__org"))
             facts = about if facts is None else facts.unionByName(about)
-        if depth == 0:
-            directories, found = _directories(pages, new, seeds, options)
         if depth < deepest:
-            frontier = _next_links(pages, contacts, visited, options)
+            # links are taken from the HTML and brought to their normal form once, for all that follow them
+            edges = cut(links(pages, ["domain", "page_rank"], internal_only=False))
+            if depth == 0:
+                directories, found = _directories(pages, edges, new, seeds, options)
+            frontier = _next_links(edges, contacts, visited, options)
     return CrawlResult(visited, contacts, directories, found, facts)
 
 
@@ -121,19 +124,17 @@ def _within_budget(frontier: DataFrame, visited: DataFrame | None, contacts: Dat
             .select("domain", "url", F.lit(depth).alias("depth"), "page_rank"))
 
 
-def _next_links(pages: DataFrame, contacts: DataFrame, visited: DataFrame,
+def _next_links(edges: DataFrame, contacts: DataFrame, visited: DataFrame,
                 options: CrawlOptions) -> DataFrame:
-    keys = ["domain", "page_rank"]
-    ranked = contact_links(pages, keys, options.max_pages).select(
+    inner = internal_links(edges)
+    ranked = contact_links(inner, ["domain", "page_rank"], options.max_pages, inner).select(
         "domain", "page_rank", F.col("rank").alias("link_rank"), "page_url", "link", "pos")
     nxt = ranked.select("domain", F.col("link").alias("url"),
                         _prio(F.col("page_rank"), F.col("link_rank")))
     if options.depth > 0:
         with_mail = contacts.where("kind = 'email'").select("domain").distinct()
-        bare = (pages.join(with_mail, "domain", "left_anti")
-                .join(ranked.select("domain", "page_url").distinct().withColumnRenamed("page_url", "url"),
-                      ["domain", "url"], "left_anti"))
-        plain = links(bare, keys)
+        plain = (inner.join(with_mail, "domain", "left_anti")
+                 .join(ranked.select("domain", "page_url").distinct(), ["domain", "page_url"], "left_anti"))
         w = W.partitionBy("domain", "page_url").orderBy("pos")
         plain = plain.withColumn("link_rank", F.row_number().over(w)).where(F.col("link_rank") <= options.max_pages)
         nxt = nxt.unionByName(plain.select(
@@ -142,13 +143,14 @@ def _next_links(pages: DataFrame, contacts: DataFrame, visited: DataFrame,
             .groupBy("domain", "url").agg(F.min("prio").alias("prio")))
 
 
-def _directories(pages: DataFrame, contacts: DataFrame, seeds: DataFrame,
+def _directories(pages: DataFrame, edges: DataFrame, contacts: DataFrame, seeds: DataFrame,
                  options: CrawlOptions) -> tuple[DataFrame, DataFrame]:
     keys = ["site", "page_rank"]
     sites = pages.withColumnRenamed("domain", "site")
     n = contacts.groupBy(F.col("domain").alias("site"), "page_rank").agg(F.count(F.lit(1)).alias("n_contacts"))
-    # links are extracted once; the classifier counts the same organisations
-    all_orgs = cut(outbound_orgs(sites, keys, rules.MAX_OUTBOUND_ORGS, options.skip_domains))
+    # the classifier counts the same organisations
+    all_orgs = cut(outbound_orgs(sites, keys, rules.MAX_OUTBOUND_ORGS, options.skip_domains,
+                                 edges.withColumnRenamed("domain", "site")))
     listing = directory_pages(sites, keys, n, orgs=all_orgs).where("is_directory")
     orgs = (all_orgs.where(F.col("rank") <= options.max_directory_links)
             .select("site", "page_url", F.col("domain").alias("org"), "homepage", "pos")

@@ -148,3 +148,26 @@ def test_sites_that_show_the_same_address_all_have_it(session):
     assert {(x.domain, x.value) for x in r.contacts.collect()} == {(f"{d}.net", "desk@mail.org") for d in ("a", "b", "c")}
     # a site with an address does not fall back to plain links
     assert r.visited.where("depth = 1").count() == 0
+
+
+def test_crawl_takes_the_links_of_a_round_from_its_pages_once(session, monkeypatch):
+    """Directories, contact links and plain links share one pass over the HTML; each finds what it found."""
+    from leadloom.operators import pages
+    from leadloom.plans.crawl import CrawlOptions, expand
+
+    passes, hrefs = [], pages.raw_hrefs
+    monkeypatch.setattr(pages, "raw_hrefs", lambda *a, **kw: passes.append(1) or hrefs(*a, **kw))
+    outward = "".join(f'<a href="https://www.org{i}.com/about">o</a>' for i in range(6))
+    corpus = session.createDataFrame([
+        ("https://site1.com/", '<a href="/shop">s</a><a href="/contact">c</a>' + outward),
+        ("https://site2.com/", '<a href="/shop">s</a><a href="/cart">k</a>')], "url string, html string")
+    seeds = session.createDataFrame([(f"site{i}.com", f"https://site{i}.com/", 0) for i in (1, 2)],
+                                    "domain string, url string, seq int")
+    r = expand(seeds, corpus, CrawlOptions(blocklist=()))
+    assert len(passes) == 1
+    assert {(x.domain, x.url, x.depth, x.fetched) for x in r.visited.collect()} == {
+        ("site1.com", "https://site1.com/", 0, True), ("site2.com", "https://site2.com/", 0, True),
+        ("site1.com", "https://site1.com/contact", 1, False),
+        ("site2.com", "https://site2.com/shop", 1, False), ("site2.com", "https://site2.com/cart", 1, False)}
+    assert [(x.domain, x.listed_orgs) for x in r.directories.collect()] == [("site1.com", 6)]
+    assert {x.domain for x in r.found.collect()} == {f"org{i}.com" for i in range(6)}
